@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bazaar.functions import parsing as P
+from bazaar.operators import clean as C
+from bazaar.operators import profile as PR
 from bazaar.plans.reports import REPORTS
-from bazaar.sources.tables import sales_view
+from bazaar.sources import csv_io
+from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
+from bazaar.sources.tables import SALES_SOURCE_ORDER, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,3 +29,142 @@ def _over_sales(name: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {name: _over_sales(name) for name in REPORTS}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+# ---- cleaning steps on the dirty view ---------------------------------------------
+
+@query
+def clean_dates(spark, sf_dir):
+    """C1 + C2."""
+    return C.clean_dates(dirty_sales(spark, sf_dir)).select("k", "order_date", "is_valid_date")
+
+
+@query
+def clean_prices(spark, sf_dir):
+    """C4."""
+    return C.clean_prices(dirty_sales(spark, sf_dir)).select("k", "original_price_inr")
+
+
+@query
+def clean_ratings(spark, sf_dir):
+    """C5 + C6."""
+    return C.clean_ratings(dirty_sales(spark, sf_dir)).select("k", "customer_rating")
+
+
+@query
+def clean_cities(spark, sf_dir):
+    """C7."""
+    return C.clean_cities(dirty_sales(spark, sf_dir)).select("k", "customer_city")
+
+
+@query
+def clean_booleans(spark, sf_dir):
+    """C8, then L4 on its output."""
+    df = C.clean_booleans(dirty_sales(spark, sf_dir))
+    return df.select("k", "is_prime_member",
+                     P.coerce_boolean("is_prime_member").alias("is_prime_member_bool"))
+
+
+@query
+def clean_categories(spark, sf_dir):
+    """C9."""
+    return C.clean_categories(dirty_sales(spark, sf_dir)).select("k", "category")
+
+
+@query
+def clean_delivery(spark, sf_dir):
+    """C10, both modes."""
+    d = dirty_sales(spark, sf_dir)
+    return d.select(
+        "k",
+        P.normalise_delivery_days("delivery_days").alias("delivery_days"),
+        P.normalise_delivery_days("delivery_days", "delivery_type",
+                                  P.standardise_bool_text("is_prime_member"),
+                                  mode="intended").alias("delivery_days_intended"))
+
+
+@query
+def dedup(spark, sf_dir):
+    """C11 keep-first on the fact view in its source order."""
+    out = C.dedup_keep_first(sales_view(spark, sf_dir), order=SALES_SOURCE_ORDER)
+    return out.select(*SALES_SOURCE_ORDER, "customer_id", "product_name", "order_date")
+
+
+@query
+def iqr_bounds(spark, sf_dir):
+    """C14 on the priced view."""
+    b = C.iqr_bounds(priced_sales(spark, sf_dir))
+    return b.select(*[F.round(c, 6).alias(c) for c in b.columns])
+
+
+@query
+def outlier_repair(spark, sf_dir):
+    """C13..C17 on the priced view."""
+    return C.repair_price_outliers(priced_sales(spark, sf_dir)).select("k", "original_price_inr")
+
+
+@query
+def fill_missing(spark, sf_dir):
+    """C19..C21 on the dirty view."""
+    return C.fill_missing(dirty_sales(spark, sf_dir)).select(
+        "k", "delivery_charges", "customer_age_group", "festival_name")
+
+
+@query
+def derive_calendar(spark, sf_dir):
+    """L2."""
+    from bazaar.operators.typing import derive_calendar as L2
+    return L2(sales_view(spark, sf_dir)).select("k", "order_year", "order_month", "order_quarter")
+
+
+@query
+def coerce_numeric(spark, sf_dir):
+    """L3 on raw text columns."""
+    d = dirty_sales(spark, sf_dir)
+    return d.select("k", P.coerce_numeric("original_price_inr").alias("price_num"),
+                    P.coerce_numeric("delivery_days").alias("days_num"),
+                    P.coerce_numeric("quantity").alias("quantity_num"))
+
+
+@query
+def value_counts(spark, sf_dir):
+    """P5 on the raw city text."""
+    return PR.value_counts(dirty_sales(spark, sf_dir), "customer_city")
+
+
+@query
+def nunique(spark, sf_dir):
+    """P6."""
+    return PR.nunique(dirty_sales(spark, sf_dir), "customer_city")
+
+
+@query
+def distinct_frequencies(spark, sf_dir):
+    """P7 over product names of the fact view."""
+    return PR.distinct_frequencies(sales_view(spark, sf_dir), "product_name")
+
+
+@query
+def column_info(spark, sf_dir):
+    """P3 + P4 (non-missing counts per column) of the dirty view."""
+    return PR.info(dirty_sales(spark, sf_dir)).select("column_name", "non_null", "total_rows")
+
+
+@query
+def union_years(spark, sf_dir):
+    """Yearly slices with different column sets, stacked by name."""
+    s = sales_view(spark, sf_dir).select("k", "order_date", "brand", "festival_name")
+    early = s.where(F.year("order_date") < 1998)
+    late = s.where(F.year("order_date") >= 1998).drop("brand")
+    return csv_io.union_years([early, late]).select("k", "order_date", "brand", "festival_name")
+
+
+@query
+def clean_pipeline(spark, sf_dir):
+    """C1..C21 end to end on the dirty view."""
+    return C.clean_pipeline(dirty_sales(spark, sf_dir), DIRTY_ORDER)

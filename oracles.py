@@ -232,6 +232,200 @@ def _analytics() -> dict[str, str]:
     return q
 
 
+# ---- cleaning oracles -----------------------------------------------------------
+
+WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def d_strip(c: str) -> str:
+    return f"trim(CAST({c} AS STRING), {WS})"
+
+
+def d_date(c: str) -> str:
+    """Nine formats in order; guard regex; strptime; pandas timestamp range."""
+    fmts = [("Y", "m", "d"), ("d", "m", "Y"), ("m", "d", "Y")]
+    parts = []
+    s = d_strip(c)
+    for sep in ("-", "/", "."):
+        rsep = "\\." if sep == "." else sep
+        for f in fmts:
+            guard = "^" + rsep.join(r"\d{4}" if x == "Y" else r"\d{1,2}" for x in f) + "$"
+            fmt = sep.join("%" + x for x in f)
+            parts.append(f"CASE WHEN regexp_matches({s}, '{guard}') "
+                         f"THEN CAST(try_strptime({s}, '{fmt}') AS DATE) END")
+    d = "COALESCE(" + ", ".join(parts) + ")"
+    return f"CASE WHEN {d} BETWEEN DATE '1677-09-22' AND DATE '2262-04-11' THEN {d} END"
+
+
+def d_price(c: str) -> str:
+    return f"TRY_CAST(regexp_replace(CAST({c} AS STRING), '[^0-9.]', '', 'g') AS DOUBLE)"
+
+
+def d_num(c: str) -> str:
+    s = d_strip(c)
+    return f"CASE WHEN regexp_matches({s}, '{NUM_RE}') THEN TRY_CAST({s} AS DOUBLE) END"
+
+
+def d_rating(c: str, fallback: str) -> str:
+    s3 = f"substr(trim(replace(CAST({c} AS STRING), '/5', ''), {WS}), 1, 3)"
+    return (f"COALESCE(CASE WHEN regexp_matches({s3}, '{NUM_RE}') THEN TRY_CAST({s3} AS DOUBLE) END, "
+            f"CAST({fallback} AS DOUBLE))")
+
+
+def d_map(c: str, mapping: dict[str, list[str]]) -> str:
+    arms = " ".join(f"WHEN {c} IN ({', '.join(repr(v) for v in vs)}) THEN '{t}'"
+                    for t, vs in mapping.items())
+    return f"CASE {arms} ELSE {c} END"
+
+
+CITY = {"Delhi": ["DELHI", "Delhi NCR", "delhi", "New Delhi"],
+        "Kolkata": ["Kolkata ", "KOLKATA", "Calcutta", "kolkata"],
+        "Chennai": ["Madras", "Chennai ", "chenai", "CHENNAI"],
+        "Mumbai": ["Mumbai ", "MUMBAI", "mumba", "Bombay"],
+        "Bangalore": ["Bengaluru", "BANGALORE", "Bengalore", "Banglore"]}
+BOOLTXT = {"False": ["0", "No", "False ", "FALSE"], "True": ["1", "Yes", "True ", "TRUE"]}
+CATEGORY = {"Electronics": ["Electronic", "ELECTRONICS", "Electronics & Accessories",
+                            "Electronicss"]}
+
+
+def d_delivery(days: str, dtype: str | None = None, prime: str | None = None) -> str:
+    d = f"CAST({days} AS STRING)"
+    table = {"-1": (0, 1, 2), "1-2 days": (1, 2, 3), "Express": (0, 1, 2),
+             "Same Day": (0, 1, 2), "15": (1, 3, 5)}
+    arms = [f"WHEN {d} IN ('0','1','2','3','4','5','6','7') THEN CAST({d} AS INTEGER)"]
+    for text, (fast, std, other) in table.items():
+        if dtype is None:
+            arms.append(f"WHEN {d} = '{text}' THEN {fast}")
+        else:
+            arms.append(f"WHEN {d} = '{text}' THEN CASE WHEN {dtype} IN ('Same Day', 'Express') "
+                        f"THEN {fast} WHEN {dtype} = 'Standard' AND COALESCE(lower({d_strip(prime)}) "
+                        f"= 'true', FALSE) THEN {std} ELSE {other} END")
+    return "CAST(CASE " + " ".join(arms) + " END AS INTEGER)"
+
+
+def d_bool(c: str) -> str:
+    s = f"lower({d_strip(c)})"
+    return (f"CASE WHEN {s} IN ('true','1','yes') THEN TRUE "
+            f"WHEN {s} IN ('false','0','no') THEN FALSE END")
+
+
+def with_dirty(body: str, *ctes: str) -> str:
+    from bazaar.sources.fixtures import dirty_sql
+    return with_sales(body, f"dirty AS ({dirty_sql('duckdb')})", *ctes)
+
+
+def with_priced(body: str, *ctes: str) -> str:
+    from bazaar.sources.fixtures import priced_sql
+    return with_sales(body, f"priced AS ({priced_sql('duckdb')})", *ctes)
+
+
+def bounds_cte(name: str, src: str, col: str = "original_price_inr") -> str:
+    return (f"{name} AS (SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, "
+            f"q3 + 1.5 * (q3 - q1) AS upper FROM (SELECT quantile_cont({col}, 0.25) AS q1, "
+            f"quantile_cont({col}, 0.75) AS q3 FROM {src}) t)")
+
+
+def repair_ctes(src: str) -> list[str]:
+    """C13..C17 over ``src`` (needs original_price_inr, final_amount_inr, quantity)."""
+    p, e = "original_price_inr", "expected_price"
+    ratio = f"round_even({p} / {e} * 100, 0) / 100"
+    fixed = (f"CASE WHEN ({p} < b1.lower OR {p} > b1.upper) AND {e} IS NOT NULL AND {e} <> 0 "
+             f"AND NOT isnan({e}) THEN CASE WHEN {ratio} = 10 THEN {p} / 10 "
+             f"WHEN {ratio} = 100 THEN {p} / 100 WHEN {ratio} = 1000 THEN {p} / 1000 "
+             f"ELSE {p} END ELSE {p} END")
+    return [
+        f"ex AS (SELECT *, CAST(final_amount_inr AS DOUBLE) / NULLIF(CAST(quantity AS DOUBLE), 0) "
+        f"AS expected_price FROM {src})",
+        bounds_cte("b1", "ex"),
+        f"fx AS (SELECT ex.* REPLACE ({fixed} AS {p}) FROM ex, b1)",
+        bounds_cte("b2", "fx"),
+        f"kept AS (SELECT fx.* FROM fx, b2 WHERE {p} BETWEEN b2.lower AND b2.upper)",
+    ]
+
+
+def _cleaning() -> dict[str, str]:
+    q: dict[str, str] = {}
+    dt = d_date("order_date")
+    q["clean_dates"] = with_dirty(
+        f"SELECT k, {dt} AS order_date, ({dt}) IS NOT NULL AS is_valid_date FROM dirty")
+    q["clean_prices"] = with_dirty(
+        f"SELECT k, {d_price('original_price_inr')} AS original_price_inr FROM dirty")
+    q["clean_ratings"] = with_dirty(
+        f"SELECT k, {d_rating('customer_rating', 'product_rating')} AS customer_rating FROM dirty")
+    q["clean_cities"] = with_dirty(f"SELECT k, {d_map('customer_city', CITY)} AS customer_city FROM dirty")
+    c8 = d_map("is_prime_member", BOOLTXT)
+    q["clean_booleans"] = with_dirty(
+        f"SELECT k, {c8} AS is_prime_member, {d_bool(c8)} AS is_prime_member_bool FROM dirty")
+    q["clean_categories"] = with_dirty(f"SELECT k, {d_map('category', CATEGORY)} AS category FROM dirty")
+    q["clean_delivery"] = with_dirty(
+        f"SELECT k, {d_delivery('delivery_days')} AS delivery_days, "
+        f"{d_delivery('delivery_days', 'delivery_type', c8)} AS delivery_days_intended FROM dirty")
+    order = "transaction_id, line_no, product_id, supplier_id, line_price"
+    q["dedup"] = with_sales(
+        f"SELECT {order}, customer_id, product_name, order_date FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY customer_id, product_name, order_date "
+        f"ORDER BY {order}) AS rn FROM sales) t WHERE rn = 1")
+    q["iqr_bounds"] = with_priced(
+        "SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, "
+        "round(lower, 6) AS lower, round(upper, 6) AS upper FROM b", bounds_cte("b", "priced"))
+    q["outlier_repair"] = with_priced("SELECT k, original_price_inr FROM kept", *repair_ctes("priced"))
+    mode = ("(SELECT customer_age_group FROM {src} WHERE customer_age_group IS NOT NULL "
+            "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+    q["fill_missing"] = with_dirty(
+        "SELECT k, COALESCE(CAST(delivery_charges AS DOUBLE), 0.0) AS delivery_charges, "
+        f"COALESCE(customer_age_group, {mode.format(src='dirty')}) AS customer_age_group, "
+        "COALESCE(festival_name, 'Normal Day') AS festival_name FROM dirty")
+    q["derive_calendar"] = with_sales(
+        "SELECT k, CAST(year(order_date) AS INTEGER) AS order_year, "
+        "CAST(month(order_date) AS INTEGER) AS order_month, "
+        "CAST(year(order_date) AS STRING) || 'Q' || CAST(quarter(order_date) AS STRING) "
+        "AS order_quarter FROM sales")
+    q["coerce_numeric"] = with_dirty(
+        f"SELECT k, {d_num('original_price_inr')} AS price_num, {d_num('delivery_days')} AS days_num, "
+        f"{d_num('quantity')} AS quantity_num FROM dirty")
+    q["value_counts"] = with_dirty(
+        "SELECT customer_city, count(*) AS count FROM dirty WHERE customer_city IS NOT NULL "
+        "GROUP BY 1")
+    q["nunique"] = with_dirty("SELECT count(DISTINCT customer_city) AS nunique FROM dirty")
+    q["distinct_frequencies"] = with_sales(
+        "SELECT count(DISTINCT n) AS distinct_frequencies FROM (SELECT product_name, count(*) AS n "
+        "FROM sales WHERE product_name IS NOT NULL GROUP BY 1) t")
+    cols = ["k", "transaction_id", "line_no", "product_id", "supplier_id", "line_price",
+            "customer_id", "product_name", "product_rating", "final_amount_inr", "quantity",
+            "order_date", "original_price_inr", "customer_rating", "delivery_days",
+            "delivery_type", "is_prime_member", "customer_city", "category",
+            "customer_age_group", "delivery_charges", "festival_name"]
+    q["column_info"] = with_dirty(" UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) AS total_rows FROM dirty"
+        for c in cols))
+    q["union_years"] = with_sales(
+        "SELECT k, order_date, brand, festival_name FROM sales WHERE year(order_date) < 1998 "
+        "UNION ALL SELECT k, order_date, NULL AS brand, festival_name FROM sales "
+        "WHERE year(order_date) >= 1998")
+    std = (f"SELECT k, transaction_id, line_no, product_id, supplier_id, line_price, customer_id, "
+           f"product_name, product_rating, {d_num('final_amount_inr')} AS final_amount_inr, "
+           f"{d_num('quantity')} AS quantity, {dt} AS order_date, "
+           f"{d_price('original_price_inr')} AS original_price_inr, "
+           f"{d_rating('customer_rating', 'product_rating')} AS customer_rating, "
+           f"{d_delivery('delivery_days')} AS delivery_days, delivery_type, "
+           f"{c8} AS is_prime_member, {d_map('customer_city', CITY)} AS customer_city, "
+           f"{d_map('category', CATEGORY)} AS category, customer_age_group, "
+           f"CAST(delivery_charges AS DOUBLE) AS delivery_charges, festival_name FROM dirty")
+    dd = (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, "
+          f"product_name, order_date ORDER BY {order}) AS rn FROM std) t WHERE rn = 1")
+    out = ", ".join(
+        "COALESCE(delivery_charges, 0.0) AS delivery_charges" if c == "delivery_charges" else
+        f"COALESCE(customer_age_group, {mode.format(src='kept')}) AS customer_age_group"
+        if c == "customer_age_group" else
+        "COALESCE(festival_name, 'Normal Day') AS festival_name" if c == "festival_name" else c
+        for c in cols)
+    q["clean_pipeline"] = with_dirty(
+        f"SELECT {out} FROM kept", f"std AS ({std})", f"dd AS ({dd})", *repair_ctes("dd"))
+    return q
+
+
 def oracle_queries() -> dict[str, str]:
     q = _analytics()
+    q.update(_cleaning())
     return q
