@@ -19,8 +19,6 @@ from bazaar.schema import (
 # no type suffixes, which Spark's cast would otherwise accept.
 NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-_FIELD_RE = {"Y": r"\d{4}", "m": r"\d{1,2}", "d": r"\d{1,2}"}
-_FIELD_PAT = {"Y": "yyyy", "m": "M", "d": "d"}
 
 
 def _c(c: str | Column) -> Column:
@@ -39,39 +37,88 @@ def null_tokens(c: str | Column, tokens: list[str] | None = None) -> Column:
             .otherwise(col)
 
 
-def date_format_parts(fmt: str) -> tuple[str, str]:
-    """('Y-m-d') -> (anchored regex guard, Spark datetime pattern)."""
-    sep = fmt[1]
-    fields = fmt.split(sep)
-    esc = "\\" + sep if sep == "." else sep
-    guard = "^" + esc.join(_FIELD_RE[f] for f in fields) + "$"
-    pattern = sep.join(_FIELD_PAT[f] for f in fields)
-    return guard, pattern
+def checked_date(y: Column, m: Column, d: Column) -> Column:
+    """make_date only for a real calendar day, else NULL; never raises.
 
+    The day is compared with the month's length first, so impossible dates
+    (2020-02-30) cost a comparison, not a failed parse.
+    """
+    month_ok = m.between(1, 12) & y.between(1, 9999)
+    days_in_month = F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))
+    return F.when(month_ok, F.when(d.between(F.lit(1), days_in_month), F.make_date(y, m, d)))
+
+
+# Shape of a date text: 4-digit year first or last, one separator used twice.
+YEAR_FIRST_RE = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
+YEAR_LAST_RE = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
 
-def parse_date_formats(c: str | Column, formats: list[str]) -> Column:
-    """First format (in list order) that fully matches and gives a real date.
 
-    The regex guard makes the match exact (Spark's ``d`` alone would also take
-    ``003``); ``try_to_date`` rejects impossible dates such as 2020-02-30.
+def date_fields(s: Column) -> dict[str, Column]:
+    """Per-row facts a date text is parsed from (stage these as columns).
+
+    ``shape``: 'first' / 'last' (position of the 4-digit year) or NULL when
+    the text has neither form; ``sep``: the separator; ``f1..f3``: the three
+    numbers in text order.
+    """
+    parts = F.split(s, r"[-/.]")
+    shape = F.when(s.rlike(YEAR_FIRST_RE), F.lit("first")).when(s.rlike(YEAR_LAST_RE), F.lit("last"))
+    return {
+        "shape": shape,
+        "sep": F.regexp_extract(s, r"^\d+([-/.])", 1),
+        "f1": F.try_element_at(parts, F.lit(1)).try_cast("int"),
+        "f2": F.try_element_at(parts, F.lit(2)).try_cast("int"),
+        "f3": F.try_element_at(parts, F.lit(3)).try_cast("int"),
+    }
+
+
+def date_from_fields(fields: dict[str, Column], formats: list[str]) -> Column:
+    """First format (in list order) whose shape and separator match and that
+    gives a real calendar date; no parser exception is ever thrown.
+
+    ``fields`` are the (staged) columns of :func:`date_fields`.
     """
-    s = py_strip(c)
     tries = []
     for fmt in formats:
-        guard, pattern = date_format_parts(fmt)
-        tries.append(F.when(s.rlike(guard), F.try_to_date(s, pattern)))
-    d = F.coalesce(*tries)
+        sep, order = fmt[1], fmt.split(fmt[1])
+        if order[0] == "Y":
+            shape = "first"
+        elif order[2] == "Y":
+            shape = "last"
+        else:
+            raise ValueError(f"year must come first or last: {fmt}")
+        pos = {f: fields[f"f{i + 1}"] for i, f in enumerate(order)}
+        cond = (fields["shape"] == shape) & (fields["sep"] == sep)
+        tries.append(F.when(cond, checked_date(pos["Y"], pos["m"], pos["d"])))
+    return F.coalesce(*tries)
+
+
+def in_date_range(d: Column) -> Column:
+    """Dates a nanosecond timestamp can hold; others become NULL."""
     return F.when(d.between(F.lit(MIN_DATE).cast("date"), F.lit(MAX_DATE).cast("date")), d)
 
 
+def parse_date_formats(c: str | Column, formats: list[str]) -> Column:
+    """Trim, parse by the first matching format, range check (one expression).
+
+    Convenient on a plain column; on large data prefer the DataFrame step
+    ``clean_dates``, which stages the trimmed text and its fields once.
+    """
+    return in_date_range(date_from_fields(date_fields(py_strip(c)), formats))
+
+
 def parse_order_date(c: str | Column) -> Column:
     """Nine day/month/year orders, day-first before month-first; else NULL."""
     return parse_date_formats(c, DATE_FORMATS)
 
 
+# What float() accepts once only digits and dots are left.
+DIGITS_DOT_RE = r"^(\d+\.?\d*|\.\d+)$"
+
+
 def parse_price(c: str | Column) -> Column:
     """C4: keep digits and dots, read as a number; the sign is lost, junk is NULL."""
-    return F.regexp_replace(_c(c).cast("string"), r"[^0-9.]", "").try_cast("double")
+    kept = F.regexp_replace(_c(c).cast("string"), r"[^0-9.]", "")
+    return F.when(kept.rlike(DIGITS_DOT_RE), kept.cast("double"))
 
 
 def parse_rating(c: str | Column) -> Column:
@@ -81,7 +128,7 @@ def parse_rating(c: str | Column) -> Column:
     reference) and ``nan`` give NULL.
     """
     s = F.substring(py_strip(F.replace(_c(c).cast("string"), F.lit("/5"), F.lit(""))), 1, 3)
-    return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
+    return F.when(s.rlike(NUMBER_RE), s.cast("double"))
 
 
 def map_values(c: str | Column, mapping: dict[str, list[str]]) -> Column:
@@ -149,7 +196,7 @@ def coerce_numeric(c: str | Column) -> Column:
     NULL here.
     """
     s = py_strip(c)
-    return F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
+    return F.when(s.rlike(NUMBER_RE), s.cast("double"))
 
 
 def coerce_boolean(c: str | Column) -> Column:

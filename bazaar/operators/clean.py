@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions import parsing as P
-from bazaar.operators.quantiles import quantile_frame
+from bazaar.operators.quantiles import quantile_frame, quantiles
 from bazaar.plans.joins import attach_scalars
 from bazaar.schema import AUDIT_COPIES, BOOLEAN_COLUMNS, DEDUP_KEYS, NUMERIC_COLUMNS
 from bazaar.session import scratch_path
@@ -40,9 +40,27 @@ def add_audit_copies(df: DataFrame) -> DataFrame:
 
 
 def clean_dates(df: DataFrame, col: str = "order_date") -> DataFrame:
-    """C1 + C2."""
-    d = P.parse_order_date(col)
-    return df.withColumns({col: d, "is_valid_date": d.isNotNull()})
+    """C1 + C2.
+
+    The trimmed text and the parsed date are staged as helper columns: each
+    is used many times by the next step, and Catalyst keeps a projection of
+    a non-trivial expression separate when it is used more than once, so the
+    (possibly costly) input expression is evaluated once per row, not once
+    per format tried.
+    """
+    return stage_dates(df, col, P.DATE_FORMATS).withColumn(
+        "is_valid_date", F.col(col).isNotNull())
+
+
+def stage_dates(df: DataFrame, col: str, formats: list[str]) -> DataFrame:
+    """Replace text ``col`` by its date, trying ``formats`` in order."""
+    staged = df.withColumn("_s", P.py_strip(col))
+    fields = P.date_fields(F.col("_s"))
+    staged = staged.withColumns({f"_{k}": v for k, v in fields.items()})
+    d = P.date_from_fields({k: F.col(f"_{k}") for k in fields}, formats)
+    staged = staged.withColumn("_d", d)
+    return (staged.withColumn(col, P.in_date_range(F.col("_d")))
+                  .drop("_s", "_d", *[f"_{k}" for k in fields]))
 
 
 def clean_prices(df: DataFrame, col: str = "original_price_inr") -> DataFrame:
@@ -142,6 +160,16 @@ def iqr_bounds(df: DataFrame, col: str = "original_price_inr", k: float = 1.5) -
                     (F.col("q3") + F.lit(k) * iqr).alias("upper"))
 
 
+def iqr_bound_values(df: DataFrame, col: str = "original_price_inr",
+                     k: float = 1.5) -> tuple[float | None, float | None]:
+    """C14 as two numbers (lower, upper): the only values that reach the driver."""
+    q1, q3 = quantiles(df, col, [0.25, 0.75])
+    if q1 is None or q3 is None:
+        return None, None
+    iqr = q3 - q1
+    return q1 - k * iqr, q3 + k * iqr
+
+
 def _ratio2(price: F.Column, expected: F.Column) -> F.Column:
     # numpy's round(x, 2): rint(x * 100) / 100 (Spark round/bround differ at .xx5)
     return F.rint(F.try_divide(price, expected) * 100) / 100
@@ -161,22 +189,21 @@ def repair_price_outliers(df: DataFrame, price: str = "original_price_inr",
                           k: float = 1.5) -> DataFrame:
     """C13..C17: fix decimal-shift outliers, then drop what is still outside.
 
-    Each bound set is a one-row frame attached by broadcast (size one row by
-    construction). Rows with no price are dropped by the final range test,
-    as in the reference.
+    The two bound pairs are computed eagerly (exact, distributed) and enter
+    the plan as literals, so the final range test is a plain predicate that
+    reaches the Parquet scan of a staged table. Rows with no price are
+    dropped by that test, as in the reference.
     """
     df = df.withColumn("expected_price",
                        F.try_divide(F.col("final_amount_inr").cast("double"),
                                     F.col("quantity").cast("double")))
-    b1 = iqr_bounds(df, price, k).select(F.col("lower").alias("_lo1"), F.col("upper").alias("_hi1"))
-    with_b1 = attach_scalars(df, b1)
-    outlier = (F.col(price) < F.col("_lo1")) | (F.col(price) > F.col("_hi1"))
-    fixed = (with_b1.withColumn(price, F.when(outlier, correct_decimal(price)).otherwise(F.col(price)))
-                    .drop("_lo1", "_hi1"))
-    b2 = iqr_bounds(fixed, price, k).select(F.col("lower").alias("_lo2"), F.col("upper").alias("_hi2"))
-    return (attach_scalars(fixed, b2)
-            .where(F.col(price).between(F.col("_lo2"), F.col("_hi2")))
-            .drop("_lo2", "_hi2"))
+    lo1, hi1 = iqr_bound_values(df, price, k)
+    if lo1 is None:
+        return df.where(F.lit(False))
+    outlier = (F.col(price) < F.lit(lo1)) | (F.col(price) > F.lit(hi1))
+    fixed = df.withColumn(price, F.when(outlier, correct_decimal(price)).otherwise(F.col(price)))
+    lo2, hi2 = iqr_bound_values(fixed, price, k)
+    return fixed.where(F.col(price).between(F.lit(lo2), F.lit(hi2)))
 
 
 # ---- fills ------------------------------------------------------------------------------

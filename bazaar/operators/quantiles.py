@@ -4,14 +4,15 @@
 for a global quantile. Here instead:
 
 1. values are counted per distinct value (map-side combine, one shuffle);
-2. an approximate sketch over the distinct values cuts them into ranges of
-   about equal size (only the range edges reach the driver);
-3. a per-range total (one row per range) gives each range's first rank;
-4. only the ranges holding the wanted ranks are sorted, each in its own
+2. if there are few distinct values they are ranked in one task; otherwise
+   an approximate sketch over the distinct values cuts them into ranges of
+   about equal size (only the range edges reach the driver) and a per-range
+   total (one row per range) gives each range's first rank;
+3. only the ranges holding the wanted ranks are sorted, each in its own
    task, to read the exact values at those ranks.
 
-The result is the same number ``percentile`` / ``quantile_cont`` give:
-with ``n`` values and ``pos = (n - 1) * p``, value[floor] + (value[ceil] -
+The result is the number ``percentile`` / ``quantile_cont`` give: with
+``n`` values and ``pos = (n - 1) * p``, value[floor] + (value[ceil] -
 value[floor]) * (pos - floor).
 """
 
@@ -23,8 +24,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of value ranges; each holds about (distinct values / RANGES) values.
+# Number of value ranges when the distinct values are many.
 DEFAULT_RANGES = 1024
+# Up to this many distinct values are ranked in a single task.
+SINGLE_RANGE_MAX = 2_000_000
 
 
 def _value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -34,36 +37,24 @@ def _value_counts(df: DataFrame, col: str) -> DataFrame:
               .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _edges(vc: DataFrame, ranges: int) -> list[float]:
-    if ranges <= 1:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    row = vc.agg(F.percentile_approx("v", probs, 10 * ranges).alias("e")).first()
-    return sorted(set(x for x in (row["e"] or []) if x is not None))
-
-
-def quantile_frame(df: DataFrame, col: str, probs: list[float],
-                   names: list[str] | None = None,
-                   ranges: int = DEFAULT_RANGES) -> DataFrame:
-    """One-row DataFrame with the exact quantiles of ``col`` (NULL/NaN ignored).
-
-    Runs two small driver-bound jobs (range edges and per-range totals, each
-    at most ``ranges`` values); the returned frame itself is lazy.
-    """
-    names = names or [f"q{int(round(p * 100))}" for p in probs]
-    spark = df.sparkSession
-    vc = _value_counts(df, col).persist()
-    try:
-        edges = _edges(vc, ranges)
+def _ranked(vc: DataFrame, probs: list[float], names: list[str], ranges: int,
+            single_max: int):
+    """Eager planning steps; returns (frame with start/end ranks, plan) or None if empty."""
+    stats = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).first()
+    d, n = stats["d"], stats["n"] or 0
+    if n == 0:
+        return None
+    if d <= single_max or ranges <= 1:
+        bucketed = vc.withColumn("b", F.lit(0.0))
+        totals = [(0.0, n)]
+    else:
+        probs_e = [i / ranges for i in range(1, ranges)]
+        row = vc.agg(F.percentile_approx("v", probs_e, 10 * ranges).alias("e")).first()
+        edges = sorted(set(x for x in (row["e"] or []) if x is not None))
         splits = [-math.inf] + edges + [math.inf]
         bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vc)
-        totals = sorted((r["b"], r["n"]) for r in
-                        bucketed.groupBy("b").agg(F.sum("c").alias("n")).collect())
-    finally:
-        vc.unpersist()
-    n = sum(t for _, t in totals)
-    if n == 0:
-        return spark.range(1).select(*[F.lit(None).cast("double").alias(nm) for nm in names])
+        totals = sorted((r["b"], r["t"]) for r in
+                        bucketed.groupBy("b").agg(F.sum("c").alias("t")).collect())
 
     starts, acc = {}, 0
     for b, t in totals:
@@ -76,8 +67,7 @@ def quantile_frame(df: DataFrame, col: str, probs: list[float],
                 return b
         raise AssertionError("rank outside the data")
 
-    plan = []  # (name, lo_rank, hi_rank, frac)
-    wanted = set()
+    plan, wanted = [], set()
     for nm, p in zip(names, probs):
         pos = (n - 1) * p
         lo, hi = math.floor(pos), math.ceil(pos)
@@ -85,14 +75,18 @@ def quantile_frame(df: DataFrame, col: str, probs: list[float],
         wanted.update({bucket_of(lo), bucket_of(hi)})
 
     offset = None
-    for b in wanted:
+    for b in sorted(wanted):
         cond = F.col("b") == F.lit(b)
-        offset = F.when(cond, F.lit(starts[b])) if offset is None else offset.when(cond, F.lit(starts[b]))
+        off = F.lit(starts[b]).cast("bigint")
+        offset = F.when(cond, off) if offset is None else offset.when(cond, off)
     w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (bucketed.where(F.col("b").isin(*wanted))
+    ranked = (bucketed.where(F.col("b").isin(*sorted(wanted)))
                       .withColumn("end", F.sum("c").over(w) + offset)
                       .withColumn("start", F.col("end") - F.col("c")))
+    return ranked, plan
+
 
+def _pick(ranked: DataFrame, plan) -> DataFrame:
     def at(rank: int):
         return F.max(F.when((F.col("start") <= rank) & (F.col("end") > rank), F.col("v")))
 
@@ -104,8 +98,40 @@ def quantile_frame(df: DataFrame, col: str, probs: list[float],
     return ranked.agg(*aggs).select(*outs)
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float],
-              ranges: int = DEFAULT_RANGES) -> list[float | None]:
-    """The exact quantiles as Python floats (one small result row)."""
-    row = quantile_frame(df, col, probs, ranges=ranges).first()
-    return [row[i] for i in range(len(probs))]
+def _names(probs: list[float], names: list[str] | None) -> list[str]:
+    return names or [f"q{int(round(p * 100))}" for p in probs]
+
+
+def quantile_frame(df: DataFrame, col: str, probs: list[float],
+                   names: list[str] | None = None, ranges: int = DEFAULT_RANGES,
+                   single_max: int = SINGLE_RANGE_MAX) -> DataFrame:
+    """One-row DataFrame with the exact quantiles of ``col`` (NULL/NaN ignored).
+
+    The planning jobs (distinct count, optional range edges and totals) run
+    now; the returned frame's own work (the ranked ranges) stays lazy.
+    """
+    names = _names(probs, names)
+    r = _ranked(_value_counts(df, col), probs, names, ranges, single_max)
+    if r is None:
+        return df.sparkSession.range(1).select(
+            *[F.lit(None).cast("double").alias(nm) for nm in names])
+    return _pick(*r)
+
+
+def quantiles(df: DataFrame, col: str, probs: list[float], ranges: int = DEFAULT_RANGES,
+              single_max: int = SINGLE_RANGE_MAX) -> list[float | None]:
+    """The exact quantiles as Python floats.
+
+    The per-value counts are kept (memory, spilling to disk) for the two or
+    three small jobs and released afterwards; a lost block is recomputed.
+    """
+    names = _names(probs, None)
+    vc = _value_counts(df, col).persist()
+    try:
+        r = _ranked(vc, probs, names, ranges, single_max)
+        if r is None:
+            return [None] * len(probs)
+        row = _pick(*r).first()
+        return [row[i] for i in range(len(probs))]
+    finally:
+        vc.unpersist()
