@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.operators.common import (
-    decimal_total, group_agg, mean, money, money_sum, num_sum, ratio, require_columns, top_k,
+    decimal_total, group_agg, is_true, mean, money, money_sum, num_sum, ratio, require_columns, top_k,
 )
 from bazaar.plans.joins import attach_scalars
 
@@ -128,7 +128,7 @@ def subcategory_list(df: DataFrame) -> DataFrame:
 def festival_revenue(df: DataFrame) -> DataFrame:
     """Revenue per festival over festival-sale rows, highest first."""
     require_columns(df, ["is_festival_sale", "festival_name", REV], "festival_revenue")
-    fest = df.where(F.col("is_festival_sale") == F.lit(True))
+    fest = df.where(is_true(df, "is_festival_sale"))
     return top_k(group_agg(fest, ["festival_name"], money_sum(REV).alias("revenue")),
                  "revenue", ["festival_name"], None)
 
@@ -182,7 +182,7 @@ def return_rate(df: DataFrame, returned_values: list | None = None) -> DataFrame
     """
     require_columns(df, ["return_status", "product_id"], "return_rate")
     if returned_values is None:
-        is_ret = F.col("return_status") == F.lit(True)
+        is_ret = is_true(df, "return_status")
     else:
         is_ret = F.col("return_status").cast("string").isin(*[str(v) for v in returned_values])
     return df.agg(

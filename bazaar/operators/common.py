@@ -62,6 +62,25 @@ def mean(c: str | Column) -> Column:
     return F.round(F.avg(col_of(c)), RATIO_PLACES)
 
 
+# Text pandas' reader turns into boolean true (public pandas default).
+TRUE_TEXT = ["True", "TRUE", "true"]
+
+
+def is_true(df: DataFrame, c: str) -> Column:
+    """boolean equality with True that never raises; missing is not a match.
+
+    A boolean column is compared directly; a text column matches only the
+    words pandas would have read as true, so text such as 'Returned' never
+    matches (as in the reference).
+    """
+    dtype = df.schema[c].dataType.simpleString()
+    if dtype == "boolean":
+        return F.coalesce(F.col(c), F.lit(False))
+    if dtype == "string":
+        return F.coalesce(F.col(c).isin(*TRUE_TEXT), F.lit(False))
+    return F.coalesce(F.col(c).cast("double") == 1.0, F.lit(False))
+
+
 def group_agg(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Group with NULL keys dropped (pandas ``groupby`` default).
 
