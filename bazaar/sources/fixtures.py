@@ -8,8 +8,11 @@ whole cleaning pipeline can run on it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaar.session import scratch_path
 from bazaar.sources.tables import sales_view
 
 DIRTY_SQL = """
@@ -72,9 +75,32 @@ def priced_sql(engine: str) -> str:
     return PRICED_SQL.format(sales="{sales}" if engine == "spark" else "sales")
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _staged(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """Write the fixture once per session as Parquet and scan it from then on.
+
+    The dirty view stands in for the raw order files, so the cleaning steps
+    should see a file scan (plain columns), not the generating expressions:
+    those would be inlined into every rule that reads a column.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    df = _STAGED.get(key)
+    if df is None or df.sparkSession is not spark:
+        path = scratch_path(spark, f"fixture-{name}-{uuid.uuid4().hex}")
+        # Several files, like the yearly raw files the reference starts from.
+        files = spark.sparkContext.defaultParallelism
+        (spark.sql(sql, sales=sales_view(spark, sf_dir)).repartition(files)
+         .write.mode("overwrite").parquet(path))
+        df = spark.read.parquet(path)
+        _STAGED[key] = df
+    return df
+
+
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(dirty_sql("spark"), sales=sales_view(spark, sf_dir))
+    return _staged(spark, sf_dir, "dirty", dirty_sql("spark"))
 
 
 def priced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(priced_sql("spark"), sales=sales_view(spark, sf_dir))
+    return _staged(spark, sf_dir, "priced", priced_sql("spark"))
