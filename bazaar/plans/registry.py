@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bazaar.functions import parsing as P
 from bazaar.operators import clean as C
 from bazaar.operators import profile as PR
+from bazaar.operators import segments as SG
 from bazaar.plans.reports import REPORTS
 from bazaar.sources import csv_io
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
@@ -168,3 +169,41 @@ def union_years(spark, sf_dir):
 def clean_pipeline(spark, sf_dir):
     """C1..C21 end to end on the dirty view."""
     return C.clean_pipeline(dirty_sales(spark, sf_dir), DIRTY_ORDER)
+
+
+# ---- README-advertised segments -------------------------------------
+
+@query
+def rfm(spark, sf_dir):
+    """X1."""
+    return SG.rfm(sales_view(spark, sf_dir))
+
+
+@query
+def payment_mix(spark, sf_dir):
+    """X4."""
+    return SG.payment_mix(sales_view(spark, sf_dir))
+
+
+@query
+def prime_value(spark, sf_dir):
+    """X5."""
+    return SG.prime_value(sales_view(spark, sf_dir))
+
+
+@query
+def star_products(spark, sf_dir):
+    """Product dimension."""
+    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["products"]
+
+
+@query
+def star_customers(spark, sf_dir):
+    """Customer dimension."""
+    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["customers"]
+
+
+@query
+def star_time_dimension(spark, sf_dir):
+    """Time dimension."""
+    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["time_dimension"]

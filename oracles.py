@@ -425,7 +425,56 @@ def _cleaning() -> dict[str, str]:
     return q
 
 
+def _segments() -> dict[str, str]:
+    q: dict[str, str] = {}
+    probs = "[0.2, 0.4, 0.6, 0.8]"
+
+    def score(v: str, cut: str, reverse: bool = False) -> str:
+        s = "1 + " + " + ".join(f"CASE WHEN {v} > {cut}[{i}] THEN 1 ELSE 0 END" for i in range(1, 5))
+        return f"CAST({'6 - (' + s + ')' if reverse else s} AS INTEGER)"
+
+    q["rfm"] = with_sales(
+        f"SELECT customer_id, recency_days, frequency, monetary, "
+        f"{score('recency_days', 'rc', True)} AS r_score, {score('frequency', 'fc')} AS f_score, "
+        f"{score('monetary', 'mc')} AS m_score FROM per, cuts",
+        "per AS (SELECT customer_id, CAST(datediff('day', max(order_date), "
+        "(SELECT max(order_date) FROM sales)) AS INTEGER) AS recency_days, "
+        f"count(DISTINCT transaction_id) AS frequency, {REV} AS monetary FROM sales "
+        "WHERE customer_id IS NOT NULL GROUP BY 1)",
+        f"cuts AS (SELECT quantile_cont(CAST(recency_days AS DOUBLE), {probs}) AS rc, "
+        f"quantile_cont(CAST(frequency AS DOUBLE), {probs}) AS fc, "
+        f"quantile_cont(CAST(monetary AS DOUBLE), {probs}) AS mc FROM per)")
+    q["payment_mix"] = with_sales(
+        "SELECT order_year, payment_method, revenue, round(revenue / NULLIF(sum(revenue) "
+        "OVER (PARTITION BY order_year), 0), 6) AS share FROM per",
+        f"per AS (SELECT CAST(year(order_date) AS INTEGER) AS order_year, payment_method, "
+        f"{REV} AS revenue FROM sales WHERE order_date IS NOT NULL AND payment_method IS NOT NULL "
+        "GROUP BY 1, 2)")
+    q["prime_value"] = with_sales(
+        "SELECT is_prime, customers, orders, revenue, round(revenue / NULLIF(orders, 0), 6) AS aov "
+        f"FROM (SELECT COALESCE(is_prime_member, FALSE) AS is_prime, "
+        f"count(DISTINCT customer_id) AS customers, count(DISTINCT transaction_id) AS orders, "
+        f"{REV} AS revenue FROM sales WHERE is_prime_member IS NOT NULL GROUP BY 1) t")
+    order = "transaction_id, line_no, product_id, supplier_id, line_price"
+
+    def first_per(key: str, cols: str) -> str:
+        return with_sales(
+            f"SELECT {key}, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {key} "
+            f"ORDER BY {order}) AS rn FROM sales WHERE {key} IS NOT NULL) t WHERE rn = 1")
+
+    q["star_products"] = first_per(
+        "product_id", "product_name, category, subcategory, brand, original_price_inr")
+    q["star_customers"] = first_per("customer_id", "customer_state, is_prime_member")
+    q["star_time_dimension"] = with_sales(
+        "SELECT order_date, CAST(year(order_date) AS INTEGER) AS year, "
+        "CAST(quarter(order_date) AS INTEGER) AS quarter, CAST(month(order_date) AS INTEGER) AS month, "
+        "CAST(day(order_date) AS INTEGER) AS day, CAST(dayofweek(order_date) + 1 AS INTEGER) AS day_of_week "
+        "FROM (SELECT DISTINCT order_date FROM sales WHERE order_date IS NOT NULL) t")
+    return q
+
+
 def oracle_queries() -> dict[str, str]:
     q = _analytics()
     q.update(_cleaning())
+    q.update(_segments())
     return q
