@@ -199,10 +199,16 @@ def coerce_numeric(c: str | Column) -> Column:
     return F.when(s.rlike(NUMBER_RE), s.cast("double"))
 
 
-def coerce_boolean(c: str | Column) -> Column:
-    """L4: trimmed, lower-cased text in {true,1,yes} / {false,0,no}; else NULL."""
+def coerce_boolean(c: str | Column, true_tokens: list[str] | None = None,
+                   false_tokens: list[str] | None = None) -> Column:
+    """L4: trimmed, lower-cased text in {true,1,yes} / {false,0,no}; else NULL.
+
+    Token lists can be widened (e.g. 'y' / 'n'); give them in lower case.
+    """
     s = F.lower(py_strip(c))
-    return F.when(s.isin(*TRUE_TOKENS), F.lit(True)).when(s.isin(*FALSE_TOKENS), F.lit(False))
+    t = true_tokens if true_tokens is not None else TRUE_TOKENS
+    f = false_tokens if false_tokens is not None else FALSE_TOKENS
+    return F.when(s.isin(*t), F.lit(True)).when(s.isin(*f), F.lit(False))
 
 
 # Load-time order (L1): ISO first, then month-first like a free-form parser.

@@ -45,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder for this session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is
-    used as is. Only when nothing is configured (local tests) a private
-    folder under the system temp dir is created.
+    used as is. Only in local mode with nothing configured (tests) a private
+    folder under the system temp dir is created; on a cluster a missing
+    setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         conf_dir = tempfile.mkdtemp(prefix="bazaar-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

@@ -16,12 +16,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     """S4, native form: Parquet, by default partitioned by ``order_year`` when present.
 
     Year partitions let month and last-12-month filters skip whole folders.
-    Rows are clustered by the partition column first, so each task writes
-    few files instead of one per year it happens to hold.
+    Each task sorts its own rows by the partition columns (no shuffle), so it
+    keeps one file open at a time and writes one file per year it holds. A
+    ``repartition`` by year instead would send a whole year to one task.
     """
     if partition_by is None:
         partition_by = ["order_year"] if "order_year" in df.columns else []
-    out = df.repartition(*partition_by) if partition_by else df
+    out = df.sortWithinPartitions(*partition_by) if partition_by else df
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
