@@ -14,7 +14,7 @@ from bazaar.operators import segments as SG
 from bazaar.plans.reports import REPORTS
 from bazaar.sources import csv_io
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
-from bazaar.sources.tables import SALES_SOURCE_ORDER, sales_view
+from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def _over_sales(name: str) -> Query:
     fn = REPORTS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(sales_view(spark, sf_dir))
+        return fn(fact_table(spark, sf_dir))
 
     run.__name__ = name
     return run
@@ -92,7 +92,7 @@ def clean_delivery(spark, sf_dir):
 @query
 def dedup(spark, sf_dir):
     """C11 keep-first on the fact view in its source order."""
-    out = C.dedup_keep_first(sales_view(spark, sf_dir), order=SALES_SOURCE_ORDER)
+    out = C.dedup_keep_first(fact_table(spark, sf_dir), order=SALES_SOURCE_ORDER)
     return out.select(*SALES_SOURCE_ORDER, "customer_id", "product_name", "order_date")
 
 
@@ -120,7 +120,7 @@ def fill_missing(spark, sf_dir):
 def derive_calendar(spark, sf_dir):
     """L2."""
     from bazaar.operators.typing import derive_calendar as L2
-    return L2(sales_view(spark, sf_dir)).select("k", "order_year", "order_month", "order_quarter")
+    return L2(fact_table(spark, sf_dir).drop("order_year")).select("k", "order_year", "order_month", "order_quarter")
 
 
 @query
@@ -147,7 +147,7 @@ def nunique(spark, sf_dir):
 @query
 def distinct_frequencies(spark, sf_dir):
     """P7 over product names of the fact view."""
-    return PR.distinct_frequencies(sales_view(spark, sf_dir), "product_name")
+    return PR.distinct_frequencies(fact_table(spark, sf_dir), "product_name")
 
 
 @query
@@ -159,7 +159,7 @@ def column_info(spark, sf_dir):
 @query
 def union_years(spark, sf_dir):
     """Yearly slices with different column sets, stacked by name."""
-    s = sales_view(spark, sf_dir).select("k", "order_date", "brand", "festival_name")
+    s = fact_table(spark, sf_dir).select("k", "order_date", "brand", "festival_name")
     early = s.where(F.year("order_date") < 1998)
     late = s.where(F.year("order_date") >= 1998).drop("brand")
     return csv_io.union_years([early, late]).select("k", "order_date", "brand", "festival_name")
@@ -176,34 +176,34 @@ def clean_pipeline(spark, sf_dir):
 @query
 def rfm(spark, sf_dir):
     """X1."""
-    return SG.rfm(sales_view(spark, sf_dir))
+    return SG.rfm(fact_table(spark, sf_dir))
 
 
 @query
 def payment_mix(spark, sf_dir):
     """X4."""
-    return SG.payment_mix(sales_view(spark, sf_dir))
+    return SG.payment_mix(fact_table(spark, sf_dir))
 
 
 @query
 def prime_value(spark, sf_dir):
     """X5."""
-    return SG.prime_value(sales_view(spark, sf_dir))
+    return SG.prime_value(fact_table(spark, sf_dir))
 
 
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""
-    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["products"]
+    return SG.star_tables(fact_table(spark, sf_dir), SALES_SOURCE_ORDER)["products"]
 
 
 @query
 def star_customers(spark, sf_dir):
     """Customer dimension."""
-    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["customers"]
+    return SG.star_tables(fact_table(spark, sf_dir), SALES_SOURCE_ORDER)["customers"]
 
 
 @query
 def star_time_dimension(spark, sf_dir):
     """Time dimension."""
-    return SG.star_tables(sales_view(spark, sf_dir), SALES_SOURCE_ORDER)["time_dimension"]
+    return SG.star_tables(fact_table(spark, sf_dir), SALES_SOURCE_ORDER)["time_dimension"]

@@ -12,7 +12,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  mode: str = "overwrite") -> None:
+                  mode: str = "overwrite", max_records_per_file: int | None = None) -> None:
     """S4, native form: Parquet, by default partitioned by ``order_year`` when present.
 
     Year partitions let month and last-12-month filters skip whole folders.
@@ -24,6 +24,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
         partition_by = ["order_year"] if "order_year" in df.columns else []
     out = df.sortWithinPartitions(*partition_by) if partition_by else df
     w = out.write.mode(mode)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", str(int(max_records_per_file)))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
