@@ -18,11 +18,6 @@ from bazaar.plans.joins import attach_scalars
 REV = "final_amount_inr"
 
 
-def year_of(df: DataFrame) -> Column:
-    """``order_year`` when the table has it, else derived from the date."""
-    return F.col("order_year") if "order_year" in df.columns else F.year("order_date")
-
-
 def _with_year(df: DataFrame) -> DataFrame:
     return df if "order_year" in df.columns else df.withColumn("order_year", F.year("order_date"))
 

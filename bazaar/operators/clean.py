@@ -75,7 +75,8 @@ def clean_ratings(df: DataFrame, col: str = "customer_rating",
     """C5 + C6: parse the rating; fill gaps from the product rating."""
     r = P.parse_rating(col)
     if _has(df, fallback):
-        r = F.coalesce(r, F.col(fallback).cast("double"))
+        fb = P.coerce_numeric(fallback) if _is_string(df, fallback) else F.col(fallback).cast("double")
+        r = F.coalesce(r, fb)
     return df.withColumn(col, r)
 
 
@@ -235,8 +236,10 @@ def fill_missing(df: DataFrame) -> DataFrame:
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
-    """Remove the expected price, the audit copies and the validity flag."""
-    return df.drop("expected_price", "is_valid_date", *AUDIT_COPIES.values())
+    """C18 (expected price, audit copies, validity flag) and C12 (the source-order
+    key of a CSV read: the output has no row numbers, like a reset index)."""
+    return df.drop("expected_price", "is_valid_date", *AUDIT_COPIES.values(),
+                   "_src_file", "_src_path", "_src_block", "_src_row")
 
 
 # ---- pipeline --------------------------------------------------------------------------------

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.parsing import null_tokens
 
-# Source-order key columns: file position in the list, byte offset of the
-# split inside the file, row position inside the split.
-SOURCE_ORDER = ["_src_file", "_src_block", "_src_row"]
+# Source-order key columns: file position in the list, file path (a folder
+# or glob can hold several files), byte offset of the split inside the
+# file, row position inside the split.
+SOURCE_ORDER = ["_src_file", "_src_path", "_src_block", "_src_row"]
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:
@@ -72,9 +73,8 @@ def read_yearly_csv(spark: SparkSession, paths: Sequence[str],
 
 def source_order(df: DataFrame) -> list[str]:
     """The order columns ``read_csv`` attached (file index, path, split, row)."""
-    cols = ["_src_file", "_src_path", "_src_block", "_src_row"]
-    return [c for c in cols if c in df.columns]
+    return [c for c in SOURCE_ORDER if c in df.columns]
 
 
 def drop_source_order(df: DataFrame) -> DataFrame:
-    return df.drop("_src_file", "_src_path", "_src_block", "_src_row")
+    return df.drop(*SOURCE_ORDER)

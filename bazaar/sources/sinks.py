@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV, no index column; one file per task (no single-file funnel)."""
-    df.write.mode(mode).option("header", "true").csv(path)
+    """Header CSV, no index column; one file per task (no single-file funnel).
+
+    Text is written as is: Spark's CSV writer trims spaces by default, which
+    would turn 'Kolkata ' into 'Kolkata' before the cleaning rules see it.
+    """
+    (df.write.mode(mode).option("header", "true")
+       .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+       .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
