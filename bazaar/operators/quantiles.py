@@ -4,21 +4,27 @@
 for a global quantile. Here instead:
 
 1. values are counted per distinct value (map-side combine, one shuffle);
-2. if there are few distinct values they are ranked in one task; otherwise
-   an approximate sketch over the distinct values cuts them into ranges of
+2. a column with few distinct values is ranked in one task; otherwise an
+   approximate sketch over its distinct values cuts them into ranges of
    about equal size (only the range edges reach the driver) and a per-range
    total (one row per range) gives each range's first rank;
 3. only the ranges holding the wanted ranks are sorted, each in its own
    task, to read the exact values at those ranks.
 
-The result is the number ``percentile`` / ``quantile_cont`` give: with
-``n`` values and ``pos = (n - 1) * p``, value[floor] + (value[ceil] -
-value[floor]) * (pos - floor).
+Several columns are handled together: their value counts share one shuffle,
+one statistics job and one final job.
+
+The result is the number DuckDB's ``quantile_cont`` gives: with ``n``
+values and ``pos = (n - 1) * p``, value[floor] + (value[ceil] -
+value[floor]) * (pos - floor). (Spark's ``percentile`` computes the same
+interpolation in a different floating-point form, which can differ in the
+last bit.)
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -30,32 +36,34 @@ DEFAULT_RANGES = 1024
 SINGLE_RANGE_MAX = 2_000_000
 
 
-def _value_counts(df: DataFrame, col: str) -> DataFrame:
-    v = F.col(col).cast("double")
-    return (df.select(v.alias("v"))
-              .where(F.col("v").isNotNull() & ~F.isnan("v"))
-              .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
+def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(m, v, c): for column index m, each distinct value v and its count c."""
+    if len(cols) == 1:
+        pairs = df.select(F.lit(0).alias("m"), F.col(cols[0]).cast("double").alias("v"))
+    else:
+        tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
+                                     for i, c in enumerate(cols)]))
+        pairs = df.select(tagged.alias("p")).select("p.m", "p.v")
+    return (pairs.where(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("m", "v").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _ranked(vc: DataFrame, probs: list[float], names: list[str], ranges: int,
-            single_max: int):
-    """Eager planning steps; returns (frame with start/end ranks, plan) or None if empty."""
-    stats = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).first()
-    d, n = stats["d"], stats["n"] or 0
-    if n == 0:
-        return None
+def _ranges(vc: DataFrame, d: int, n: int, ranges: int, single_max: int):
+    """Bucketed value counts of one column and its (bucket, total) list."""
     if d <= single_max or ranges <= 1:
-        bucketed = vc.withColumn("b", F.lit(0.0))
-        totals = [(0.0, n)]
-    else:
-        probs_e = [i / ranges for i in range(1, ranges)]
-        row = vc.agg(F.percentile_approx("v", probs_e, 10 * ranges).alias("e")).first()
-        edges = sorted(set(x for x in (row["e"] or []) if x is not None))
-        splits = [-math.inf] + edges + [math.inf]
-        bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vc)
-        totals = sorted((r["b"], r["t"]) for r in
-                        bucketed.groupBy("b").agg(F.sum("c").alias("t")).collect())
-
+        return vc.withColumn("b", F.lit(0.0)), [(0.0, n)]
+    probs = [i / ranges for i in range(1, ranges)]
+    row = vc.agg(F.percentile_approx("v", probs, 10 * ranges).alias("e")).first()
+    edges = sorted(set(x for x in (row["e"] or []) if x is not None))
+    bucketed = Bucketizer(splits=[-math.inf] + edges + [math.inf],
+                          inputCol="v", outputCol="b").transform(vc)
+    totals = sorted((r["b"], r["t"]) for r in
+                    bucketed.groupBy("b").agg(F.sum("c").alias("t")).collect())
+    return bucketed, totals
+
+
+def _ranked(bucketed: DataFrame, totals, n: int, probs: list[float]):
+    """Rows of the ranges that hold the wanted ranks, with their rank span; plan."""
     starts, acc = {}, 0
     for b, t in totals:
         starts[b] = acc
@@ -68,10 +76,10 @@ def _ranked(vc: DataFrame, probs: list[float], names: list[str], ranges: int,
         raise AssertionError("rank outside the data")
 
     plan, wanted = [], set()
-    for nm, p in zip(names, probs):
+    for p in probs:
         pos = (n - 1) * p
         lo, hi = math.floor(pos), math.ceil(pos)
-        plan.append((nm, lo, hi, pos - lo))
+        plan.append((lo, hi, pos - lo))
         wanted.update({bucket_of(lo), bucket_of(hi)})
 
     offset = None
@@ -79,23 +87,65 @@ def _ranked(vc: DataFrame, probs: list[float], names: list[str], ranges: int,
         cond = F.col("b") == F.lit(b)
         off = F.lit(starts[b]).cast("bigint")
         offset = F.when(cond, off) if offset is None else offset.when(cond, off)
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("m", "b").orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                             Window.currentRow)
     ranked = (bucketed.where(F.col("b").isin(*sorted(wanted)))
                       .withColumn("end", F.sum("c").over(w) + offset)
-                      .withColumn("start", F.col("end") - F.col("c")))
+                      .withColumn("start", F.col("end") - F.col("c"))
+                      .select("m", "v", "start", "end"))
     return ranked, plan
 
 
-def _pick(ranked: DataFrame, plan) -> DataFrame:
-    def at(rank: int):
-        return F.max(F.when((F.col("start") <= rank) & (F.col("end") > rank), F.col("v")))
+def _plan(df: DataFrame, cols: list[str], probs: list[float], ranges: int, single_max: int):
+    """Eager planning (one statistics job in the common case).
 
-    aggs, outs = [], []
-    for i, (nm, lo, hi, frac) in enumerate(plan):
-        aggs += [at(lo).alias(f"_lo{i}"), at(hi).alias(f"_hi{i}")]
-        lo_v, hi_v = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append((lo_v if lo == hi else lo_v + (hi_v - lo_v) * F.lit(frac)).alias(nm))
-    return ranked.agg(*aggs).select(*outs)
+    Returns the persisted value counts, the ranked-range frames and, per
+    column, either (column index, low rank, high rank, fraction) per
+    probability or NULL literals when the column has no values.
+    """
+    vc = _value_counts(df, cols).persist()
+    try:
+        stats = {r["m"]: (r["d"], r["n"]) for r in
+                 vc.groupBy("m").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).collect()}
+        parts, outs = [], []
+        for i, _ in enumerate(cols):
+            d, n = stats.get(i, (0, 0))
+            if not n:
+                outs.append([F.lit(None).cast("double")] * len(probs))
+                continue
+            bucketed, totals = _ranges(vc.where(F.col("m") == i), d, n, ranges, single_max)
+            ranked, plan = _ranked(bucketed, totals, n, probs)
+            parts.append(ranked)
+            col_out = []
+            for lo, hi, frac in plan:
+                col_out.append((i, lo, hi, frac))
+            outs.append(col_out)
+    except Exception:
+        vc.unpersist()
+        raise
+    return vc, parts, outs
+
+
+def _pick(spark, parts, outs, names):
+    def at(i: int, rank: int):
+        hit = (F.col("m") == i) & (F.col("start") <= rank) & (F.col("end") > rank)
+        return F.max(F.when(hit, F.col("v")))
+
+    aggs, selects = [], []
+    for col_out, col_names in zip(outs, names):
+        for spec, nm in zip(col_out, col_names):
+            if not isinstance(spec, tuple):
+                selects.append(spec.alias(nm))
+                continue
+            i, lo, hi, frac = spec
+            k = len(aggs)
+            aggs += [at(i, lo).alias(f"_a{k}"), at(i, hi).alias(f"_a{k + 1}")]
+            lo_v, hi_v = F.col(f"_a{k}"), F.col(f"_a{k + 1}")
+            selects.append((lo_v if lo == hi else lo_v + (hi_v - lo_v) * F.lit(frac)).alias(nm))
+    if not parts:
+        return spark.range(1).select(*selects)
+    ranked = reduce(lambda a, b: a.unionByName(b), parts)
+    return ranked.agg(*aggs).select(*selects)
 
 
 def _names(probs: list[float], names: list[str] | None) -> list[str]:
@@ -107,31 +157,32 @@ def quantile_frame(df: DataFrame, col: str, probs: list[float],
                    single_max: int = SINGLE_RANGE_MAX) -> DataFrame:
     """One-row DataFrame with the exact quantiles of ``col`` (NULL/NaN ignored).
 
-    The planning jobs (distinct count, optional range edges and totals) run
-    now; the returned frame's own work (the ranked ranges) stays lazy.
+    The planning jobs run now; the returned frame's own work (the ranked
+    ranges) stays lazy.
     """
-    names = _names(probs, names)
-    r = _ranked(_value_counts(df, col), probs, names, ranges, single_max)
-    if r is None:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(nm) for nm in names])
-    return _pick(*r)
+    vc, parts, outs = _plan(df, [col], probs, ranges, single_max)
+    vc.unpersist()
+    return _pick(df.sparkSession, parts, outs, [_names(probs, names)])
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float], ranges: int = DEFAULT_RANGES,
-              single_max: int = SINGLE_RANGE_MAX) -> list[float | None]:
-    """The exact quantiles as Python floats.
+def quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
+                    ranges: int = DEFAULT_RANGES,
+                    single_max: int = SINGLE_RANGE_MAX) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns as Python floats, in one pass.
 
-    The per-value counts are kept (memory, spilling to disk) for the two or
-    three small jobs and released afterwards; a lost block is recomputed.
+    The value counts are kept (memory, spilling to disk) for the few small
+    jobs and released afterwards; a lost block is recomputed.
     """
-    names = _names(probs, None)
-    vc = _value_counts(df, col).persist()
+    vc, parts, outs = _plan(df, cols, probs, ranges, single_max)
     try:
-        r = _ranked(vc, probs, names, ranges, single_max)
-        if r is None:
-            return [None] * len(probs)
-        row = _pick(*r).first()
-        return [row[i] for i in range(len(probs))]
+        names = [[f"_c{i}_{j}" for j in range(len(probs))] for i in range(len(cols))]
+        row = _pick(df.sparkSession, parts, outs, names).first()
+        return {c: [row[f"_c{i}_{j}"] for j in range(len(probs))] for i, c in enumerate(cols)}
     finally:
         vc.unpersist()
+
+
+def quantiles(df: DataFrame, col: str, probs: list[float], ranges: int = DEFAULT_RANGES,
+              single_max: int = SINGLE_RANGE_MAX) -> list[float | None]:
+    """The exact quantiles of one column as Python floats."""
+    return quantiles_multi(df, [col], probs, ranges, single_max)[col]

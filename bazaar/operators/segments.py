@@ -9,7 +9,7 @@ from bazaar.operators.clean import dedup_keep_first
 from bazaar.operators.common import (
     group_agg, is_true, money_sum, ratio, require_columns,
 )
-from bazaar.operators.quantiles import quantiles
+from bazaar.operators.quantiles import quantiles_multi
 
 REV = "final_amount_inr"
 DATE = "order_date"
@@ -41,7 +41,7 @@ def rfm(df: DataFrame, bins: int = 5) -> DataFrame:
                     money_sum(REV).alias("monetary")).persist()
     try:
         probs = [i / bins for i in range(1, bins)]
-        cuts = {m: quantiles(per, m, probs) for m in ("recency_days", "frequency", "monetary")}
+        cuts = quantiles_multi(per, ["recency_days", "frequency", "monetary"], probs)
     finally:
         per.unpersist()
     return per.select(

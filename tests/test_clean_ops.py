@@ -95,3 +95,17 @@ def test_pipeline_properties(spark):
     lo, hi = C.iqr_bound_values(out)
     assert lo is not None and hi is not None
     out.unpersist()
+
+
+@pytest.mark.parametrize("single_max", [10**9, 3])
+def test_quantiles_multi_columns(spark, single_max):
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 30)), rnd.random() * 50 if i % 3 else None, None)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    probs = [0.2, 0.4, 0.6, 0.8]
+    got = Q.quantiles_multi(df, ["a", "b", "c"], probs, ranges=8, single_max=single_max)
+    for i, name in enumerate(["a", "b"]):
+        vals = np.array([r[i] for r in rows if r[i] is not None])
+        assert got[name] == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12, abs=1e-9)
+    assert got["c"] == [None] * 4
