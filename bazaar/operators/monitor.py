@@ -22,9 +22,16 @@ def _latest(df: DataFrame) -> Column:
 
 
 def current_month(df: DataFrame) -> DataFrame:
-    """rows of the newest date's calendar month."""
+    """rows of the newest date's calendar month.
+
+    On a table partitioned by ``order_year`` the same bound is also applied
+    to the partition column, so only that year's folder is listed and read.
+    """
     start = df.agg(F.trunc(F.max(DATE), "MM")).scalar()
-    return df.where((F.col(DATE) >= start) & (F.col(DATE) < F.add_months(start, 1)))
+    cond = (F.col(DATE) >= start) & (F.col(DATE) < F.add_months(start, 1))
+    if "order_year" in df.columns:
+        cond = cond & (F.col("order_year") == F.year(start))
+    return df.where(cond)
 
 
 def month_monitor(df: DataFrame, rev_target: int | None = None,

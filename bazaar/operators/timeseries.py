@@ -96,9 +96,14 @@ def last_months_filter(df: DataFrame, months: int = 12, date_col: str = DATE) ->
     """F8: rows of the ``months`` calendar months ending with the newest date's month.
 
     The cut-off is a scalar subquery on the newest date, evaluated once.
+    ``order_year`` must hold the year of ``order_date`` when present.
     """
     cutoff = df.agg(F.add_months(F.trunc(F.max(date_col), "MM"), -(months - 1))).scalar()
-    return df.where(F.col(date_col) >= cutoff)
+    cond = F.col(date_col) >= cutoff
+    if date_col == DATE and "order_year" in df.columns:
+        # prunes the year folders of a table partitioned by order_year
+        cond = cond & (F.col("order_year") >= F.year(cutoff))
+    return df.where(cond)
 
 
 def revenue_last12(df: DataFrame) -> DataFrame:
