@@ -127,7 +127,8 @@ def parse_rating(c: str | Column) -> Column:
     ``4.25`` gives 4.2 (cut, not rounded); ``4 stars`` (which stops the
     reference) and ``nan`` give NULL.
     """
-    s = F.substring(py_strip(F.replace(_c(c).cast("string"), F.lit("/5"), F.lit(""))), 1, 3)
+    cut = F.substring(py_strip(F.replace(_c(c).cast("string"), F.lit("/5"), F.lit(""))), 1, 3)
+    s = py_strip(cut)  # float() itself ignores spaces around the cut text ('4. 5' -> '4. ')
     return F.when(s.rlike(NUMBER_RE), s.cast("double"))
 
 

@@ -268,7 +268,7 @@ def d_num(c: str) -> str:
 
 
 def d_rating(c: str, fallback: str) -> str:
-    s3 = f"substr(trim(replace(CAST({c} AS STRING), '/5', ''), {WS}), 1, 3)"
+    s3 = f"trim(substr(trim(replace(CAST({c} AS STRING), '/5', ''), {WS}), 1, 3), {WS})"
     return (f"COALESCE(CASE WHEN regexp_matches({s3}, '{NUM_RE}') THEN TRY_CAST({s3} AS DOUBLE) END, "
             f"CAST({fallback} AS DOUBLE))")
 
