@@ -76,9 +76,12 @@ def subcategory_share(df: DataFrame) -> DataFrame:
     """Revenue per subcategory and its share of the total."""
     require_columns(df, ["subcategory", REV], "subcategory_share")
     rev = group_agg(df, ["subcategory"], money_sum(REV).alias("revenue"))
-    # Window over the small per-subcategory result, not over the fact rows.
-    total = F.sum("revenue").over(Window.partitionBy())
-    return rev.withColumn("share", ratio(F.col("revenue"), total))
+    # The total is a one-row aggregate of the grouped result (the grouping
+    # exchange is reused), attached by broadcast: no step gathers the
+    # groups into one partition.
+    total = rev.agg(F.sum("revenue").alias("_total"))
+    return (attach_scalars(rev, total)
+            .select("subcategory", "revenue", ratio(F.col("revenue"), F.col("_total")).alias("share")))
 
 
 def profit_margin(df: DataFrame, cost_pct: float = 70, n: int | None = 20) -> DataFrame:
