@@ -249,7 +249,8 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Cuts the lineage at a shuffle boundary (a lost executor re-reads files
     instead of recomputing the dedup) and lets the later passes read only the
-    columns they need.
+    columns they need. ``bazaar.session.clear_scratch`` removes such tables
+    once the results are written.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)

@@ -67,3 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables this session staged (silver fact table,
+    fixtures, pipeline stages) and forget them.
+
+    Uses the Hadoop file system of the checkpoint folder, so it works for
+    shared stores as well as local paths. DataFrames built on the staged
+    tables must not be used afterwards.
+    """
+    base = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+    from bazaar.sources import fixtures, tables
+    app = spark.sparkContext.applicationId
+    for cache in (tables._READS, tables._FACTS, fixtures._STAGED):
+        for key in [k for k in cache if k[0] == app]:
+            del cache[key]

@@ -95,3 +95,18 @@ def test_csv_ingest_then_pipeline_matches_parquet_fixture(spark, tmpdir_path):
     assert len(a) == len(b) > 0
     assert a == b
     assert not [c for c in from_csv.columns if c.startswith("_src_")]
+
+
+def test_clear_scratch_removes_staged_tables(spark):
+    """Staged tables are deleted and forgotten; the next use rebuilds them."""
+    from bazaar.session import clear_scratch, scratch_path
+    from bazaar.sources import tables
+    from conftest import SF_SMALL
+    n = tables.fact_table(spark, SF_SMALL).count()
+    base = os.path.dirname(scratch_path(spark, "x")).replace("file:", "", 1)
+    assert n > 0 and os.path.isdir(base)
+    clear_scratch(spark)
+    app = spark.sparkContext.applicationId
+    assert not os.path.exists(base)
+    assert not [k for k in tables._FACTS if k[0] == app]
+    assert tables.fact_table(spark, SF_SMALL).count() == n
