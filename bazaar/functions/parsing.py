@@ -48,26 +48,41 @@ def checked_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(month_ok, F.when(d.between(F.lit(1), days_in_month), F.make_date(y, m, d)))
 
 
-# Shape of a date text: 4-digit year first or last, one separator used twice.
-YEAR_FIRST_RE = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
-YEAR_LAST_RE = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
+# Shape of a date text: three numbers, one separator used twice.
+DATE_SHAPE_RE = r"^\d{1,4}([-/.])\d{1,2}\1\d{1,4}$"
 
 
-def date_fields(s: Column) -> dict[str, Column]:
+def date_text(s: Column) -> dict[str, Column]:
+    """First-stage facts of a date text (stage these as columns): ``t``, the
+    text with every separator turned into '-', and ``ok``, whether it has the
+    shape of three numbers with one separator used twice."""
+    return {"t": F.translate(s, "/.", "--"), "ok": s.rlike(DATE_SHAPE_RE)}
+
+
+def date_fields(s: Column, t: Column | None = None, ok: Column | None = None) -> dict[str, Column]:
     """Per-row facts a date text is parsed from (stage these as columns).
 
     ``shape``: 'first' / 'last' (position of the 4-digit year) or NULL when
     the text has neither form; ``sep``: the separator; ``f1..f3``: the three
-    numbers in text order.
+    numbers in text order. ``t`` and ``ok`` are :func:`date_text` of ``s``.
+    The fields are cut with ``substring_index`` on the literal '-' (no
+    regular expression, no cast of text that is not digits).
     """
-    parts = F.split(s, r"[-/.]")
-    shape = F.when(s.rlike(YEAR_FIRST_RE), F.lit("first")).when(s.rlike(YEAR_LAST_RE), F.lit("last"))
+    if t is None or ok is None:
+        first = date_text(s)
+        t, ok = first["t"], first["ok"]
+    a = F.substring_index(t, "-", 1)
+    b = F.substring_index(F.substring_index(t, "-", 2), "-", -1)
+    c = F.substring_index(t, "-", -1)
+    n1, n3 = F.length(a), F.length(c)
+    shape = (F.when(ok & (n1 == 4) & (n3 <= 2), F.lit("first"))
+              .when(ok & (n3 == 4) & (n1 <= 2), F.lit("last")))
     return {
         "shape": shape,
-        "sep": F.regexp_extract(s, r"^\d+([-/.])", 1),
-        "f1": F.try_element_at(parts, F.lit(1)).try_cast("int"),
-        "f2": F.try_element_at(parts, F.lit(2)).try_cast("int"),
-        "f3": F.try_element_at(parts, F.lit(3)).try_cast("int"),
+        "sep": F.when(ok, F.substring(s, n1 + 1, F.lit(1))),
+        "f1": F.when(ok, a.cast("int")),
+        "f2": F.when(ok, b.cast("int")),
+        "f3": F.when(ok, c.cast("int")),
     }
 
 

@@ -55,12 +55,13 @@ def clean_dates(df: DataFrame, col: str = "order_date") -> DataFrame:
 def stage_dates(df: DataFrame, col: str, formats: list[str]) -> DataFrame:
     """Replace text ``col`` by its date, trying ``formats`` in order."""
     staged = df.withColumn("_s", P.py_strip(col))
-    fields = P.date_fields(F.col("_s"))
+    staged = staged.withColumns({f"_{k}": v for k, v in P.date_text(F.col("_s")).items()})
+    fields = P.date_fields(F.col("_s"), F.col("_t"), F.col("_ok"))
     staged = staged.withColumns({f"_{k}": v for k, v in fields.items()})
     d = P.date_from_fields({k: F.col(f"_{k}") for k in fields}, formats)
     staged = staged.withColumn("_d", d)
     return (staged.withColumn(col, P.in_date_range(F.col("_d")))
-                  .drop("_s", "_d", *[f"_{k}" for k in fields]))
+                  .drop("_s", "_t", "_ok", "_d", *[f"_{k}" for k in fields]))
 
 
 def clean_prices(df: DataFrame, col: str = "original_price_inr") -> DataFrame:
