@@ -42,8 +42,8 @@ def test_csv_and_parquet_round_trip(spark, tmpdir_path):
 
 
 def test_jdbc_options():
-    o = sinks.jdbc_options("jdbc:mysql://h:3306/db", "amazon_orders", user="u", password="p")
-    assert o["batchsize"] == "1000" and o["dbtable"] == "amazon_orders"
+    o = sinks.jdbc_options("jdbc:mysql://h:3306/db", "orders_clean", user="u", password="p")
+    assert o["batchsize"] == "1000" and o["dbtable"] == "orders_clean"
     assert o["url"].endswith("?rewriteBatchedStatements=true")
     o2 = sinks.jdbc_options("jdbc:postgresql://h/db", "t", batchsize=500)
     assert o2["url"] == "jdbc:postgresql://h/db" and "user" not in o2 and o2["batchsize"] == "500"
