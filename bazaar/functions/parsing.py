@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bazaar.schema import (
-    BOOL_TEXT_MAP, CATEGORY_MAP, CITY_MAP, DATE_FORMATS, FALSE_TOKENS, MAX_DATE,
+    BOOL_TEXT_MAP, CATEGORY_MAP, CITY_MAP, DATE_FORMATS, DELIVERY_TEXT_DAYS, FALSE_TOKENS, MAX_DATE,
     MIN_DATE, MISSING_TOKENS, PLAIN_DELIVERY_DAYS, STRIP_CHARS, TRUE_TOKENS,
 )
 
@@ -183,9 +183,7 @@ def normalise_delivery_days(days: str | Column, delivery_type: str | Column | No
     prime members, otherwise.
     """
     d = _c(days).cast("string")
-    # special text -> (fast, standard+prime, other)
-    table = {"-1": (0, 1, 2), "1-2 days": (1, 2, 3), "Express": (0, 1, 2),
-             "Same Day": (0, 1, 2), "15": (1, 3, 5)}
+    table = DELIVERY_TEXT_DAYS
     out = F.when(d.isin(*PLAIN_DELIVERY_DAYS), d.cast("int"))
     if mode == "observed":
         for text, (fast, _, _) in table.items():

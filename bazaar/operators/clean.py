@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from bazaar.functions import parsing as P
 from bazaar.operators.quantiles import quantile_frame, quantiles
 from bazaar.plans.joins import attach_scalars
-from bazaar.schema import AUDIT_COPIES, BOOLEAN_COLUMNS, DEDUP_KEYS, NUMERIC_COLUMNS
+from bazaar.schema import (
+    AUDIT_COPIES, BOOLEAN_COLUMNS, DEDUP_KEYS, DELIVERY_CHARGES_FILL, FESTIVAL_FILL, NUMERIC_COLUMNS,
+)
 from bazaar.session import scratch_path
 
 
@@ -225,14 +227,15 @@ def fill_missing(df: DataFrame) -> DataFrame:
     """C19..C21: delivery charges 0.0, age group by its mode, festival 'Normal Day'."""
     if _has(df, "delivery_charges"):
         df = df.withColumn("delivery_charges",
-                           F.coalesce(F.col("delivery_charges").cast("double"), F.lit(0.0)))
+                           F.coalesce(F.col("delivery_charges").cast("double"),
+                                      F.lit(DELIVERY_CHARGES_FILL)))
     if _has(df, "customer_age_group"):
         m = mode_frame(df, "customer_age_group").select(F.col("mode").alias("_mode"))
         df = (attach_scalars(df, m)
               .withColumn("customer_age_group", F.coalesce("customer_age_group", "_mode"))
               .drop("_mode"))
     if _has(df, "festival_name"):
-        df = df.withColumn("festival_name", F.coalesce("festival_name", F.lit("Normal Day")))
+        df = df.withColumn("festival_name", F.coalesce("festival_name", F.lit(FESTIVAL_FILL)))
     return df
 
 

@@ -76,6 +76,20 @@ FALSE_TOKENS = ["false", "0", "no"]
 # Delivery-day text accepted as a plain integer.
 PLAIN_DELIVERY_DAYS = ["0", "1", "2", "3", "4", "5", "6", "7"]
 
+# Other delivery-day text (C10) -> days for (Same Day or Express delivery,
+# Standard delivery of a prime member, any other case).
+DELIVERY_TEXT_DAYS = {
+    "-1": (0, 1, 2),
+    "1-2 days": (1, 2, 3),
+    "Express": (0, 1, 2),
+    "Same Day": (0, 1, 2),
+    "15": (1, 3, 5),
+}
+
+# Fill values of the cleaning step.
+DELIVERY_CHARGES_FILL = 0.0
+FESTIVAL_FILL = "Normal Day"
+
 # Whitespace removed by a Python str.strip() on ASCII text.
 STRIP_CHARS = " \t\n\r\x0b\x0c"
 
