@@ -105,9 +105,9 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_SOURCE_ORDER = ["transaction_id", "line_no", "product_id", "supplier_id", "line_price"]
 
 
-# Rows per written file of the fact table: bounds file size, and lets a
-# scan split the table even when one task wrote it.
-FACT_FILE_ROWS = 250_000
+# Rows per written file of the fact table (~0.5-1 GB of Parquet): bounds
+# file size without making millions of small files on a large table.
+FACT_FILE_ROWS = 5_000_000
 
 _FACTS: dict[tuple[str, str], DataFrame] = {}
 
