@@ -10,7 +10,7 @@ from bazaar.sources import csv_io, sinks
 from bazaar.sources.fixtures import dirty_sales
 
 
-def test_readme_flow(spark, tmpdir_path):
+def raw_text(spark):
     from conftest import SF_SMALL
     dirty = dirty_sales(spark, SF_SMALL)
     text = dirty.select(*[F.col(c).cast("string").alias(c) for c in dirty.columns])
@@ -21,6 +21,11 @@ def test_readme_flow(spark, tmpdir_path):
         "brand": F.lit("B1"), "payment_method": F.lit("UPI"), "discount_percent": F.lit("10"),
         "is_festival_sale": F.when(F.col("festival_name").isNotNull(), "True").otherwise("False"),
         "return_status": F.lit("False")})
+    return text
+
+
+def test_readme_flow(spark, tmpdir_path):
+    text = raw_text(spark)
     raw = os.path.join(tmpdir_path, "raw_2020")
     sinks.write_csv(text.coalesce(1), raw)
     bronze = csv_io.read_yearly_csv(spark, [raw])
@@ -44,3 +49,15 @@ def test_readme_flow(spark, tmpdir_path):
         except Exception as e:  # noqa: BLE001
             assert "missing column" in str(e), (name, e)
     assert ran >= 30
+
+
+def test_command_line(spark, tmpdir_path, capsys):
+    from bazaar.__main__ import main
+    assert main(["list"]) == 0 and "kpi_bundle" in capsys.readouterr().out
+    raw = os.path.join(tmpdir_path, "raw_2021")
+    sinks.write_csv(raw_text(spark).coalesce(1), raw)
+    lake, out = os.path.join(tmpdir_path, "lake"), os.path.join(tmpdir_path, "top")
+    assert main(["clean", "--input", raw, "--output", lake]) == 0
+    assert main(["report", "top_states", "--input", lake, "--param", "n=2", "--output", out]) == 0
+    rows = csv_io.read_csv(spark, out, with_order=False).collect()
+    assert len(rows) == 2 and float(rows[0].revenue) >= float(rows[1].revenue)
