@@ -21,13 +21,15 @@ def _latest(df: DataFrame) -> Column:
     return df.agg(F.max(DATE)).scalar()
 
 
-def current_month(df: DataFrame) -> DataFrame:
+def current_month(df: DataFrame, latest: Column | None = None) -> DataFrame:
     """rows of the newest date's calendar month.
 
-    On a table partitioned by ``order_year`` the same bound is also applied
-    to the partition column, so only that year's folder is listed and read.
+    ``latest`` is the newest-date scalar when the caller already has it (the
+    same subquery is then evaluated once). On a table partitioned by
+    ``order_year`` the bound is also applied to the partition column, so only
+    that year's folder is listed and read.
     """
-    start = df.agg(F.trunc(F.max(DATE), "MM")).scalar()
+    start = F.trunc(_latest(df) if latest is None else latest, "MM")
     cond = (F.col(DATE) >= start) & (F.col(DATE) < F.add_months(start, 1))
     if "order_year" in df.columns:
         cond = cond & (F.col("order_year") == F.year(start))
@@ -45,7 +47,7 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
     latest = _latest(df)
     orders = (F.count_distinct("transaction_id") if "transaction_id" in df.columns
               else F.count(F.lit(1)))
-    base = current_month(df).agg(
+    base = current_month(df, latest).agg(
         money_sum(REV).alias("revenue"),
         F.count_distinct("customer_id").alias("new_customers"),
         orders.alias("orders"))
