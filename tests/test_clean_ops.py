@@ -21,8 +21,13 @@ def test_dedup_plan_limits_before_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("customer_id"),
                                   F.lit("p").alias("product_name"),
                                   F.lit("d").alias("order_date"), F.col("id").alias("pos"))
-    plan = C.dedup_keep_first(df, order=["pos"])._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    out = C.dedup_keep_first(df, order=["pos"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # one limit after the exchange and one before it (the partial, map-side one)
+    exchange_at = plan.find("Exchange hashpartitioning(customer_id")
+    assert exchange_at > 0
+    assert "WindowGroupLimit" in plan[:exchange_at] and "WindowGroupLimit" in plan[exchange_at:]
 
 
 def test_iqr_bounds_literal_case(spark):
