@@ -49,9 +49,8 @@ def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _ranges(vc: DataFrame, d: int, n: int, ranges: int, single_max: int):
-    """Bucketed value counts of one column and its (bucket, total) list."""
-    if d <= single_max or ranges <= 1:
-        return vc.withColumn("b", F.lit(0.0)), [(0.0, n)]
+    """Bucketed value counts of one column with many distinct values, and its
+    (bucket, total) list."""
     probs = [i / ranges for i in range(1, ranges)]
     row = vc.agg(F.percentile_approx("v", probs, 10 * ranges).alias("e")).first()
     edges = sorted(set(x for x in (row["e"] or []) if x is not None))
@@ -75,11 +74,8 @@ def _ranked(bucketed: DataFrame, totals, n: int, probs: list[float]):
                 return b
         raise AssertionError("rank outside the data")
 
-    plan, wanted = [], set()
-    for p in probs:
-        pos = (n - 1) * p
-        lo, hi = math.floor(pos), math.ceil(pos)
-        plan.append((lo, hi, pos - lo))
+    plan, wanted = _rank_plan(n, probs), set()
+    for lo, hi, _ in plan:
         wanted.update({bucket_of(lo), bucket_of(hi)})
 
     offset = None
@@ -96,30 +92,48 @@ def _ranked(bucketed: DataFrame, totals, n: int, probs: list[float]):
     return ranked, plan
 
 
+def _rank_plan(n: int, probs: list[float]):
+    out = []
+    for p in probs:
+        pos = (n - 1) * p
+        lo, hi = math.floor(pos), math.ceil(pos)
+        out.append((lo, hi, pos - lo))
+    return out
+
+
 def _plan(df: DataFrame, cols: list[str], probs: list[float], ranges: int, single_max: int):
     """Eager planning (one statistics job in the common case).
 
     Returns the persisted value counts, the ranked-range frames and, per
     column, either (column index, low rank, high rank, fraction) per
-    probability or NULL literals when the column has no values.
+    probability or NULL literals when the column has no values. Columns with
+    few distinct values share one window (partitioned by column); a column
+    with many gets its own ranges.
     """
     vc = _value_counts(df, cols).persist()
     try:
         stats = {r["m"]: (r["d"], r["n"]) for r in
                  vc.groupBy("m").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).collect()}
-        parts, outs = [], []
+        parts, outs, small = [], [], []
         for i, _ in enumerate(cols):
             d, n = stats.get(i, (0, 0))
             if not n:
                 outs.append([F.lit(None).cast("double")] * len(probs))
-                continue
-            bucketed, totals = _ranges(vc.where(F.col("m") == i), d, n, ranges, single_max)
-            ranked, plan = _ranked(bucketed, totals, n, probs)
-            parts.append(ranked)
-            col_out = []
-            for lo, hi, frac in plan:
-                col_out.append((i, lo, hi, frac))
-            outs.append(col_out)
+            elif d <= single_max or ranges <= 1:
+                small.append(i)
+                outs.append([(i, lo, hi, frac) for lo, hi, frac in _rank_plan(n, probs)])
+            else:
+                bucketed, totals = _ranges(vc.where(F.col("m") == i), d, n, ranges, single_max)
+                ranked, plan = _ranked(bucketed, totals, n, probs)
+                parts.append(ranked)
+                outs.append([(i, lo, hi, frac) for lo, hi, frac in plan])
+        if small:
+            w = Window.partitionBy("m").orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                                Window.currentRow)
+            parts.append(vc.where(F.col("m").isin(*small))
+                           .withColumn("end", F.sum("c").over(w))
+                           .withColumn("start", F.col("end") - F.col("c"))
+                           .select("m", "v", "start", "end"))
     except Exception:
         vc.unpersist()
         raise

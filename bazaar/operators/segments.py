@@ -38,12 +38,10 @@ def rfm(df: DataFrame, bins: int = 5) -> DataFrame:
     per = group_agg(df, ["customer_id"],
                     F.datediff(now, F.max(DATE)).alias("recency_days"),
                     F.count_distinct("transaction_id").alias("frequency"),
-                    money_sum(REV).alias("monetary")).persist()
-    try:
-        probs = [i / bins for i in range(1, bins)]
-        cuts = quantiles_multi(per, ["recency_days", "frequency", "monetary"], probs)
-    finally:
-        per.unpersist()
+                    money_sum(REV).alias("monetary"))
+    # one pass over the per-customer table for all three sets of cut points
+    probs = [i / bins for i in range(1, bins)]
+    cuts = quantiles_multi(per, ["recency_days", "frequency", "monetary"], probs)
     return per.select(
         "customer_id", "recency_days", "frequency", "monetary",
         _score(F.col("recency_days"), cuts["recency_days"], higher_is_better=False).alias("r_score"),
