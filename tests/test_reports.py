@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from bazaar.operators import agg, cohort, monitor, timeseries as ts
 from bazaar.operators.common import MissingColumnsError, group_agg, mean, money_sum
