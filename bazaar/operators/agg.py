@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.operators.common import (
-    decimal_total, group_agg, is_true, mean, money, money_sum, num_sum, ratio, require_columns, top_k,
+    decimal_total, distinct_count, group_agg, is_true, mean, money, money_sum, num_sum, ratio,
+    require_columns, top_k,
 )
 from bazaar.plans.joins import attach_scalars
 
@@ -22,10 +23,10 @@ def _with_year(df: DataFrame) -> DataFrame:
     return df if "order_year" in df.columns else df.withColumn("order_year", F.year("order_date"))
 
 
-def _order_count(df: DataFrame) -> Column:
+def _order_count(df: DataFrame, approx: bool = False) -> Column:
     """A3: distinct transactions, or the row count without that column."""
     if "transaction_id" in df.columns:
-        return F.count_distinct("transaction_id")
+        return distinct_count("transaction_id", approx)
     return F.count(F.lit(1))
 
 
@@ -58,13 +59,17 @@ def yoy_growth(df: DataFrame) -> DataFrame:
         F.max(growth).alias("yoy_growth"))
 
 
-def kpi_bundle(df: DataFrame) -> DataFrame:
-    """A1..A4 + A6 in one row: revenue, customers, orders, AOV, growth."""
+def kpi_bundle(df: DataFrame, approx: bool = False) -> DataFrame:
+    """A1..A4 + A6 in one row: revenue, customers, orders, AOV, growth.
+
+    ``approx`` counts customers and orders with HyperLogLog++ instead of
+    exactly (for very large tables; the reference counts exactly).
+    """
     require_columns(df, [REV, "customer_id"], "kpi_bundle")
     base = df.agg(
         money_sum(REV).alias("total_revenue"),
-        F.count_distinct("customer_id").alias("active_customers"),
-        _order_count(df).alias("orders"),
+        distinct_count("customer_id", approx).alias("active_customers"),
+        _order_count(df, approx).alias("orders"),
     ).withColumn("aov", F.coalesce(ratio(F.col("total_revenue"), F.col("orders")), F.lit(0.0)))
     growth = yoy_growth(df).select("yoy_growth")
     return attach_scalars(base, growth)
@@ -156,11 +161,11 @@ def median_delivery_by_state(df: DataFrame, n: int | None = 30) -> DataFrame:
     return top_k(med, "median_delivery_days", ["customer_state"], n, ascending=True)
 
 
-def payment_summary(df: DataFrame) -> DataFrame:
+def payment_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     """Distinct transactions and revenue per payment method."""
     require_columns(df, ["payment_method", "transaction_id", REV], "payment_summary")
     return group_agg(df, ["payment_method"],
-                     F.count_distinct("transaction_id").alias("orders"),
+                     distinct_count("transaction_id", approx).alias("orders"),
                      money_sum(REV).alias("revenue"))
 
 
@@ -171,7 +176,8 @@ def avg_rating_delivery(df: DataFrame) -> DataFrame:
                   mean("delivery_days").alias("avg_delivery_days"))
 
 
-def return_rate(df: DataFrame, returned_values: list | None = None) -> DataFrame:
+def return_rate(df: DataFrame, returned_values: list | None = None,
+                approx: bool = False) -> DataFrame:
     """A17 + A18: orders, returned rows, return rate and active SKUs.
 
     Default counts rows whose ``return_status`` is boolean true (text such as
@@ -184,9 +190,9 @@ def return_rate(df: DataFrame, returned_values: list | None = None) -> DataFrame
     else:
         is_ret = F.col("return_status").cast("string").isin(*[str(v) for v in returned_values])
     return df.agg(
-        _order_count(df).alias("orders"),
+        _order_count(df, approx).alias("orders"),
         F.count_if(is_ret).alias("returns"),
-        F.count_distinct("product_id").alias("active_skus"),
+        distinct_count("product_id", approx).alias("active_skus"),
     ).withColumn("return_rate", ratio(F.col("returns"), F.col("orders")))
 
 

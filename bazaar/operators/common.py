@@ -29,6 +29,16 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Relative standard deviation of approximate distinct counts (HyperLogLog++).
+APPROX_RSD = 0.01
+
+
+def distinct_count(c: str | Column, approx: bool = False) -> Column:
+    """Distinct non-NULL values: exact by default; ``approx`` uses
+    HyperLogLog++ (fixed-size sketches merged map-side, no shuffle of ids)."""
+    return F.approx_count_distinct(col_of(c), APPROX_RSD) if approx else F.count_distinct(col_of(c))
+
+
 def money(c: str | Column) -> Column:
     """A money value as exact decimal (NULL when it does not fit)."""
     return col_of(c).try_cast(MONEY_TYPE)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators.agg import kpi_bundle
-from bazaar.operators.common import mean, money_sum, require_columns
+from bazaar.operators.common import distinct_count, mean, money_sum, require_columns
 
 REV = "final_amount_inr"
 DATE = "order_date"
@@ -37,7 +37,7 @@ def current_month(df: DataFrame, latest: Column | None = None) -> DataFrame:
 
 
 def month_monitor(df: DataFrame, rev_target: int | None = None,
-                  cust_target: int = 1000) -> DataFrame:
+                  cust_target: int = 1000, approx: bool = False) -> DataFrame:
     """M1..M3: month revenue, customers, orders, targets, deltas and run-rate (one row).
 
     The default revenue target is the integer part of 1.1 x month revenue.
@@ -45,11 +45,11 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
     """
     require_columns(df, [DATE, REV, "customer_id"], "month_monitor")
     latest = _latest(df)
-    orders = (F.count_distinct("transaction_id") if "transaction_id" in df.columns
+    orders = (distinct_count("transaction_id", approx) if "transaction_id" in df.columns
               else F.count(F.lit(1)))
     base = current_month(df, latest).agg(
         money_sum(REV).alias("revenue"),
-        F.count_distinct("customer_id").alias("new_customers"),
+        distinct_count("customer_id", approx).alias("new_customers"),
         orders.alias("orders"))
     target = (F.lit(int(rev_target)).cast("bigint") if rev_target is not None
               else (F.col("revenue") * 1.1).cast("bigint"))
@@ -66,9 +66,9 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
 
 
 def month_alerts(df: DataFrame, rev_target: int | None = None,
-                 cust_target: int = 1000) -> DataFrame:
+                 cust_target: int = 1000, approx: bool = False) -> DataFrame:
     """M4: one row per KPI below a positive target: (kpi, target, actual, shortfall)."""
-    m = month_monitor(df, rev_target, cust_target)
+    m = month_monitor(df, rev_target, cust_target, approx)
     rev = F.when((F.col("rev_target") > 0) & (F.col("revenue") < F.col("rev_target")),
                  F.struct(F.lit("revenue").alias("kpi"),
                           F.col("rev_target").cast("double").alias("target"),
@@ -91,9 +91,9 @@ def month_operations(df: DataFrame) -> DataFrame:
                                  mean("customer_rating").alias("avg_customer_rating"))
 
 
-def command_center(df: DataFrame) -> DataFrame:
+def command_center(df: DataFrame, approx: bool = False) -> DataFrame:
     """M6: KPI bundle plus a status: ``alert`` when growth is known and negative."""
-    k = kpi_bundle(df)
+    k = kpi_bundle(df, approx)
     status = F.when(F.col("yoy_growth").isNotNull() & (F.col("yoy_growth") < 0), F.lit("alert")) \
               .otherwise(F.lit("ok"))
     return k.select("total_revenue", "active_customers", "yoy_growth", status.alias("status"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.operators.common import RATIO_PLACES, money_sum, require_columns
+from bazaar.operators.common import RATIO_PLACES, distinct_count, money_sum, require_columns
 
 REV = "final_amount_inr"
 DATE = "order_date"
@@ -66,7 +66,7 @@ def revenue_rolling12(df: DataFrame) -> DataFrame:
 
 
 def monthly_distinct(df: DataFrame, id_col: str, date_col: str = DATE,
-                     out: str | None = None) -> DataFrame:
+                     out: str | None = None, approx: bool = False) -> DataFrame:
     """Distinct ``id_col`` per month, labelled by the month's first day.
 
     Months without rows are absent. Spark pre-aggregates (month, id) pairs on
@@ -75,21 +75,21 @@ def monthly_distinct(df: DataFrame, id_col: str, date_col: str = DATE,
     require_columns(df, [date_col, id_col], "monthly_distinct")
     return (df.where(F.col(date_col).isNotNull())
               .groupBy(F.trunc(F.col(date_col), "MM").alias("month_start"))
-              .agg(F.count_distinct(id_col).alias(out or f"distinct_{id_col}")))
+              .agg(distinct_count(id_col, approx).alias(out or f"distinct_{id_col}")))
 
 
-def monthly_customers(df: DataFrame) -> DataFrame:
-    return monthly_distinct(df, "customer_id", out="customers")
+def monthly_customers(df: DataFrame, approx: bool = False) -> DataFrame:
+    return monthly_distinct(df, "customer_id", out="customers", approx=approx)
 
 
-def monthly_skus(df: DataFrame) -> DataFrame:
-    return monthly_distinct(df, "product_id", out="skus")
+def monthly_skus(df: DataFrame, approx: bool = False) -> DataFrame:
+    return monthly_distinct(df, "product_id", out="skus", approx=approx)
 
 
-def cumulative_customers(df: DataFrame) -> DataFrame:
+def cumulative_customers(df: DataFrame, approx: bool = False) -> DataFrame:
     """T5: running total of T3 monthly customers (repeat customers recount)."""
     w = Window.orderBy("month_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return monthly_customers(df).withColumn("cumulative", F.sum("customers").over(w))
+    return monthly_customers(df, approx).withColumn("cumulative", F.sum("customers").over(w))
 
 
 def last_months_filter(df: DataFrame, months: int = 12, date_col: str = DATE) -> DataFrame:

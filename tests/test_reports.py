@@ -111,3 +111,20 @@ def test_profit_margin_missing_values(spark):
     r = agg.profit_margin(df).first()
     assert r.revenue == 150.0 and r.assumed_cost == pytest.approx(21.0)
     assert r.profit == pytest.approx(100.0 - 14.0) and r.margin_pct == pytest.approx(86.0 / 150.0, abs=1e-6)
+
+
+def test_approximate_distinct_counts(spark):
+    from conftest import SF_SMALL
+    from bazaar.sources.tables import fact_table
+    facts = fact_table(spark, SF_SMALL)
+    exact, approx = agg.kpi_bundle(facts).first(), agg.kpi_bundle(facts, approx=True)
+    a = approx.first()
+    assert abs(a.active_customers - exact.active_customers) <= 0.03 * exact.active_customers
+    assert abs(a.orders - exact.orders) <= 0.03 * exact.orders
+    assert a.total_revenue == exact.total_revenue
+    plan = approx._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and "Expand" not in plan
+    months = {r.month_start: r.customers for r in ts.monthly_customers(facts, approx=True).collect()}
+    exact_m = {r.month_start: r.customers for r in ts.monthly_customers(facts).collect()}
+    assert months.keys() == exact_m.keys()
+    assert all(abs(months[k] - exact_m[k]) <= max(1, 0.05 * exact_m[k]) for k in months)
