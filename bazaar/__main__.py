@@ -14,6 +14,8 @@ import sys
 
 
 def _value(text: str):
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
     for cast in (int, float):
         try:
             return cast(text)

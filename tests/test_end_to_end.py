@@ -61,3 +61,6 @@ def test_command_line(spark, tmpdir_path, capsys):
     assert main(["report", "top_states", "--input", lake, "--param", "n=2", "--output", out]) == 0
     rows = csv_io.read_csv(spark, out, with_order=False).collect()
     assert len(rows) == 2 and float(rows[0].revenue) >= float(rows[1].revenue)
+    from bazaar.__main__ import _params
+    assert _params(["approx=true", "n=3", "cost_pct=65.5", "subcategory=S1"]) == \
+        {"approx": True, "n": 3, "cost_pct": 65.5, "subcategory": "S1"}
