@@ -108,3 +108,21 @@ def test_no_python_udf_in_cleaning_plans(spark):
                                "order_date string, customer_rating string, original_price_inr string, delivery_days string")
     plan = C.standardise(df)._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_load_view_types_a_text_file(spark):
+    from bazaar.operators.typing import load_view
+    df = spark.createDataFrame(
+        [("2021-04-05", "1,200", "3", " Yes ", "0", "2"), ("04/13/2021 10:00", "15.5", "x", "no", "TRUE", None),
+         ("junk", "1e3", None, "maybe", None, "7")],
+        "order_date string, final_amount_inr string, quantity string, is_prime_member string, "
+        "is_festival_sale string, delivery_days string")
+    rows = load_view(df).collect()
+    assert [r.order_date for r in rows] == [dt.date(2021, 4, 5), dt.date(2021, 4, 13), None]
+    assert [r.order_quarter for r in rows] == ["2021Q2", "2021Q2", None]
+    assert [r.order_year for r in rows] == [2021, 2021, None]
+    assert [r.final_amount_inr for r in rows] == [None, 15.5, 1000.0]
+    assert [r.quantity for r in rows] == [3.0, None, None]
+    assert [r.is_prime_member for r in rows] == [True, False, None]
+    assert [r.is_festival_sale for r in rows] == [False, True, None]
+    assert [r.delivery_days for r in rows] == [2.0, None, 7.0]
