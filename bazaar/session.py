@@ -24,8 +24,9 @@ def build_session(master: str | None = None, app: str = "bazaar",
                   extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
-    On a cluster leave ``master`` unset and size ``shuffle_partitions`` to
-    the input (roughly input bytes / 128 MB); locally it defaults to cores.
+    On a cluster leave ``master`` unset and size ``shuffle_partitions`` so a
+    shuffle partition holds a few hundred MB (AQE coalesces small ones and
+    splits skewed ones); locally use about the number of cores.
     """
     b = SparkSession.builder.appName(app)
     if master:
