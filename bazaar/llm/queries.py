@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import exact_dedup, licenses, line_dedup, mixing, secrets
+from bazaar.llm import (
+    chunk_dedup,
+    decontam,
+    exact_dedup,
+    jaccard_join,
+    licenses,
+    line_dedup,
+    mixing,
+    nbsvm,
+    secrets,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +31,35 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = chunk_dedup.dedup_substrings(docs.withColumn("_before", F.length("text")))
+    spans = F.transform("_passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string")))
+    return out.select("doc_id", F.coalesce("_before", F.lit(0)).alias("n_chars"),
+                      F.col("_n_repeated").alias("n_repeated"),
+                      F.coalesce(F.col("_before") - F.length("text"), F.lit(0)).alias("n_dropped_chars"),
+                      F.coalesce(F.array_join(spans, ","), F.lit("")).alias("passages"),
+                      F.coalesce("_first_ids", F.array().cast("array<long>")).alias("first_ids"), "text")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(_documents(spark, sf_dir))
     return out.select("doc_id", "source", F.col("_lines_in").alias("n_lines"),
                       F.col("_lines_dropped").alias("n_dropped"), "text")
 
 
+def op6_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -39,15 +73,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.concat(base, F.col("entropy"))).alias("spans"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nbsvm": op6_nbsvm,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secrets": op8_secrets,
+    "op9_decontam": op9_decontam,
     "op10_licenses": op10_licenses,
 }
 

@@ -18,6 +18,9 @@ SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII other than letters and digits: separators of plain words.
+_OTHER = np.zeros(256, bool)
+_OTHER[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _rng = np.random.default_rng(20240229)
@@ -81,14 +84,17 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
         at = to
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Words]:
+def words_of(column: pa.Array | pa.ChunkedArray, plain: bool = False) -> Iterator[Words]:
+    """Words of a column, slice by slice; ``plain`` words also end at ASCII
+    punctuation."""
+    apart = _OTHER if plain else _SPACE
     for first, base, data in slices(column):
         if not len(data):
             none = np.zeros(0, np.int64)
             yield Words(first, np.zeros(len(base), np.int64), none.astype(np.uint64), none, none,
                         base, data)
             continue
-        word = ~_SPACE[data]
+        word = ~apart[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[base] = True
         starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]) | word & cut[:-1])
@@ -98,7 +104,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator
         at = np.cumsum(lens) - lens
         inside = data[word]
         place = np.arange(len(inside)) - np.repeat(at, lens)
-        value = (_BYTE_LOWER if lower else _BYTE)[inside]
+        value = _BYTE_LOWER[inside]
         value *= _power(int(lens.max()) if len(lens) else 1)[place]
         hashes = mix(np.add.reduceat(value, at)) if len(at) else np.zeros(0, np.uint64)
         yield Words(first, np.searchsorted(starts, base), hashes, starts, ends, base, data)
