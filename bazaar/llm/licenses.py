@@ -16,8 +16,10 @@ other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
-from itertools import chain
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
 )
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rarest present words that a text looks up.
 LOOKUPS = 8
 MIN_SCORE = 0.6
@@ -63,19 +65,18 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(text)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+def words(low: Column) -> Column:
+    """Words of a lower-cased text: what lies between the separators."""
+    return F.array_remove(F.split(low, SEPARATORS, -1), "")
 
 
-def vocabulary_counts(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
-    """Number of texts, and how many hold each template word. At most one row
-    per template word reaches the driver."""
-    present = F.array_intersect(words(F.coalesce(F.col(text_col), F.lit(""))),
-                                F.lit(VOCABULARY))
-    rows = (docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("w"))
+def vocabulary_counts(docs: DataFrame, text_col: str) -> dict[str, int]:
+    """How many texts hold each template word. At most one row per template
+    word reaches the driver."""
+    present = F.array_intersect(words(ascii_lower(F.col(text_col))), word_list(VOCABULARY))
+    rows = (docs.select(F.explode_outer(present).alias("w")).where("w is not null")
             .groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect())
-    counts = {r["w"]: r["n"] for r in rows}
-    return counts.pop("", 0), counts
+    return {r["w"]: r["n"] for r in rows}
 
 
 def idf(total: int, counts: dict[str, int]) -> dict[str, float]:
@@ -87,49 +88,64 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _word_at(ws: Column, at: Column) -> Column:
-    return F.get(ws, at)
+def _stands(ws: Column, at: Column, word: Column) -> Column:
+    return F.coalesce((at >= 0) & (F.get(ws, F.greatest(at, F.lit(0))) == word), F.lit(False))
 
 
-def _stands(ws: Column, start: Column, phrase: list[str]) -> Column:
-    ok = F.lit(True)
-    for i, w in enumerate(phrase):
-        ok = ok & (_word_at(ws, start + i) == w)
-    return F.coalesce(ok, F.lit(False))
+def phrase_places(ws: Column, hits: Column, phrase: str, label: str) -> Column:
+    """Word numbers at which ``phrase`` stands, from the hits of its first
+    word, each with the label."""
+    first, *rest = phrase.split()
+    found = F.filter(hits, lambda h: functools.reduce(
+        operator.and_, [_stands(ws, h["at"] + i, F.lit(w)) for i, w in enumerate(rest, 1)], h["w"] == first))
+    return F.transform(found, lambda h: F.struct(h["at"].alias("at"), F.lit(label).alias("label")))
 
 
-def phrase_starts(ws: Column, hits: Column, phrase: str) -> Column:
-    """Word numbers at which ``phrase`` stands, from the hits of its first word."""
-    parts = phrase.split()
-    first = F.filter(hits, lambda h: (h["w"] == parts[0]) & _stands(ws, h["at"], parts))
-    return F.transform(first, lambda h: h["at"])
-
-
-def template_score(ws: Column, votes: Column, number: int, weight: dict[str, float]) -> Column:
-    """Score (0 to 1) of the best place of a template, 0 where the key phrases
-    are missing or nothing voted for it."""
-    _, notice, keys = TEMPLATES[number]
-    parts = notice.split()
-    total = sum(weight[w] for w in parts)
-    # Votes carry the template's number and the start it would have in the text.
-    starts = F.array_sort(F.transform(F.filter(votes, lambda v: v["t"] == number),
-                                      lambda v: v["start"]))
-
-    def score(start: Column) -> Column:
-        got = F.lit(0.0)
-        for i, w in enumerate(parts):
-            got = got + F.when((start + i >= 0) & (_word_at(ws, F.greatest(start + i, F.lit(0))) == w),
-                               F.lit(weight[w])).otherwise(F.lit(0.0))
-        keyed = F.lit(True)
+def template_table(weight: dict[str, float]) -> Column:
+    """The templates as a constant array: number, label, words (place, word,
+    weight), their total weight, and the words of the key phrases (place,
+    word). Written as JSON, which Spark reads once while planning."""
+    rows = []
+    for t, (label, notice, keys) in enumerate(TEMPLATES):
+        parts = notice.split()
+        key_words = []
         for key in keys:
             k = key.split()
             at = next(i for i in range(len(parts)) if parts[i:i + len(k)] == k)
-            keyed = keyed & (start + at >= 0) & _stands(ws, F.greatest(start + at, F.lit(0)), k)
-        return F.when(keyed, F.least(got / total, F.lit(1.0))).otherwise(F.lit(0.0))
+            key_words += [{"at": at + i, "w": w} for i, w in enumerate(k)]
+        rows.append({"t": t, "label": label, "total": sum(weight[w] for w in parts), "keys": key_words,
+                     "words": [{"at": i, "w": w, "weight": weight[w]} for i, w in enumerate(parts)]})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<t:int,label:string,total:double,"
+                       "keys:array<struct<at:int,w:string>>,words:array<struct<at:int,w:string,weight:double>>>>")
+
+
+def posting_table() -> Column:
+    """The index as a constant map: word to its postings (template, place)."""
+    postings: dict[str, list[dict[str, int]]] = {}
+    for t, (_, notice, _) in enumerate(TEMPLATES):
+        for q, w in enumerate(notice.split()):
+            postings.setdefault(w, []).append({"t": t, "q": q})
+    return F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<t:int,q:int>>>")
+
 
+def word_list(ws: list[str]) -> Column:
+    return F.split(F.lit(" ".join(ws)), " ")
+
+
+def template_score(ws: Column, votes: Column, template: Column) -> Column:
+    """Score (0 to 1) of the best place of a template: the weight of its words
+    that stand there, 0 where a key phrase is missing."""
+    starts = F.array_sort(F.transform(F.filter(votes, lambda v: v["t"] == template["t"]), lambda v: v["start"]))
     # Places that two looked-up words or more agree on, each scored once.
     agreed = let(starts, lambda ss: F.array_distinct(F.array_compact(F.transform(
         ss, lambda s, i: F.when((i > 0) & (F.get(ss, F.greatest(i - 1, F.lit(0))) == s), s)))))
+
+    def score(start: Column) -> Column:
+        got = F.aggregate(template["words"], F.lit(0.0), lambda acc, x: acc + F.when(
+            _stands(ws, start + x["at"], x["w"]), x["weight"]).otherwise(F.lit(0.0)))
+        keyed = F.forall(template["keys"], lambda x: _stands(ws, start + x["at"], x["w"]))
+        return F.when(keyed, F.least(got / template["total"], F.lit(1.0))).otherwise(F.lit(0.0))
+
     return F.coalesce(F.array_max(F.transform(agreed, score)), F.lit(0.0))
 
 
@@ -137,54 +153,46 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: ``id_col``, n_words, n_base, first_word,
     last_word, base_labels, labels, score. Two passes over the texts, the
     first for the word counts behind the IDF; no row is shuffled."""
-    total, counts = vocabulary_counts(docs, text_col)
-    weight = idf(total, counts)
+    weight = idf(docs.count(), vocabulary_counts(docs, text_col))
     rarest = sorted(VOCABULARY, key=lambda w: (-weight[w], w))
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        for q, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append((t, q))
-    index = F.create_map(*chain.from_iterable(
-        (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in p]))
-        for w, p in sorted(postings.items())))
-    vocabulary = F.lit(VOCABULARY)
-
-    df = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = df.withColumn("_low", ascii_lower(F.col("_text")))
-    # Every base phrase and every template's key phrases need one of these.
-    anchors = sorted({max(k[0].split(), key=lambda w: (weight[w], w)) for _, _, k in TEMPLATES}
+    index, vocabulary = posting_table(), word_list(VOCABULARY)
+
+    low = F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))
+    df = docs.select(F.col(id_col), low.alias("_low"))
+    # Every base phrase and every template's key phrases need one of these: the
+    # rarest word of each, of equally rare ones the longest.
+    anchors = sorted({max(k[0].split(), key=lambda w: (weight[w], len(w), w)) for _, _, k in TEMPLATES}
                      | {p.split()[-1] for p in PHRASES})
-    marked = F.lit(False)
-    for a in anchors:
-        marked = marked | F.contains(F.col("_low"), F.lit(a))
-    df = df.select(id_col, F.regexp_count("_low", F.lit(WORD)).cast("long").alias("n_words"),
-                   F.when(marked, F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)))
-                   .otherwise(F.array().cast("array<string>")).alias("_ws"))
     ws = F.col("_ws")
-    df = df.withColumn("_hits", F.filter(
+    marked = functools.reduce(operator.or_, [
+        F.contains(F.col("_low"), F.lit(a)) if len(a) > 3 else F.array_contains(ws, a) for a in anchors])
+    df = df.select(id_col, "_low", words(F.col("_low")).alias("_ws"))
+    df = df.select(id_col, "_ws", marked.alias("_marked"))
+    df = df.select(id_col, "_ws", F.size(ws).cast("long").alias("n_words"), F.when(F.col("_marked"), F.filter(
         F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("at"))),
-        lambda h: F.array_contains(vocabulary, h["w"])))
+        lambda h: F.array_contains(vocabulary, h["w"]))).alias("_hits"))
     hits = F.col("_hits")
+    some = hits.isNotNull() & (F.size(hits) > 0)
     looked_up = let(F.array_distinct(F.transform(hits, lambda h: h["w"])), lambda present: F.slice(
-        F.filter(F.lit(rarest), lambda w: F.array_contains(present, w)), 1, LOOKUPS))
-    df = df.withColumn("_votes", F.flatten(F.transform(
-        let(looked_up, lambda ws: F.filter(hits, lambda h: F.array_contains(ws, h["w"]))),
+        F.filter(word_list(rarest), lambda w: F.array_contains(present, w)), 1, LOOKUPS))
+    votes = let(looked_up, lambda chosen: F.flatten(F.transform(
+        F.filter(hits, lambda h: F.array_contains(chosen, h["w"])),
         lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(
             p["t"].alias("t"), (h["at"] - p["q"]).alias("start"))))))
-    base = {p: phrase_starts(ws, hits, p) for p in PHRASES}
-    df = df.withColumn("_base", F.array_sort(F.concat(*base.values())))
-    df = df.withColumn("_base_labels", F.array_compact(F.array(*[
-        F.when(F.size(s) > 0, F.lit(PHRASES[p])) for p, s in base.items()])))
-    df = df.withColumn("_found", F.array(*[F.struct(
-        F.lit(TEMPLATES[t][0]).alias("label"),
-        template_score(ws, F.col("_votes"), t, weight).alias("score")) for t in range(len(TEMPLATES))]))
-    found = F.filter(F.col("_found"), lambda f: f["score"] >= MIN_SCORE)
-    labels = F.array_sort(F.array_union(F.col("_base_labels"), F.transform(found, lambda f: f["label"])))
-    start = F.col("_base")
+    # Templates of any score, and the places of the base phrases.
+    found = F.filter(let(votes, lambda vs: F.transform(template_table(weight), lambda t: F.struct(
+        t["label"].alias("label"), template_score(ws, vs, t).alias("score")))), lambda f: f["score"] > 0)
+    base = F.flatten(F.array(*[phrase_places(ws, hits, *p) for p in PHRASES.items()]))
+    df = df.select(id_col, "n_words",
+                   F.when(some, found).otherwise(F.array().cast("array<struct<label:string,score:double>>")).alias("_found"),
+                   F.when(some, base).otherwise(F.array().cast("array<struct<at:int,label:string>>")).alias("_base"))
+    base_labels = F.transform("_base", lambda b: b["label"])
+    labels = F.array_union(base_labels, F.transform(
+        F.filter("_found", lambda f: f["score"] >= MIN_SCORE), lambda f: f["label"]))
+    starts = F.transform("_base", lambda b: b["at"])
     return df.select(
-        id_col, "n_words", F.size(start).cast("long").alias("n_base"),
-        F.array_min(start).cast("long").alias("first_word"),
-        F.array_max(start).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(F.col("_base_labels"))), ",").alias("base_labels"),
-        F.array_join(F.array_distinct(labels), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform(F.col("_found"), lambda f: f["score"])), F.lit(0.0)).alias("score"))
+        id_col, "n_words", F.size("_base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("_found", lambda f: f["score"])), F.lit(0.0)).alias("score"))
