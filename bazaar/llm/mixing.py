@@ -7,8 +7,9 @@ of copies, in proportion to its importance and at most ``max_repeat``, so that
 the expected words meet the target. The whole part of it is certain; the rest
 is an inclusion probability p, and the sample is the Pareto order sample:
 documents rank by random odds over inclusion odds, (u / (1-u)) / (p / (1-p)),
-and the first ones are taken until the words nearest to the target are reached
-(a sample of fixed size in words).
+and the first ones are taken as long as the target's words are not exceeded (a
+sample of fixed size in words). What stays open, less than one document, is
+filled by the largest documents that fit, at most two a source.
 
 The random u is a hash of the id, so reruns agree. No source is ever sorted
 as a whole: a histogram of the ranks, then one of the ranks inside the bin
@@ -30,6 +31,8 @@ from bazaar.llm.scratch import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of a rank histogram; two levels narrow a source to 1 / BINS**2.
 BINS = 4096
+#: Documents a source may draw besides, to fill what the cut leaves open.
+FILLS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -148,31 +151,49 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_re
         F.col("source").alias("_s2"), F.col("bin").alias("bin2"), F.col("left").alias("left2")), "mix-cut2")
     edge = inside.drop("need").join(cut2, inside.source.eqNullSafe(cut2._s2)
                                     & (F.floor((inside["rank"] - inside.low) / (width / BINS)) == cut2.bin2))
-    # The few rows of the last bin, in order: taken while that comes nearer.
+    # The few rows of the last bin, in order: taken while they fit.
     order = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "tie")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = (edge.withColumn("_before", before)
-            .where((F.col("left2") - F.col("_before")) * 2 >= F.col("size")))
-    cut = (last.groupBy("source").agg(F.max(F.struct(
-        "rank", F.col("id").isNull().alias("no_id"), "id", "tie")).alias("edge"))
-        .select(F.col("source").alias("_s3"), "edge"))
+    last = edge.withColumn("_words", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))) \
+        .where("_words <= left2")
+    cut = (last.groupBy("source").agg(F.max(_key()).alias("edge")).select(F.col("source").alias("_s3"), "edge"))
     lowest = cut1.join(cut2, cut1._s.eqNullSafe(cut2._s2)).drop("_s2")
     lowest = lowest.join(cut, lowest._s.eqNullSafe(cut._s3), "left").drop("_s3")
-    lowest = stage(lowest.select(
-        "_s", (F.col("bin1") * F.lit(width) + F.col("bin2") * F.lit(width / BINS)).alias("below"), "bin1", "bin2", "edge"), "mix-edge")
+    lowest = stage(lowest.select("_s", "bin1", "bin2", "edge"), "mix-edge")
 
     out = ranked.join(lowest, ranked.source.eqNullSafe(lowest._s), "left")
     bin1 = F.floor(F.col("rank") / width)
     bin2 = F.floor((F.col("rank") - F.col("bin1") * F.lit(width)) / (width / BINS))
-    key = F.struct("rank", F.col("id").isNull().alias("no_id"), "id", "tie")
     taken = (F.col("rank") < 2) & (
         (bin1 < F.col("bin1"))
-        | ((bin1 == F.col("bin1")) & ((bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & (key <= F.col("edge"))))))
-    copies = F.col("whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
+        | ((bin1 == F.col("bin1")) & ((bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & (_key() <= F.col("edge"))))))
+    out = stage(out.withColumn("drawn", F.coalesce(taken, F.lit(False)))
+                .drop("_s", "bin1", "bin2", "edge"), "mix-drawn")
+    for _ in range(FILLS):
+        out = _fill(out)
+    copies = F.col("whole") + F.col("drawn").cast("int")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target",
                       copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def _key() -> Column:
+    return F.struct("rank", F.col("id").isNull().alias("no_id"), "id", "tie")
+
+
+def _fill(out: DataFrame) -> DataFrame:
+    """Draw one more document a source: the largest that still fits into what
+    the cut has left open (of equal ones the first by rank)."""
+    left = out.groupBy("source").agg(
+        (F.first("need") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("left"))
+    left = left.select(F.col("source").alias("_s"), "left")
+    fits = (~F.col("drawn")) & (F.col("rank") < 2) & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+    pick = (out.join(left, out.source.eqNullSafe(left._s)).where(fits).groupBy("source").agg(
+        F.max(F.struct("size", (-F.col("rank")).alias("first"), _key().alias("key"))).alias("pick"))
+        .select(F.col("source").alias("_s"), F.col("pick.key").alias("_pick")))
+    joined = out.join(stage(pick, "mix-fill"), out.source.eqNullSafe(F.col("_s")), "left")
+    return joined.withColumn("drawn", F.col("drawn") | F.coalesce(_key() == F.col("_pick"), F.lit(False))) \
+        .drop("_s", "_pick")
+
+
 def weights_by_position(docs: DataFrame, cycle: tuple[float, ...], source_col: str = "source") -> DataFrame:
     """(source, weight): sources by code point, null last, take the weights of
     ``cycle`` in turn. One row a source."""
