@@ -78,3 +78,14 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host: Column | Non
     out = out.withColumn(text_col, F.when(F.col("_lines_dropped") > 0, F.array_join("_stays", "\n"))
                          .otherwise(F.col(text_col)))
     return out.drop("_host", "_boilerplate", "_stays")
+
+
+def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", host: Column | None = None,
+                           chars_col: str = "n_chars") -> DataFrame:
+    """As ``drop_boilerplate`` without the extra columns; ``chars_col``, if
+    there, follows where lines went."""
+    out = drop_boilerplate(docs, text_col, host)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col("_lines_dropped") > 0, F.length(text_col).cast(
+            docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out.drop("_lines_in", "_lines_dropped")
