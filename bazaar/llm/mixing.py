@@ -113,7 +113,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_re
     default: 1 more for each doubling of the size, so longer documents are
     likelier."""
     if importance is None:
-        importance = 1.0 + F.floor(F.log2(F.col("size") + 1)).cast("double") / 8
+        importance = 1.0 + (F.length(F.bin(F.col("size") + 1)) - 1) / F.lit(8.0)
     sized = stage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))

@@ -19,6 +19,7 @@ from bazaar.llm import (
     secrets,
     toxicity,
 )
+from bazaar.llm.oracles import ORACLE_SQL  # noqa: F401 - read by the driver contract
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +94,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_licenses": op10_licenses,
 }
-
-ORACLE_SQL: dict[str, str] = {}
