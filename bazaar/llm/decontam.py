@@ -210,9 +210,9 @@ def contaminations(text: Column, block: Block, seeds: Seeds, min_score: float, i
                     same = row[a] == row[a + n - 1]
                     at.append(a[same])
                     key.append(k[same])
-            if not at:
+            at, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, key))
+            if not len(at):
                 continue
-            at, key = np.concatenate(at), np.concatenate(key)
             many = seeds.ptr[key + 1] - seeds.ptr[key]
             post = np.repeat(seeds.ptr[key] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             at = np.repeat(at, many)
