@@ -11,9 +11,9 @@ shingles. Every link is found, and classes are the connected components:
    This only saves work below.
 3. Shingles are put in one global order, rare ones first. Linked sets share a
    shingle among the first ``n - ceil(0.75 n) + 1`` of each, so nodes are dealt
-   by those. A tile holds the nodes of one shingle; in it, nodes of like size
-   that are not yet together are compared by bitmap: the bits in which two
-   bitmaps differ bound the overlap from above, exactly.
+   by those. A tile holds the nodes of the shingles that have the same smallest
+   node; in it, nodes of like size that are not yet together are compared by
+   bitmap: the bits in which two bitmaps differ bound the overlap from above.
 4. Pairs that pass are verified by intersecting the sorted shingle arrays.
 
 Shingles that at least one text in 1000 holds come last in the order; of these
@@ -47,6 +47,8 @@ BITS_PER_SHINGLE = 2
 COMMON_SHARE, COMMON_LEAST = 1 / 1000, 8
 #: Meetings verified per node in step 2.
 MEETINGS = 3
+#: Nodes that one tile compares; larger tiles are cut into blocks.
+BLOCK = 2048
 #: Tables of up to so many bytes (rows counted, fixed width) are broadcast;
 #: larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -266,53 +268,78 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, tokens: np.ndarray, cl
 
 
 def _contested(batches):
-    """Rows of shingles that nodes of different components hold. A partition
-    holds all rows of its shingles."""
+    """(owner, node) for shingles that nodes of different components hold; the
+    owner is the smallest node of the shingle. A partition holds all rows of
+    its shingles."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    token, comp = np.asarray(table.column("token")), np.asarray(table.column("comp"))
+    token, node, comp = (np.asarray(table.column(c)) for c in ("token", "node", "comp"))
     order = np.argsort(token, kind="stable")
-    t, c = token[order], comp[order]
+    t, v, c = token[order], node[order], comp[order]
     start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    differ = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
-    keep = np.repeat(differ, np.diff(np.append(start, len(t))))
-    yield from table.take(pa.array(order[keep])).to_batches()
-
-
-def contested_rows(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, tokens: np.ndarray,
-                   classes: np.ndarray) -> DataFrame:
-    """(token, node, comp) of all tiles in which there is something to compare.
+    length = np.diff(np.append(start, len(t)))
+    keep = np.repeat(np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start), length)
+    owner = np.repeat(np.minimum.reduceat(v, start), length)
+    rows = np.unique(np.stack([owner[keep], v[keep]], axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["owner", "node"])
+
+
+def tile_members(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, tokens: np.ndarray,
+                 classes: np.ndarray) -> DataFrame:
+    """(owner, node) of all tiles in which there is something to compare: a
+    tile gathers the nodes of all shingles that have the same smallest node,
+    so two nodes that share many shingles meet in few tiles, not once for each.
     ``nodes`` has id, sig1, sig2, node, comp."""
     held = prefixes(docs, id_col, text_col, tokens, classes)
     # One text of each set is enough: that of the node's id.
     held = held.join(nodes.select("sig1", "sig2", F.col("id").alias("_id"), "node", "comp"), ["sig1", "sig2"]) \
         .where(F.col("id").eqNullSafe(F.col("_id")))
     rare = held.select(F.explode("rare").alias("token"), "node", "comp")
-    plain = rare.repartition("token").mapInArrow(_contested, "token long, node long, comp long")
+    plain = rare.repartition("token").mapInArrow(_contested, "owner long, node long")
     # Common shingles: found by counts from the map side, never one task each.
     common = stage(held.select(F.explode("common").alias("token"), "node", "comp"), "jaccard-common")
-    differ = stage(common.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                   .where("lo <> hi").select("token"), "jaccard-differ")
-    return plain.unionByName(common.join(differ, "token", "left_semi"))
+    differ = stage(common.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("owner"))
+        .where("lo <> hi").select("token", "owner"), "jaccard-differ")
+    return stage(plain.unionByName(common.join(differ, "token").select("owner", "node")).distinct(), "jaccard-members")
+
+
+def tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(owner, i, j, block, node, comp, n, bits): the members of each tile with
+    their signatures. A tile of more than ``BLOCK`` nodes is cut into blocks,
+    and each pair of blocks (i, j) is a tile of its own, so that none outgrows
+    a task."""
+    large = members.groupBy("owner").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select(
+        F.col("owner").alias("_owner"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(large, F.col("owner") == F.col("_owner"), "left").select(
+        "owner", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                       "block", "node")
+    return rows.join(nodes.select("node", "comp", "n", "bits"), "node").repartition("owner", "i", "j")
 
 
 def _pairs(batches):
-    """Pairs (a, b) of one tile that may link. Tiles are keyed by shingle; in
-    each, nodes go by bitmap width (size band) and are compared with the next
-    ones of their own and of the neighbouring band."""
+    """Pairs (a, b) of a tile that may link and are not yet together. Nodes go
+    by bitmap width (size band) and are compared with the next ones of their
+    own and of the neighbouring band, as far as sizes allow a link."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    token, node, comp, n = (np.asarray(table.column(c)) for c in ("token", "node", "comp", "n"))
+    owner, i, j, block, node, comp, n = (np.asarray(table.column(c)) for c in (
+        "owner", "i", "j", "block", "node", "comp", "n"))
     bits = table.column("bits").combine_chunks()
-    order = np.lexsort((node, n, token))
-    cut = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1], [True]]))
+    order = np.lexsort((node, n, j, i, owner))
+    key = np.stack([owner[order], i[order], j[order]])
+    cut = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
     found = [np.zeros((0, 2), np.int64)]
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         rows = order[lo:hi]
+        across = i[rows[0]] + j[rows[0]]
         bands: dict[int, list] = {}
         for r in rows.tolist():
             b = np.frombuffer(bits[r].as_buffer(), np.uint64)
@@ -324,13 +351,14 @@ def _pairs(batches):
                 up, wide = packed[2 * words]
                 others.append((up, _fold(wide, words), False))
             for them, theirs, same in others:
-                sizes = n[them]
+                sizes, theirs_comp, theirs_block = n[them], comp[them], block[them]
                 for k, r in enumerate(mine.tolist()):
                     first = k + 1 if same else 0
                     last = int(np.searchsorted(sizes, n[r] * 4 // 3, "right"))
                     if last <= first:
                         continue
-                    at = np.flatnonzero(comp[them[first:last]] != comp[r]) + first
+                    at = first + np.flatnonzero((theirs_comp[first:last] != comp[r])
+                                                & (theirs_block[first:last] + block[r] == across))
                     if not len(at):
                         continue
                     apart = np.bitwise_count(theirs[at] ^ own[k]).sum(axis=1, dtype=np.int64)
@@ -366,10 +394,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labelled = nodes.join(f, F.col("node") == F.col("_n"), "left") \
         .withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
 
-    rows = contested_rows(docs, id_col, text_col, labelled, tokens, classes)
-    tiles = rows.join(nodes.select("node", "n", "bits"), "node").repartition("token")
-    pairs = stage(tiles.select("token", "node", "comp", "n", "bits").mapInArrow(_pairs, "a long, b long").distinct(),
-                  "jaccard-pairs")
+    members = tile_members(docs, id_col, text_col, labelled, tokens, classes)
+    signed = labelled.select("node", "comp", "n", "bits")
+    pairs = stage(tiles(members, signed).mapInArrow(_pairs, "a long, b long").distinct(), "jaccard-pairs")
     late = verified(pairs, nodes, docs, id_col, text_col)
 
     comps = stage(connected_components(early.unionByName(late), "a", "b"), "jaccard-components")
