@@ -2,8 +2,7 @@
 
 The test items are taken in blocks of a bounded number of words. For a block
 the corpus is read twice. The first pass counts in how many texts each of the
-items' word n-grams occurs; the rarer half of each item's n-grams are its
-seeds. The second pass looks up the seeds in every text, aligns the item with
+items' word n-grams occurs; those that are rare for their item are its seeds. The second pass looks up the seeds in every text, aligns the item with
 the passage around each cluster of seeds (local alignment of words), and keeps
 places whose score is at least ``min_score`` of a perfect copy's, so edited
 and paraphrased copies count too. Both are maps over the texts; only counts of
@@ -120,12 +119,15 @@ def gram_counts(docs: DataFrame, text_col: str, block: Block) -> np.ndarray:
 
 
 def choose_seeds(block: Block, counts: np.ndarray) -> Seeds:
-    """The rarer half of each item's n-grams, at least four."""
+    """The n-grams of each item that are rare for it: all but those that occur
+    in far more texts than most of the item's own n-grams do. Rarity is not
+    ranked any finer: the n-grams that edited copies have kept are among the
+    more frequent ones of a leaked item, and they are the ones to find."""
     gram, item, place = [], [], []
     for i, words in enumerate(block.items):
         g = _item_grams(words)
         n = counts[np.searchsorted(block.grams, g)]
-        rare = np.sort(np.argsort(n, kind="stable")[:max(4, (len(g) + 1) // 2)])
+        rare = np.flatnonzero(n <= 4 * np.quantile(n, 0.75, method="higher") + 10)
         gram.append(g[rare])
         item.append(np.full(len(rare), i))
         place.append(rare)
