@@ -9,11 +9,12 @@ Spark and only the selected buckets reach the driver.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.words import mix, words_of
@@ -62,16 +63,19 @@ def indicators(column: pa.Array, selected: np.ndarray) -> Iterator[tuple[int, np
         yield first, m
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int,
-                    id_col: str, text_col: str) -> DataFrame:
-    """(id, text, label) of at most ``per_class`` distinct texts of each class,
-    by a hash of the text; ``label`` is a column of ``labels``."""
-    lab = labels.select(F.col(id_col).alias("id"), label.cast("int").alias("label")) \
-        .where("label is not null").groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .join(lab, "id").withColumn("order", F.xxhash64("text", F.lit(11)))
-    parts = [rows.where(F.col("label") == c).orderBy("order", "id").limit(per_class) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+def bounded_sample(docs: DataFrame, labelled: DataFrame, cls: str, classes: tuple[int, ...], per_class: int,
+                   id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``labelled`` (one row an ``id``) and ``text`` for at most
+    ``per_class`` ids of each of the classes, by a hash of the id. Ids are
+    chosen before any text is read; the chosen few (a bounded number) are
+    broadcast, so no text is shuffled to find theirs. Of several texts of an
+    id the smallest counts."""
+    order = F.xxhash64("id", F.lit(11))
+    parts = [labelled.where((F.col(cls) == c) & F.col("id").isNotNull()).orderBy(order, "id").limit(per_class)
+             for c in classes]
+    chosen = functools.reduce(DataFrame.unionByName, parts)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
 
 
 def bucket_counts(sample: DataFrame, classes: int) -> DataFrame:

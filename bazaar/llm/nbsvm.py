@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.features import bucket_counts, indicators, labelled_sample, sample_matrix
+from bazaar.llm.features import bounded_sample, bucket_counts, indicators, sample_matrix
 from bazaar.llm.scratch import stage
 
 #: Bounds: labelled texts of each class to learn from, n-grams in the model.
@@ -92,11 +92,11 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, label: Column, id_col: str = "doc_id",
         text_col: str = "text", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
-    rates = labels.select(label.cast("int").alias("label")).where("label is not null") \
-        .agg(F.avg("label").alias("rate")).first()["rate"]
+    labelled = labels.select(F.col(id_col).alias("id"), label.alias("label")).where("label is not null") \
+        .groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("cls"))
+    rates = labelled.agg(F.avg("cls").alias("rate")).first()["rate"]
     none = np.zeros(0, np.int64)
-    sample = stage(labelled_sample(docs, labels, label, per_class, id_col, text_col)
-                   .withColumn("cls", F.col("label")), "quality-sample")
+    sample = stage(bounded_sample(docs, labelled, "cls", (0, 1), per_class, id_col, text_col), "quality-sample")
     have = {r["cls"]: r["count"] for r in sample.groupBy("cls").count().collect()}
     if len(have) < 2:
         certain = 0.0 if not have else 35.0 if 1 in have else -35.0
