@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.features import bucket_counts, indicators, sample_matrix
+from bazaar.llm.features import bounded_sample, bucket_counts, indicators, sample_matrix
 from bazaar.llm.scratch import stage
 
 #: Bounds: texts to learn from (toxic, and as many others), features.
@@ -116,12 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.round(F.avg("toxic")).cast("int").alias("toxic"),
         F.coalesce(F.round(F.avg("quality")), F.lit(1)).cast("int").alias("quality"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .join(lab, "id").withColumn("order", F.xxhash64("text", F.lit(13)))
-    parts = [rows.where(F.col("toxic") == c).orderBy("order", "id").limit(per_class) for c in (0, 1)]
     # Classes: 0 not toxic, 1 toxic prose, 2 toxic junk.
-    sample = stage(parts[0].unionByName(parts[1]).withColumn("cls", F.when(F.col("toxic") == 0, 0).otherwise(
-        2 - F.col("quality"))), "toxicity-sample")
+    lab = lab.withColumn("cls", F.when(F.col("toxic") == 0, 0).otherwise(2 - F.col("quality")))
+    sample = stage(bounded_sample(docs, lab, "toxic", (0, 1), per_class, id_col, text_col), "toxicity-sample")
     have = {r["cls"]: float(r["count"]) for r in sample.groupBy("cls").count().collect()}
     rate = lab.agg(F.avg("toxic").alias("r")).first()["r"] or 0.0
     total = sum(have.values())
