@@ -13,6 +13,10 @@ import os
 import sys
 
 
+#: Reports are short; unless told otherwise all their rows are printed.
+ALL_ROWS = 1_000_000_000
+
+
 def _value(text: str):
     if text.lower() in ("true", "false"):
         return text.lower() == "true"
@@ -44,6 +48,8 @@ def build_parser() -> argparse.ArgumentParser:
     c.add_argument("--input", nargs="+", required=True, help="CSV files or folders, in year order")
     c.add_argument("--output", required=True)
     c.add_argument("--delivery-mode", choices=["observed", "intended"], default="observed")
+    c.add_argument("--multiline", action="store_true",
+                   help="quoted text may hold line breaks (each file is then read by one task)")
     c.add_argument("--csv-output", help="also write the clean rows as header CSV here")
 
     r = sub.add_parser("report", help="run one report over a cleaned table")
@@ -51,7 +57,7 @@ def build_parser() -> argparse.ArgumentParser:
     r.add_argument("--input", required=True, help="cleaned Parquet table")
     r.add_argument("--param", action="append", default=[], help="report parameter key=value")
     r.add_argument("--output", help="write the rows as header CSV instead of printing")
-    r.add_argument("--show", type=int, default=50, help="rows to print")
+    r.add_argument("--show", type=int, help="print only so many rows (default: all)")
 
     sub.add_parser("list", help="list report names")
 
@@ -74,17 +80,26 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(REPORTS)))
         return 0
 
-    from bazaar.session import build_session
+    from pyspark.sql import Observation
+
+    from bazaar.session import build_session, clear_scratch
     from bazaar.sources import csv_io, sinks
     from bazaar.operators import clean, typing
 
     spark = build_session(master=args.master, app=f"bazaar-{args.command}")
     if args.command == "clean":
-        bronze = csv_io.read_yearly_csv(spark, args.input)
-        silver = clean.clean_pipeline(bronze, csv_io.source_order(bronze), args.delivery_mode)
-        sinks.write_parquet(typing.derive_calendar(silver), args.output)
-        if args.csv_output:
-            sinks.write_csv(spark.read.parquet(args.output).drop("order_year"), args.csv_output)
+        bronze = csv_io.read_yearly_csv(spark, args.input, multiline=args.multiline)
+        malformed = Observation("csv")
+        bronze = bronze.observe(malformed, csv_io.corrupt_rows(bronze))
+        try:
+            silver = clean.clean_pipeline(bronze, csv_io.source_order(bronze), args.delivery_mode)
+            sinks.write_parquet(typing.derive_calendar(silver), args.output)
+            if args.csv_output:
+                # The cleaned columns alone: calendar columns belong to the Parquet table.
+                sinks.write_csv(spark.read.parquet(args.output).select(*silver.columns), args.csv_output)
+        finally:
+            clear_scratch(spark)
+        print(f"rows with a wrong number of fields: {malformed.get['corrupt_rows']}")
         return 0
     facts = spark.read.parquet(args.input)
     if args.command == "report":
@@ -92,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.output:
             sinks.write_csv(out, args.output)
         else:
-            out.show(args.show, truncate=False)
+            out.show(ALL_ROWS if args.show is None else args.show, truncate=False)
         return 0
     if args.command == "to-jdbc":
         password = os.environ.get(args.password_env) if args.password_env else None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bazaar.schema import (
     BOOL_TEXT_MAP, CATEGORY_MAP, CITY_MAP, DATE_FORMATS, DELIVERY_TEXT_DAYS, FALSE_TOKENS, MAX_DATE,
-    MIN_DATE, MISSING_TOKENS, PLAIN_DELIVERY_DAYS, STRIP_CHARS, TRUE_TOKENS,
+    MIN_DATE, MISSING_TOKENS, MONTH_NAMES, PAYMENT_MAP, PLAIN_DELIVERY_DAYS, STRIP_CHARS, TRUE_TOKENS,
 )
 
 # A number as Python's float() reads it (after trimming): no inf/nan words,
@@ -26,7 +26,7 @@ def _c(c: str | Column) -> Column:
 
 
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()`` on text: trims all ASCII whitespace, not only spaces."""
+    """Python ``str.strip()`` on text: trims all Unicode whitespace, not only spaces."""
     return F.btrim(_c(c).cast("string"), F.lit(STRIP_CHARS))
 
 
@@ -130,9 +130,27 @@ def parse_order_date(c: str | Column) -> Column:
 DIGITS_DOT_RE = r"^(\d+\.?\d*|\.\d+)$"
 
 
+# First code points of the runs of ten decimal digits of other scripts (basic plane).
+DIGIT_ZEROS = [
+    0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66,
+    0x0DE6, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x1090, 0x17E0, 0x1810, 0x1946, 0x19D0, 0x1A80, 0x1A90,
+    0x1B50, 0x1BB0, 0x1C40, 0x1C50, 0xA620, 0xA8D0, 0xA900, 0xA9D0, 0xA9F0, 0xAA50, 0xABF0, 0xFF10,
+]
+
+
+def ascii_digits(c: str | Column) -> Column:
+    """Decimal digits of any script as 0-9, other characters unchanged. Text of
+    plain ASCII, the usual case, is passed on as it is."""
+    col = _c(c).cast("string")
+    other = "".join(chr(z + i) for z in DIGIT_ZEROS for i in range(10))
+    return F.when(F.length(col) == F.octet_length(col), col).otherwise(
+        F.translate(col, other, "0123456789" * len(DIGIT_ZEROS)))
+
+
 def parse_price(c: str | Column) -> Column:
-    """C4: keep digits and dots, read as a number; the sign is lost, junk is NULL."""
-    kept = F.regexp_replace(_c(c).cast("string"), r"[^0-9.]", "")
+    """C4: keep digits and dots, read as a number; the sign is lost, junk is
+    NULL. Digits of other scripts count."""
+    kept = F.regexp_replace(ascii_digits(c), r"[^0-9.]", "")
     return F.when(kept.rlike(DIGITS_DOT_RE), kept.cast("double"))
 
 
@@ -147,6 +165,36 @@ def parse_rating(c: str | Column) -> Column:
     return F.when(s.rlike(NUMBER_RE), s.cast("double"))
 
 
+# A number, optionally 'out of' another, optionally followed by a word for stars.
+WIDE_RATING_RE = r"(?i)^(\d+(?:\.\d+)?)\s*(?:(?:/|out of)\s*(\d+(?:\.\d+)?))?\s*(?:stars?|\*+)?$"
+
+
+def parse_rating_wide(c: str | Column, words: dict[str, float] | None = None, top: float = 5.0) -> Column:
+    """Ratings in more spellings: '4 stars', '4.5', '8/10' and '3 out of 5'
+    (scaled to ``top``), and any spelling of ``words`` (lower case -> rating).
+    NULL for other text and for ratings beyond ``top``. C5 stays as it is."""
+    s = py_strip(ascii_digits(c))
+    value = F.regexp_extract(s, WIDE_RATING_RE, 1).try_cast("double")
+    scale = F.regexp_extract(s, WIDE_RATING_RE, 2).try_cast("double")
+    scaled = F.when(scale.isNull(), value).otherwise(F.try_divide(value * F.lit(float(top)), scale))
+    out = F.when(s.rlike(WIDE_RATING_RE) & (scaled <= top), scaled)
+    for word, rating in (words or {}).items():
+        out = F.when(F.lower(s) == word, F.lit(float(rating))).otherwise(out)
+    return out
+
+
+def standardise_payment(c: str | Column, mapping: dict[str, list[str]] | None = None) -> Column:
+    """Spellings of a payment method -> one name. Compared after trim,
+    lower-case and with runs of anything but letters and digits as one space;
+    a method that the mapping does not know keeps its trimmed text."""
+    s = py_strip(c)
+    key = F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
+    out = s
+    for target, sources in (PAYMENT_MAP if mapping is None else mapping).items():
+        out = F.when(key.isin(target.lower(), *sources), F.lit(target)).otherwise(out)
+    return out
+
+
 def map_values(c: str | Column, mapping: dict[str, list[str]]) -> Column:
     """Exact replacement: any source spelling -> its target; others unchanged."""
     col = _c(c)
@@ -231,7 +279,33 @@ LOAD_DATE_FORMATS = ["Y-m-d", "Y/m/d", "Y.m.d", "m/d/Y", "m-d-Y", "m.d.Y",
 
 
 def coerce_date(c: str | Column) -> Column:
-    """L1: text (optionally with a time part) -> date, ISO then month-first."""
+    """L1: text (optionally with a time part) -> date, ISO then month-first,
+    then with the month's name. On large data prefer the DataFrame step
+    ``typing.load_dates``, which stages the parts once."""
     s = py_strip(c)
-    day_part = F.regexp_extract(s, r"^(\S+)(\s+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$", 1)
-    return parse_date_formats(day_part, LOAD_DATE_FORMATS)
+    return F.coalesce(parse_date_formats(day_part(s), LOAD_DATE_FORMATS), in_date_range(named_month_date(s)))
+
+
+def day_part(s: Column) -> Column:
+    """The date of a text that may go on with a time of day; '' for other text."""
+    return F.regexp_extract(s, r"^(\S+)(\s+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$", 1)
+
+
+# Dates with the month in letters: '5 Jan 2020', '05-January-2020', 'Jan 5, 2020'.
+DAY_FIRST_RE = r"^(\d{1,2})(?:st|nd|rd|th)?[\s,.-]+([A-Za-z]{3,9})\.?[\s,.-]+(\d{4})$"
+MONTH_FIRST_RE = r"^([A-Za-z]{3,9})\.?[\s,.-]+(\d{1,2})(?:st|nd|rd|th)?[\s,.-]+(\d{4})$"
+FULL_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
+               "october", "november", "december"]
+
+
+def named_month_date(s: Column) -> Column:
+    """Date text with the month's name or its first three letters; else NULL."""
+    day_first = s.rlike(DAY_FIRST_RE)
+    pattern = [(DAY_FIRST_RE, 1, 2), (MONTH_FIRST_RE, 2, 1)]
+    (d1, m1), (d2, m2) = [(F.regexp_extract(s, r, d), F.regexp_extract(s, r, m)) for r, d, m in pattern]
+    name = F.lower(F.when(day_first, m1).otherwise(m2))
+    numbers = {n: i % 12 + 1 for i, n in enumerate([*MONTH_NAMES, *FULL_MONTHS])} | {"sept": 9}
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), name)
+    day = F.when(day_first, d1).otherwise(d2).try_cast("int")
+    year = F.regexp_extract(s, r"(\d{4})$", 1).try_cast("int")
+    return F.when(number.isNotNull(), checked_date(year, number, day))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.operators.common import (
-    decimal_total, distinct_count, group_agg, is_true, mean, money, money_sum, num_sum, ratio,
-    require_columns, top_k,
+    distinct_count, exact_sum, group_agg, is_true, money, money_sum, num_sum, plain_number,
+    present_means, ratio, require_columns, require_date, top_k,
 )
 from bazaar.plans.joins import attach_scalars
 
@@ -20,6 +20,7 @@ REV = "final_amount_inr"
 
 
 def _with_year(df: DataFrame) -> DataFrame:
+    require_date(df)
     return df if "order_year" in df.columns else df.withColumn("order_year", F.year("order_date"))
 
 
@@ -32,19 +33,23 @@ def _order_count(df: DataFrame, approx: bool = False) -> Column:
 
 # ---- A1..A7 -----------------------------------------------------------------
 
-def revenue_by_year(df: DataFrame) -> DataFrame:
-    """A5: revenue per order year."""
+def _by_year(df: DataFrame) -> DataFrame:
     require_columns(df, [REV], "revenue_by_year")
     return group_agg(_with_year(df), ["order_year"], money_sum(REV).alias("revenue"))
 
 
+def revenue_by_year(df: DataFrame) -> DataFrame:
+    """A5: revenue per order year, oldest first."""
+    return _by_year(df).orderBy("order_year")
+
+
 def yoy_growth(df: DataFrame) -> DataFrame:
     """Last listed year against the previous listed year (one row).
 
     The window has no partition key on purpose: it runs on the per-year
     series (one row per year), after the aggregation.
     """
-    by_year = revenue_by_year(df)
+    by_year = _by_year(df)
     w = Window.orderBy("order_year")
     ranked = (by_year
               .withColumn("prev_year", F.lag("order_year").over(w))
@@ -66,6 +71,7 @@ def kpi_bundle(df: DataFrame, approx: bool = False) -> DataFrame:
     exactly (for very large tables; the reference counts exactly).
     """
     require_columns(df, [REV, "customer_id"], "kpi_bundle")
+    require_date(df, "kpi_bundle")
     base = df.agg(
         money_sum(REV).alias("total_revenue"),
         distinct_count("customer_id", approx).alias("active_customers"),
@@ -78,15 +84,16 @@ def kpi_bundle(df: DataFrame, approx: bool = False) -> DataFrame:
 # ---- A8..A19 ----------------------------------------------------------------
 
 def subcategory_share(df: DataFrame) -> DataFrame:
-    """Revenue per subcategory and its share of the total."""
+    """Revenue per subcategory and its share of the total, highest first."""
     require_columns(df, ["subcategory", REV], "subcategory_share")
     rev = group_agg(df, ["subcategory"], money_sum(REV).alias("revenue"))
     # The total is a one-row aggregate of the grouped result (the grouping
     # exchange is reused), attached by broadcast: no step gathers the
     # groups into one partition.
     total = rev.agg(F.sum("revenue").alias("_total"))
-    return (attach_scalars(rev, total)
-            .select("subcategory", "revenue", ratio(F.col("revenue"), F.col("_total")).alias("share")))
+    out = (attach_scalars(rev, total)
+           .select("subcategory", "revenue", ratio(F.col("revenue"), F.col("_total")).alias("share")))
+    return top_k(out, "revenue", ["subcategory"], None)
 
 
 def profit_margin(df: DataFrame, cost_pct: float = 70, n: int | None = 20) -> DataFrame:
@@ -99,13 +106,14 @@ def profit_margin(df: DataFrame, cost_pct: float = 70, n: int | None = 20) -> Da
     if not 0 <= cost_pct <= 1000:
         raise ValueError("cost_pct out of range")
     pq = money("original_price_inr") * money("quantity")
-    fin = money(REV)
+    plain_pq = plain_number("original_price_inr") * plain_number("quantity")
+    fin, plain_fin = money(REV), plain_number(REV)
     agg = group_agg(
         df, ["subcategory"],
         money_sum(REV).alias("revenue"),
-        decimal_total(F.sum(pq)).alias("_pq"),
-        decimal_total(F.sum(F.when(pq.isNotNull(), fin))).alias("_fin_both"),
-        decimal_total(F.sum(F.when(fin.isNotNull(), pq))).alias("_pq_both"),
+        exact_sum(pq, plain_pq).alias("_pq"),
+        exact_sum(fin, plain_fin, plain_pq.isNotNull()).alias("_fin_both"),
+        exact_sum(pq, plain_pq, plain_fin.isNotNull()).alias("_pq_both"),
     )
     pct = F.lit(float(cost_pct))
     out = agg.select(
@@ -117,15 +125,16 @@ def profit_margin(df: DataFrame, cost_pct: float = 70, n: int | None = 20) -> Da
 
 
 def subcategory_year(df: DataFrame) -> DataFrame:
-    """A10: revenue per subcategory and year."""
+    """A10: revenue per subcategory and year, in key order."""
     require_columns(df, ["subcategory", REV], "subcategory_year")
-    return group_agg(_with_year(df), ["subcategory", "order_year"], money_sum(REV).alias("revenue"))
+    keys = ["subcategory", "order_year"]
+    return group_agg(_with_year(df), keys, money_sum(REV).alias("revenue")).orderBy(*keys)
 
 
 def subcategory_list(df: DataFrame) -> DataFrame:
-    """The distinct subcategories."""
+    """The distinct subcategories, in key order."""
     require_columns(df, ["subcategory"], "subcategory_list")
-    return df.select("subcategory").where(F.col("subcategory").isNotNull()).distinct()
+    return df.select("subcategory").where(F.col("subcategory").isNotNull()).distinct().orderBy("subcategory")
 
 
 def festival_revenue(df: DataFrame) -> DataFrame:
@@ -136,8 +145,11 @@ def festival_revenue(df: DataFrame) -> DataFrame:
                  "revenue", ["festival_name"], None)
 
 
-def discount_response(df: DataFrame, n: int | None = 50) -> DataFrame:
-    """Quantity and revenue per discount level, lowest discounts first."""
+def discount_response(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Quantity and revenue per discount level, lowest discounts first.
+
+    All levels by default (the curve); ``n`` keeps the first ones (K8, the
+    reference's side table shows 50)."""
     require_columns(df, ["discount_percent", "quantity", REV], "discount_response")
     agg = group_agg(df, ["discount_percent"],
                     num_sum("quantity").alias("quantity"), money_sum(REV).alias("revenue"))
@@ -162,18 +174,17 @@ def median_delivery_by_state(df: DataFrame, n: int | None = 30) -> DataFrame:
 
 
 def payment_summary(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Distinct transactions and revenue per payment method."""
+    """Distinct transactions and revenue per payment method, in key order."""
     require_columns(df, ["payment_method", "transaction_id", REV], "payment_summary")
     return group_agg(df, ["payment_method"],
                      distinct_count("transaction_id", approx).alias("orders"),
-                     money_sum(REV).alias("revenue"))
+                     money_sum(REV).alias("revenue")).orderBy("payment_method")
 
 
 def avg_rating_delivery(df: DataFrame) -> DataFrame:
-    """Mean customer rating and mean delivery days (missing ignored)."""
-    require_columns(df, ["customer_rating", "delivery_days"], "avg_rating_delivery")
-    return df.agg(mean("customer_rating").alias("avg_customer_rating"),
-                  mean("delivery_days").alias("avg_delivery_days"))
+    """Mean customer rating and mean delivery days (missing ignored), of
+    those of the two columns that exist; at least one must."""
+    return df.agg(*present_means(df, "avg_rating_delivery", ["customer_rating", "delivery_days"]))
 
 
 def return_rate(df: DataFrame, returned_values: list | None = None,

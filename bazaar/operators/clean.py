@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from bazaar.functions import parsing as P
 from bazaar.operators.quantiles import quantile_frame, quantiles
-from bazaar.plans.joins import attach_scalars
 from bazaar.schema import (
     AUDIT_COPIES, BOOLEAN_COLUMNS, DEDUP_KEYS, DELIVERY_CHARGES_FILL, FESTIVAL_FILL, NUMERIC_COLUMNS,
 )
@@ -33,6 +32,10 @@ def _is_string(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.simpleString() == "string"
 
 
+def _number(df: DataFrame, c: str) -> F.Column:
+    return P.coerce_numeric(c) if _is_string(df, c) else F.col(c).cast("double")
+
+
 # ---- narrow steps -------------------------------------------------------------
 
 def add_audit_copies(df: DataFrame) -> DataFrame:
@@ -78,8 +81,7 @@ def clean_ratings(df: DataFrame, col: str = "customer_rating",
     """C5 + C6: parse the rating; fill gaps from the product rating."""
     r = P.parse_rating(col)
     if _has(df, fallback):
-        fb = P.coerce_numeric(fallback) if _is_string(df, fallback) else F.col(fallback).cast("double")
-        r = F.coalesce(r, fb)
+        r = F.coalesce(r, _number(df, fallback))
     return df.withColumn(col, r)
 
 
@@ -113,15 +115,16 @@ def type_numbers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """L3 on numeric text columns (price and delivery days have their own rules)."""
     skip = {"original_price_inr", "delivery_days"}
     cols = [c for c in (cols or NUMERIC_COLUMNS) if _has(df, c) and c not in skip]
-    return df.withColumns({c: (P.coerce_numeric(c) if _is_string(df, c)
-                               else F.col(c).cast("double")) for c in cols})
+    return df.withColumns({c: _number(df, c) for c in cols})
 
 
-def standardise(df: DataFrame, delivery_mode: str = "observed") -> DataFrame:
-    """C1..C10 in the reference's order, all narrow (no shuffle)."""
-    df = add_audit_copies(df)
+def standardise(df: DataFrame, delivery_mode: str = "observed", audit: bool = True) -> DataFrame:
+    """C1..C10 in the reference's order, all narrow (no shuffle). Without
+    ``audit`` the copies of C3 and the validity flag of C2 are left out."""
+    if audit:
+        df = add_audit_copies(df)
     if _has(df, "order_date"):
-        df = clean_dates(df)
+        df = clean_dates(df) if audit else stage_dates(df, "order_date", P.DATE_FORMATS)
     if _has(df, "original_price_inr"):
         df = clean_prices(df)
     if _has(df, "customer_rating"):
@@ -219,31 +222,31 @@ def mode_frame(df: DataFrame, col: str) -> DataFrame:
     task holds more than one partition's value counts.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n"), F.asc(col)).limit(1).select(F.col(col).alias("mode"))
-    return df.sparkSession.range(1).join(top, how="left").select("mode")
+    top = counts.orderBy(F.desc("_n"), F.asc(col)).limit(1)
+    return top.agg(F.max(col).alias("mode"))
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
     """C19..C21: delivery charges 0.0, age group by its mode, festival 'Normal Day'."""
     if _has(df, "delivery_charges"):
         df = df.withColumn("delivery_charges",
-                           F.coalesce(F.col("delivery_charges").cast("double"),
-                                      F.lit(DELIVERY_CHARGES_FILL)))
+                           F.coalesce(_number(df, "delivery_charges"), F.lit(DELIVERY_CHARGES_FILL)))
     if _has(df, "customer_age_group"):
-        m = mode_frame(df, "customer_age_group").select(F.col("mode").alias("_mode"))
-        df = (attach_scalars(df, m)
-              .withColumn("customer_age_group", F.coalesce("customer_age_group", "_mode"))
-              .drop("_mode"))
+        mode = mode_frame(df, "customer_age_group").scalar()
+        df = df.withColumn("customer_age_group", F.coalesce(F.col("customer_age_group"), mode))
     if _has(df, "festival_name"):
         df = df.withColumn("festival_name", F.coalesce("festival_name", F.lit(FESTIVAL_FILL)))
     return df
 
 
+#: The source-order key of a CSV read and its column of malformed rows.
+READ_COLUMNS = ("_src_file", "_src_path", "_src_block", "_src_row", "_corrupt_row")
+
+
 def drop_helpers(df: DataFrame) -> DataFrame:
     """C18 (expected price, audit copies, validity flag) and C12 (the source-order
     key of a CSV read: the output has no row numbers, like a reset index)."""
-    return df.drop("expected_price", "is_valid_date", *AUDIT_COPIES.values(),
-                   "_src_file", "_src_path", "_src_block", "_src_row")
+    return df.drop("expected_price", "is_valid_date", *AUDIT_COPIES.values(), *READ_COLUMNS)
 
 
 # ---- pipeline --------------------------------------------------------------------------------
@@ -258,16 +261,22 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean_pipeline(bronze: DataFrame, order: list[str], delivery_mode: str = "observed",
-                   stage: bool = True) -> DataFrame:
-    """C1..C21 over a bronze table; ``order`` is the source-order column list."""
-    df = standardise(bronze, delivery_mode)
-    df = dedup_keep_first(df, DEDUP_KEYS, order)
+                   stage: bool = True, audit: bool = False) -> DataFrame:
+    """C1..C21 over a bronze table; ``order`` is the source-order column list.
+
+    The audit copies (C3) are dropped at the end in any case (C18), so they
+    are made only for ``audit``, which stages them with the deduplicated rows
+    and keeps them in the result. Source-order columns of a CSV read are not
+    staged: nothing after the dedup reads them.
+    """
+    df = standardise(bronze, delivery_mode, audit)
+    df = dedup_keep_first(df, DEDUP_KEYS, order).drop(*READ_COLUMNS)
     if stage:
         df = materialise(df, "dedup")
     df = repair_price_outliers(df)
     df = fill_missing(df)
-    return drop_helpers(df)
+    return df.drop("expected_price") if audit else drop_helpers(df)

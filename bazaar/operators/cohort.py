@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.operators.common import (
-    RATIO_PLACES, decimal_total, money, num_sum, require_columns, top_k,
+    RATIO_PLACES, decimal_total, money, num_sum, plain_number, require_columns, top_k,
 )
 
 REV = "final_amount_inr"
@@ -36,12 +36,13 @@ def launch_performance(df: DataFrame, window_days: int = 90, n: int | None = 200
     require_columns(df, ["product_id", DATE, REV, "quantity"], "launch_performance")
     daily = (df.where(F.col("product_id").isNotNull() & F.col(DATE).isNotNull())
                .groupBy("product_id", DATE)
-               .agg(F.sum(money(REV)).alias("_rev"), F.sum("quantity").alias("_qty")))
+               .agg(F.sum(money(REV)).alias("_rev"), F.sum("quantity").alias("_qty"),
+                    F.sum(F.when(money(REV).isNull(), plain_number(REV))).alias("_large")))
     first = F.min(DATE).over(Window.partitionBy("product_id"))
     within = (daily.withColumn("first_sale_date", first)
                    .where(F.datediff(F.col(DATE), F.col("first_sale_date")) <= window_days))
     agg = within.groupBy("product_id").agg(
-        decimal_total(F.sum("_rev")).alias("revenue"), num_sum("_qty").alias("quantity"))
+        (decimal_total(F.sum("_rev")) + num_sum("_large")).alias("revenue"), num_sum("_qty").alias("quantity"))
     return top_k(agg, "revenue", ["product_id"], n)
 
 

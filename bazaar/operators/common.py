@@ -25,6 +25,12 @@ def require_columns(df: DataFrame, cols: Iterable[str], report: str = "") -> Non
         raise MissingColumnsError(f"missing column(s){where}: {', '.join(missing)}")
 
 
+def require_date(df: DataFrame, report: str = "") -> None:
+    """U1 for reports by year: an ``order_year`` or an ``order_date`` to take it from."""
+    if "order_year" not in df.columns:
+        require_columns(df, ["order_date"], report)
+
+
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -40,7 +46,7 @@ def distinct_count(c: str | Column, approx: bool = False) -> Column:
 
 
 def money(c: str | Column) -> Column:
-    """A money value as exact decimal (NULL when it does not fit)."""
+    """A money value as exact decimal; NULL beyond its range, see ``exact_sum``."""
     return col_of(c).try_cast(MONEY_TYPE)
 
 
@@ -53,9 +59,25 @@ def decimal_total(sum_expr: Column) -> Column:
     return F.coalesce(F.round(sum_expr.cast("double"), 4), F.lit(0.0))
 
 
+def exact_sum(exact: Column, plain: Column, when: Column | None = None) -> Column:
+    """Sum of ``exact`` (decimals), plus that of ``plain`` (doubles) over the
+    rows whose value has no exact form: no amount is lost, however large, and
+    ordinary ones keep the fast exact path. Missing values (and NaN) add 0."""
+    rest = exact.isNull() & plain.isNotNull()
+    if when is not None:
+        exact, rest = F.when(when, exact), rest & when
+    return decimal_total(F.sum(exact)) + F.coalesce(F.sum(F.when(rest, plain)), F.lit(0.0))
+
+
+def plain_number(c: str | Column) -> Column:
+    """A value as double; NaN counts as missing."""
+    x = col_of(c).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def money_sum(c: str | Column) -> Column:
     """Sum of money; a group with no values sums to 0, as in the reference."""
-    return decimal_total(F.sum(money(c)))
+    return exact_sum(money(c), plain_number(c))
 
 
 def num_sum(c: str | Column) -> Column:
@@ -72,6 +94,14 @@ def mean(c: str | Column) -> Column:
     return F.round(F.avg(col_of(c)), RATIO_PLACES)
 
 
+def present_means(df: DataFrame, report: str, cols: list[str]) -> list[Column]:
+    """``avg_<column>`` of the columns that exist; none of them is an error."""
+    found = [c for c in cols if c in df.columns]
+    if not found:
+        require_columns(df, cols, report)
+    return [mean(c).alias(f"avg_{c}") for c in found]
+
+
 # Text pandas' reader turns into boolean true (public pandas default).
 TRUE_TEXT = ["True", "TRUE", "true"]
 

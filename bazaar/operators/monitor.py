@@ -1,39 +1,34 @@
 """Current-month monitoring (M1..M6).
 
-"Current month" is the calendar month of the newest order date. The month
-bounds are scalar subqueries on that date, so the month filter is a range on
-the bare date column and runs right at the scan.
+"Current month" is the calendar month of the newest order date. Its first day
+is a scalar subquery on that date, so the month filter compares the bare date
+column and runs right at the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.operators.agg import kpi_bundle
-from bazaar.operators.common import distinct_count, mean, money_sum, require_columns
+from bazaar.operators.common import distinct_count, money_sum, present_means, require_columns
 
 REV = "final_amount_inr"
 DATE = "order_date"
 
 
-def _latest(df: DataFrame) -> Column:
-    return df.agg(F.max(DATE)).scalar()
-
-
-def current_month(df: DataFrame, latest: Column | None = None) -> DataFrame:
+def current_month(df: DataFrame) -> DataFrame:
     """rows of the newest date's calendar month.
 
-    ``latest`` is the newest-date scalar when the caller already has it (the
-    same subquery is then evaluated once). On a table partitioned by
-    ``order_year`` the bound is also applied to the partition column, so only
-    that year's folder is listed and read.
+    The month's first day is computed inside a scalar subquery, so the filter
+    compares the bare date column with a ready value and reaches the Parquet
+    scan; no date is beyond the newest, so it needs no upper bound. On a table
+    with ``order_year`` the newest year is found first (from partition values,
+    no column data), and only that year's folder is read, by the subquery too.
     """
-    start = F.trunc(_latest(df) if latest is None else latest, "MM")
-    cond = (F.col(DATE) >= start) & (F.col(DATE) < F.add_months(start, 1))
     if "order_year" in df.columns:
-        cond = cond & (F.col("order_year") == F.year(start))
-    return df.where(cond)
+        df = df.where(F.col("order_year") == df.agg(F.max("order_year")).scalar())
+    return df.where(F.col(DATE) >= df.agg(F.trunc(F.max(DATE), "MM")).scalar())
 
 
 def month_monitor(df: DataFrame, rev_target: int | None = None,
@@ -44,17 +39,17 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
     Customers are distinct buyers of the month (not checked against history).
     """
     require_columns(df, [DATE, REV, "customer_id"], "month_monitor")
-    latest = _latest(df)
     orders = (distinct_count("transaction_id", approx) if "transaction_id" in df.columns
               else F.count(F.lit(1)))
-    base = current_month(df, latest).agg(
+    base = current_month(df).agg(
         money_sum(REV).alias("revenue"),
         distinct_count("customer_id", approx).alias("new_customers"),
-        orders.alias("orders"))
+        orders.alias("orders"),
+        F.max(DATE).alias("latest_date"))
+    latest = F.col("latest_date")
     target = (F.lit(int(rev_target)).cast("bigint") if rev_target is not None
               else (F.col("revenue") * 1.1).cast("bigint"))
     return (base
-            .withColumn("latest_date", latest)
             .withColumn("month_label", F.date_format(latest, "MMM yyyy"))
             .withColumn("rev_target", target)
             .withColumn("cust_target", F.lit(int(cust_target)).cast("bigint"))
@@ -85,10 +80,10 @@ def month_alerts(df: DataFrame, rev_target: int | None = None,
 
 
 def month_operations(df: DataFrame) -> DataFrame:
-    """M5: mean delivery days and mean customer rating of the current month."""
-    require_columns(df, [DATE, "delivery_days", "customer_rating"], "month_operations")
-    return current_month(df).agg(mean("delivery_days").alias("avg_delivery_days"),
-                                 mean("customer_rating").alias("avg_customer_rating"))
+    """M5: mean delivery days and mean customer rating of the current month, of
+    those of the two columns that exist."""
+    require_columns(df, [DATE], "month_operations")
+    return current_month(df).agg(*present_means(df, "month_operations", ["delivery_days", "customer_rating"]))
 
 
 def command_center(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -1,18 +1,18 @@
 """Exact quantiles (linear interpolation) without one task holding all values.
 
 ``percentile()`` merges a map of every distinct value into one final task
-for a global quantile. Here instead:
+for a global quantile. Here instead, at every size:
 
 1. values are counted per distinct value (map-side combine, one shuffle);
-2. a column with few distinct values is ranked in one task; otherwise an
-   approximate sketch over its distinct values cuts them into ranges of
-   about equal size (only the range edges reach the driver) and a per-range
-   total (one row per range) gives each range's first rank;
-3. only the ranges holding the wanted ranks are sorted, each in its own
-   task, to read the exact values at those ranks.
+2. the counts are range-partitioned by value and written to the shared
+   checkpoint folder, one folder per range; a range's total (one row per
+   column and range on the driver) gives its first rank;
+3. only the ranges holding the wanted ranks are read again and ranked, each
+   in its own task.
 
-Several columns are handled together: their value counts share one shuffle,
-one statistics job and one final job.
+Several columns are handled together: their value counts share the shuffles
+and the final job. Ranges are as many as shuffle partitions, so they grow with
+the data.
 
 The result is the number DuckDB's ``quantile_cont`` gives: with ``n``
 values and ``pos = (n - 1) * p``, value[floor] + (value[ceil] -
@@ -24,16 +24,12 @@ last bit.)
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of value ranges when the distinct values are many.
-DEFAULT_RANGES = 1024
-# Up to this many distinct values are ranked in a single task.
-SINGLE_RANGE_MAX = 2_000_000
+from bazaar.session import scratch_path
 
 
 def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -48,155 +44,87 @@ def _value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
               .groupBy("m", "v").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _ranges(vc: DataFrame, d: int, n: int, ranges: int, single_max: int):
-    """Bucketed value counts of one column with many distinct values, and its
-    (bucket, total) list."""
-    probs = [i / ranges for i in range(1, ranges)]
-    row = vc.agg(F.percentile_approx("v", probs, 10 * ranges).alias("e")).first()
-    edges = sorted(set(x for x in (row["e"] or []) if x is not None))
-    bucketed = Bucketizer(splits=[-math.inf] + edges + [math.inf],
-                          inputCol="v", outputCol="b").transform(vc)
-    totals = sorted((r["b"], r["t"]) for r in
-                    bucketed.groupBy("b").agg(F.sum("c").alias("t")).collect())
-    return bucketed, totals
-
-
-def _ranked(bucketed: DataFrame, totals, n: int, probs: list[float]):
-    """Rows of the ranges that hold the wanted ranks, with their rank span; plan."""
-    starts, acc = {}, 0
-    for b, t in totals:
-        starts[b] = acc
-        acc += t
-
-    def bucket_of(rank: int) -> float:
-        for b, t in totals:
-            if starts[b] <= rank < starts[b] + t:
-                return b
-        raise AssertionError("rank outside the data")
-
-    plan, wanted = _rank_plan(n, probs), set()
-    for lo, hi, _ in plan:
-        wanted.update({bucket_of(lo), bucket_of(hi)})
-
-    offset = None
-    for b in sorted(wanted):
-        cond = F.col("b") == F.lit(b)
-        off = F.lit(starts[b]).cast("bigint")
-        offset = F.when(cond, off) if offset is None else offset.when(cond, off)
-    w = Window.partitionBy("m", "b").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                             Window.currentRow)
-    ranked = (bucketed.where(F.col("b").isin(*sorted(wanted)))
-                      .withColumn("end", F.sum("c").over(w) + offset)
-                      .withColumn("start", F.col("end") - F.col("c"))
-                      .select("m", "v", "start", "end"))
-    return ranked, plan
-
-
-def _rank_plan(n: int, probs: list[float]):
+def _staged_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Value counts in ranges: (m, v, c) with the range number ``r`` as folder.
+    Ranges follow one another in the order of (m, v)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"ranges-{uuid.uuid4().hex}")
+    (_value_counts(df, cols).repartitionByRange("m", "v")
+     .withColumn("r", F.spark_partition_id()).write.partitionBy("r").parquet(path))
+    return spark.read.schema("m int, v double, c long, r int").parquet(path)
+
+
+def _rank_plan(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
+    """(lower rank, upper rank, fraction between them) for each probability."""
     out = []
     for p in probs:
         pos = (n - 1) * p
-        lo, hi = math.floor(pos), math.ceil(pos)
-        out.append((lo, hi, pos - lo))
+        out.append((math.floor(pos), math.ceil(pos), pos - math.floor(pos)))
     return out
 
 
-def _plan(df: DataFrame, cols: list[str], probs: list[float], ranges: int, single_max: int):
-    """Eager planning (one statistics job in the common case).
+def _names(probs: list[float], names: list[str] | None) -> list[str]:
+    return names or [f"q{int(round(p * 100))}" for p in probs]
+
 
-    Returns the persisted value counts, the ranked-range frames and, per
-    column, either (column index, low rank, high rank, fraction) per
-    probability or NULL literals when the column has no values. Columns with
-    few distinct values share one window (partitioned by column); a column
-    with many gets its own ranges.
-    """
-    vc = _value_counts(df, cols).persist()
-    try:
-        stats = {r["m"]: (r["d"], r["n"]) for r in
-                 vc.groupBy("m").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).collect()}
-        parts, outs, small = [], [], []
-        for i, _ in enumerate(cols):
-            d, n = stats.get(i, (0, 0))
-            if not n:
-                outs.append([F.lit(None).cast("double")] * len(probs))
-            elif d <= single_max or ranges <= 1:
-                small.append(i)
-                outs.append([(i, lo, hi, frac) for lo, hi, frac in _rank_plan(n, probs)])
-            else:
-                bucketed, totals = _ranges(vc.where(F.col("m") == i), d, n, ranges, single_max)
-                ranked, plan = _ranked(bucketed, totals, n, probs)
-                parts.append(ranked)
-                outs.append([(i, lo, hi, frac) for lo, hi, frac in plan])
-        if small:
-            w = Window.partitionBy("m").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                                Window.currentRow)
-            parts.append(vc.where(F.col("m").isin(*small))
-                           .withColumn("end", F.sum("c").over(w))
-                           .withColumn("start", F.col("end") - F.col("c"))
-                           .select("m", "v", "start", "end"))
-    except Exception:
-        vc.unpersist()
-        raise
-    return vc, parts, outs
-
-
-def _pick(spark, parts, outs, names):
-    def at(i: int, rank: int):
-        hit = (F.col("m") == i) & (F.col("start") <= rank) & (F.col("end") > rank)
-        return F.max(F.when(hit, F.col("v")))
-
-    aggs, selects = [], []
-    for col_out, col_names in zip(outs, names):
-        for spec, nm in zip(col_out, col_names):
-            if not isinstance(spec, tuple):
-                selects.append(spec.alias(nm))
+def _quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[list[str]]) -> DataFrame:
+    """One row with the quantiles of all columns, named by ``names``."""
+    ranges = _staged_ranges(df, cols)
+    totals = ranges.groupBy("m", "r").agg(F.sum("c").alias("t")).collect()
+    first, n = {}, dict.fromkeys(range(len(cols)), 0)
+    for row in sorted(totals, key=lambda x: (x["m"], x["r"])):
+        first[row["m"], row["r"]] = n[row["m"]]
+        n[row["m"]] += row["t"]
+
+    def range_of(m: int, rank: int) -> int:
+        return max(r for (k, r), start in first.items() if k == m and start <= rank)
+
+    wanted: dict[tuple[int, int], set[int]] = {}
+    for m in range(len(cols)):
+        for lo, hi, _ in _rank_plan(n[m], probs) if n[m] else []:
+            for rank in (lo, hi):
+                wanted.setdefault((m, range_of(m, rank)), set()).add(rank)
+
+    offset = F.lit(None).cast("long")
+    for m, r in sorted(wanted):
+        offset = F.when((F.col("m") == m) & (F.col("r") == r), F.lit(first[m, r]).cast("long")).otherwise(offset)
+    running = Window.partitionBy("m", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (ranges.where(F.col("r").isin(*sorted({r for _, r in wanted})))
+              .withColumn("start", offset).where("start is not null")
+              .withColumn("end", F.col("start") + F.sum("c").over(running))
+              .withColumn("start", F.col("end") - F.col("c")))
+    aggs, picks = [], []
+    for m, col_names in enumerate(names):
+        for (lo, hi, frac), name in zip(_rank_plan(n[m], probs), col_names, strict=True):
+            if not n[m]:
+                picks.append(F.lit(None).cast("double").alias(name))
                 continue
-            i, lo, hi, frac = spec
             k = len(aggs)
-            aggs += [at(i, lo).alias(f"_a{k}"), at(i, hi).alias(f"_a{k + 1}")]
+            for rank in (lo, hi):
+                hit = (F.col("m") == m) & (F.col("start") <= rank) & (F.col("end") > rank)
+                aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_a{len(aggs)}"))
             lo_v, hi_v = F.col(f"_a{k}"), F.col(f"_a{k + 1}")
-            selects.append((lo_v if lo == hi else lo_v + (hi_v - lo_v) * F.lit(frac)).alias(nm))
-    if not parts:
-        return spark.range(1).select(*selects)
-    ranked = reduce(lambda a, b: a.unionByName(b), parts)
-    return ranked.agg(*aggs).select(*selects)
+            picks.append((lo_v if lo == hi else lo_v + (hi_v - lo_v) * F.lit(frac)).alias(name))
+    if not aggs:
+        return df.sparkSession.range(1).select(*picks)
+    return ranked.agg(*aggs).select(*picks)
 
 
-def _names(probs: list[float], names: list[str] | None) -> list[str]:
-    return names or [f"q{int(round(p * 100))}" for p in probs]
-
-
-def quantile_frame(df: DataFrame, col: str, probs: list[float],
-                   names: list[str] | None = None, ranges: int = DEFAULT_RANGES,
-                   single_max: int = SINGLE_RANGE_MAX) -> DataFrame:
+def quantile_frame(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
     """One-row DataFrame with the exact quantiles of ``col`` (NULL/NaN ignored).
 
-    The planning jobs run now; the returned frame's own work (the ranked
-    ranges) stays lazy.
+    The value counts are staged now; reading the wanted ranges stays lazy.
     """
-    vc, parts, outs = _plan(df, [col], probs, ranges, single_max)
-    vc.unpersist()
-    return _pick(df.sparkSession, parts, outs, [_names(probs, names)])
-
+    return _quantiles(df, [col], probs, [_names(probs, names)])
 
-def quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
-                    ranges: int = DEFAULT_RANGES,
-                    single_max: int = SINGLE_RANGE_MAX) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns as Python floats, in one pass.
 
-    The value counts are kept (memory, spilling to disk) for the few small
-    jobs and released afterwards; a lost block is recomputed.
-    """
-    vc, parts, outs = _plan(df, cols, probs, ranges, single_max)
-    try:
-        names = [[f"_c{i}_{j}" for j in range(len(probs))] for i in range(len(cols))]
-        row = _pick(df.sparkSession, parts, outs, names).first()
-        return {c: [row[f"_c{i}_{j}"] for j in range(len(probs))] for i, c in enumerate(cols)}
-    finally:
-        vc.unpersist()
+def quantiles_multi(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns as Python floats, in one pass."""
+    names = [[f"_c{i}_{j}" for j in range(len(probs))] for i in range(len(cols))]
+    row = _quantiles(df, cols, probs, names).first()
+    return {c: [row[x] for x in names[i]] for i, c in enumerate(cols)}
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float], ranges: int = DEFAULT_RANGES,
-              single_max: int = SINGLE_RANGE_MAX) -> list[float | None]:
+def quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """The exact quantiles of one column as Python floats."""
-    return quantiles_multi(df, [col], probs, ranges, single_max)[col]
+    return quantiles_multi(df, [col], probs)[col]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.operators.clean import dedup_keep_first
-from bazaar.operators.common import (
-    group_agg, is_true, money_sum, ratio, require_columns,
-)
+from bazaar.functions.parsing import coerce_boolean
+from bazaar.operators.clean import dedup_keep_first, materialise
+from bazaar.operators.common import distinct_count, group_agg, money_sum, ratio, require_columns
 from bazaar.operators.quantiles import quantiles_multi
+from bazaar.schema import WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 
 REV = "final_amount_inr"
 DATE = "order_date"
@@ -25,20 +25,22 @@ def _score(value: Column, cuts: list[float | None], higher_is_better: bool = Tru
     return score if higher_is_better else (F.lit(top + 1) - score)
 
 
-def rfm(df: DataFrame, bins: int = 5) -> DataFrame:
+def rfm(df: DataFrame, bins: int = 5, approx: bool = False) -> DataFrame:
     """Per customer recency (days before the newest date), frequency
     (distinct orders), monetary (revenue), each scored 1..``bins``.
 
     Scores come from exact quantile cut points of each measure over all
     customers (computed distributed, see ``quantiles.py``), not from a
-    global ``ntile`` window, which would sort every customer in one task.
+    global ``ntile`` window, which would sort every customer in one task. The
+    per-customer table is staged, so the facts are aggregated once; ``approx``
+    counts orders with HyperLogLog++.
     """
     require_columns(df, ["customer_id", "transaction_id", DATE, REV], "rfm")
     now = df.agg(F.max(DATE)).scalar()
-    per = group_agg(df, ["customer_id"],
-                    F.datediff(now, F.max(DATE)).alias("recency_days"),
-                    F.count_distinct("transaction_id").alias("frequency"),
-                    money_sum(REV).alias("monetary"))
+    per = materialise(group_agg(
+        df, ["customer_id"], F.datediff(now, F.max(DATE)).alias("recency_days"),
+        distinct_count("transaction_id", approx).alias("frequency"),
+        money_sum(REV).alias("monetary")), "rfm")
     # one pass over the per-customer table for all three sets of cut points
     probs = [i / bins for i in range(1, bins)]
     cuts = quantiles_multi(per, ["recency_days", "frequency", "monetary"], probs)
@@ -61,15 +63,20 @@ def payment_mix(df: DataFrame) -> DataFrame:
     return per.withColumn("share", ratio(F.col("revenue"), year_total))
 
 
-def prime_value(df: DataFrame) -> DataFrame:
-    """Customers, orders, revenue and order value, prime against non-prime."""
+def prime_value(df: DataFrame, approx: bool = False, true_tokens: list[str] | None = None,
+                false_tokens: list[str] | None = None) -> DataFrame:
+    """Customers, orders, revenue and order value, prime against non-prime.
+
+    Flags may be real booleans, numbers or text (``WIDE_TRUE_TOKENS`` and
+    ``WIDE_FALSE_TOKENS`` unless others are given); text that is neither, like
+    a missing flag, is left out.
+    """
     require_columns(df, ["is_prime_member", "customer_id", "transaction_id", REV], "prime_value")
-    flagged = df.where(F.col("is_prime_member").isNotNull()) \
-                .withColumn("is_prime", is_true(df, "is_prime_member"))
-    out = flagged.groupBy("is_prime").agg(
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("transaction_id").alias("orders"),
-        money_sum(REV).alias("revenue"))
+    flag = coerce_boolean("is_prime_member", true_tokens or WIDE_TRUE_TOKENS, false_tokens or WIDE_FALSE_TOKENS)
+    out = group_agg(df.withColumn("is_prime", flag), ["is_prime"],
+                    distinct_count("customer_id", approx).alias("customers"),
+                    distinct_count("transaction_id", approx).alias("orders"),
+                    money_sum(REV).alias("revenue"))
     return out.withColumn("aov", ratio(F.col("revenue"), F.col("orders")))
 
 

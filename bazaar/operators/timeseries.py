@@ -33,11 +33,17 @@ def period_end(start: Column, freq: str) -> Column:
 
 def resample_sum(df: DataFrame, freq: str = "month", value: str = REV,
                  date_col: str = DATE, out: str = "revenue") -> DataFrame:
-    """Sum of ``value`` per calendar period, labelled by the period's last day.
+    """Sum of ``value`` per calendar period, labelled by the period's last
+    day, in time order.
 
     Periods between the first and the last dated row with no rows are
     present with 0; rows without a date are ignored.
     """
+    return _resample(df, freq, value, date_col, out).orderBy("period_end")
+
+
+def _resample(df: DataFrame, freq: str = "month", value: str = REV,
+              date_col: str = DATE, out: str = "revenue") -> DataFrame:
     if freq not in FREQS:
         raise ValueError(f"freq must be one of {sorted(FREQS)}")
     require_columns(df, [date_col, value], "resample_sum")
@@ -62,16 +68,22 @@ def rolling_mean(series: DataFrame, value: str = "revenue", rows: int = 12,
 
 def revenue_rolling12(df: DataFrame) -> DataFrame:
     """T1 monthly + T2."""
-    return rolling_mean(resample_sum(df, "month"))
+    return rolling_mean(_resample(df, "month"))
 
 
 def monthly_distinct(df: DataFrame, id_col: str, date_col: str = DATE,
                      out: str | None = None, approx: bool = False) -> DataFrame:
-    """Distinct ``id_col`` per month, labelled by the month's first day.
+    """Distinct ``id_col`` per month, labelled by the month's first day, in
+    time order.
 
     Months without rows are absent. Spark pre-aggregates (month, id) pairs on
     the map side, so a busy month is spread over many tasks.
     """
+    return _monthly(df, id_col, date_col, out, approx).orderBy("month_start")
+
+
+def _monthly(df: DataFrame, id_col: str, date_col: str = DATE,
+             out: str | None = None, approx: bool = False) -> DataFrame:
     require_columns(df, [date_col, id_col], "monthly_distinct")
     return (df.where(F.col(date_col).isNotNull())
               .groupBy(F.trunc(F.col(date_col), "MM").alias("month_start"))
@@ -89,21 +101,24 @@ def monthly_skus(df: DataFrame, approx: bool = False) -> DataFrame:
 def cumulative_customers(df: DataFrame, approx: bool = False) -> DataFrame:
     """T5: running total of T3 monthly customers (repeat customers recount)."""
     w = Window.orderBy("month_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return monthly_customers(df, approx).withColumn("cumulative", F.sum("customers").over(w))
+    return _monthly(df, "customer_id", out="customers", approx=approx).withColumn("cumulative", F.sum("customers").over(w))
 
 
 def last_months_filter(df: DataFrame, months: int = 12, date_col: str = DATE) -> DataFrame:
     """F8: rows of the ``months`` calendar months ending with the newest date's month.
 
-    The cut-off is a scalar subquery on the newest date, evaluated once.
-    ``order_year`` must hold the year of ``order_date`` when present.
+    The cut-off is a scalar subquery on the newest date. With ``order_year``
+    (which must hold the year of ``order_date``) the newest date is looked for
+    in the newest year alone, and the year is filtered too, which prunes the
+    folders of a table partitioned by it.
     """
-    cutoff = df.agg(F.add_months(F.trunc(F.max(date_col), "MM"), -(months - 1))).scalar()
-    cond = F.col(date_col) >= cutoff
+    newest = df
     if date_col == DATE and "order_year" in df.columns:
-        # prunes the year folders of a table partitioned by order_year
-        cond = cond & (F.col("order_year") >= F.year(cutoff))
-    return df.where(cond)
+        year = df.agg(F.max("order_year")).scalar()
+        newest = df.where(F.col("order_year") == year)
+        df = df.where(F.col("order_year") >= year - F.lit((months + 10) // 12))
+    return df.where(F.col(date_col) >= newest.agg(
+        F.add_months(F.trunc(F.max(date_col), "MM"), -(months - 1))).scalar())
 
 
 def revenue_last12(df: DataFrame) -> DataFrame:
@@ -113,6 +128,7 @@ def revenue_last12(df: DataFrame) -> DataFrame:
 
 def seasonality(df: DataFrame) -> DataFrame:
     """Mean monthly revenue per calendar month 1..12 (zero months count)."""
-    monthly = resample_sum(df, "month")
+    monthly = _resample(df, "month")
     return (monthly.groupBy(F.month("period_end").alias("month"))
-                   .agg(F.round(F.avg("revenue"), RATIO_PLACES).alias("avg_revenue")))
+                   .agg(F.round(F.avg("revenue"), RATIO_PLACES).alias("avg_revenue"))
+                   .orderBy("month"))

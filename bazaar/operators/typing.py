@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions import parsing as P
+from bazaar.operators.clean import stage_dates
 from bazaar.schema import BOOLEAN_COLUMNS, NUMERIC_COLUMNS
 
 
@@ -13,14 +14,25 @@ def _is_string(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.simpleString() == "string"
 
 
-def derive_calendar(df: DataFrame, date_col: str = "order_date") -> DataFrame:
-    """L2: order_year, order_month and order_quarter ('2021Q2'); NULL without a date."""
+def derive_calendar(df: DataFrame, date_col: str = "order_date", keep: bool = False) -> DataFrame:
+    """L2: order_year, order_month and order_quarter ('2021Q2'); NULL without a
+    date. ``keep`` leaves those alone that the table already has."""
     d = F.col(date_col)
-    return df.withColumns({
+    derived = {
         "order_year": F.year(d),
         "order_month": F.month(d),
         "order_quarter": F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")),
-    })
+    }
+    return df.withColumns({k: v for k, v in derived.items() if not (keep and k in df.columns)})
+
+
+def load_dates(df: DataFrame, col: str) -> DataFrame:
+    """L1 as a DataFrame step: text ``col`` becomes its date. The trimmed text
+    and its parts are helper columns, each computed once per row."""
+    staged = df.withColumn("_text", P.py_strip(col))
+    staged = staged.withColumn("_named", P.in_date_range(P.named_month_date(F.col("_text"))))
+    staged = stage_dates(staged.withColumn(col, P.day_part(F.col("_text"))), col, P.LOAD_DATE_FORMATS)
+    return staged.withColumn(col, F.coalesce(col, "_named")).drop("_text", "_named")
 
 
 def load_view(df: DataFrame, date_col: str = "order_date") -> DataFrame:
@@ -31,10 +43,12 @@ def load_view(df: DataFrame, date_col: str = "order_date") -> DataFrame:
     """
     if date_col in df.columns:
         if _is_string(df, date_col):
-            df = df.withColumn(date_col, P.coerce_date(date_col))
+            df = load_dates(df, date_col)
         else:
             df = df.withColumn(date_col, F.to_date(date_col))
-        df = derive_calendar(df, date_col)
+        # Columns that are there stay: order_year may be the partition column,
+        # and a derived one in its place could prune no folder.
+        df = derive_calendar(df, date_col, keep=True)
     nums = {c: (P.coerce_numeric(c) if _is_string(df, c) else F.col(c).cast("double"))
             for c in NUMERIC_COLUMNS if c in df.columns}
     bools = {c: P.coerce_boolean(c) for c in BOOLEAN_COLUMNS if c in df.columns}

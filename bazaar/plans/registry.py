@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,24 @@ from bazaar.functions import parsing as P
 from bazaar.operators import clean as C
 from bazaar.operators import profile as PR
 from bazaar.operators import segments as SG
+from bazaar.operators.cohort import with_first_sale
+from bazaar.operators.typing import load_dates
 from bazaar.plans.reports import REPORTS
-from bazaar.sources import csv_io
+from bazaar.schema import WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
+from bazaar.session import scratch_path
+from bazaar.sources import csv_io, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Spellings that queries deal out over the rows (their oracles list them too).
+PAYMENT_TEXT = [" UPI", "PhonePe", "google-pay", "CREDIT  card", "Credit_Card", "debit card", "C.O.D", "cash on delivery ",
+                "Net-Banking", "PayTM", "emi", "Barter", "123", "Gift Voucher "]
+RATING_TEXT = ["4 stars", "5 star", "3/5", "8/10", "3 out of 5", "4.5", "Five", "good", "bad", "11/10", "***", "7", "", "2.5 Stars"]
+EDGE_SPACES = ["\u00a0", "\u2003", "\u3000 ", "\u2028", "\x1f", "\x85", " \t", ""]
+EDGE_DIGITS = "".join(chr(0x0966 + i) for i in range(10))
+
 
 def _over_sales(name: str) -> Query:
     fn = REPORTS[name]
@@ -191,6 +203,118 @@ def prime_value(spark, sf_dir):
     return SG.prime_value(fact_table(spark, sf_dir))
 
 
+@query
+def prime_value_text(spark, sf_dir):
+    """X5 over text flags in many spellings (the dirty view's, before C8)."""
+    d = dirty_sales(spark, sf_dir)
+    return SG.prime_value(d.withColumn("final_amount_inr", P.coerce_numeric("final_amount_inr")))
+
+
+@query
+def clean_payments(spark, sf_dir):
+    """X3 on spellings derived from the priority text."""
+    f = fact_table(spark, sf_dir)
+    text = F.element_at(F.array(*[F.lit(x) for x in PAYMENT_TEXT]), (F.col("k") % len(PAYMENT_TEXT) + 1).cast("int"))
+    return f.select("k", P.standardise_payment(text).alias("payment_method"),
+                    P.standardise_payment("payment_method").alias("unknown_method"))
+
+
+@query
+def clean_ratings_wide(spark, sf_dir):
+    """The dirty view's ratings with the wider reading, and more spellings."""
+    text = F.element_at(F.array(*[F.lit(x) for x in RATING_TEXT]), (F.col("k") % len(RATING_TEXT) + 1).cast("int"))
+    return dirty_sales(spark, sf_dir).select(
+        "k", P.parse_rating_wide("customer_rating").alias("customer_rating"),
+        P.parse_rating_wide(text, {"five": 5, "good": 4}).alias("other_rating"),
+        P.coerce_boolean("is_prime_member", WIDE_TRUE_TOKENS, WIDE_FALSE_TOKENS).alias("is_prime_member"))
+
+
+@query
+def star_transactions(spark, sf_dir):
+    """Transaction table."""
+    return SG.star_tables(fact_table(spark, sf_dir), SALES_SOURCE_ORDER)["transactions"]
+
+
+@query
+def first_sale(spark, sf_dir):
+    """Each line with the first sale date of its product."""
+    f = fact_table(spark, sf_dir).select("k", "transaction_id", "line_no", "product_id", "order_date")
+    return with_first_sale(f)
+
+
+@query
+def coerce_dates(spark, sf_dir):
+    """L1 on the raw date text, and on dates with the month's name."""
+    d = dirty_sales(spark, sf_dir).select("k", "order_date")
+    day = F.date_add(F.lit("1999-11-25").cast("date"), (F.col("k") % 700).cast("int"))
+    named = F.when(F.col("k") % 3 == 0, F.date_format(day, "d MMM yyyy")).when(
+        F.col("k") % 3 == 1, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "dd-MMM-yyyy"))
+    return load_dates(load_dates(d.withColumn("named_date", named), "order_date"), "named_date")
+
+
+@query
+def head_rows(spark, sf_dir):
+    """The first rows in a stated order."""
+    f = fact_table(spark, sf_dir).select(*SALES_SOURCE_ORDER, "product_name")
+    return PR.head(f.orderBy(*SALES_SOURCE_ORDER), 25)
+
+
+@query
+def discount_levels(spark, sf_dir):
+    """A13 over more than 50 discount levels."""
+    f = fact_table(spark, sf_dir)
+    return REPORTS["discount_response"](f.withColumn(
+        "discount_percent", F.col("discount_percent") + (F.col("k") % 13) / F.lit(16.0)))
+
+
+@query
+def large_amounts(spark, sf_dir):
+    """Money sums with amounts beyond the exact decimal's range."""
+    f = fact_table(spark, sf_dir)
+    return REPORTS["revenue_by_year"](f.withColumn("final_amount_inr", F.when(
+        F.col("k") % 5000 == 0, F.lit(2e14)).otherwise(F.round("quantity", 0).cast("double"))))
+
+
+@query
+def edge_text(spark, sf_dir):
+    """C1, C4, L3 on text with whitespace and digits beyond ASCII."""
+    pad = F.element_at(F.array(*[F.lit(x) for x in EDGE_SPACES]), (F.col("k") % len(EDGE_SPACES) + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2003-01-31").cast("date"), (F.col("k") % 900).cast("int")), "yyyy-MM-dd")
+    whole = (F.col("k") % 100000).cast("string")
+    f = fact_table(spark, sf_dir).select(
+        "k", F.concat(pad, day, pad).alias("order_date"), F.concat(pad, whole, pad).alias("number"),
+        F.when(F.col("k") % 2 == 0, F.translate(whole, "0123456789", EDGE_DIGITS)).otherwise(
+            F.concat(F.lit("Rs "), whole)).alias("original_price_inr"))
+    out = C.clean_prices(C.clean_dates(f))
+    return out.select("k", "order_date", P.coerce_numeric("number").alias("number"), "original_price_inr")
+
+
+@query
+def top_states_20(spark, sf_dir):
+    """K2 on the geographic page: 20 states."""
+    return REPORTS["top_states"](fact_table(spark, sf_dir), n=20)
+
+
+@query
+def csv_ingest(spark, sf_dir):
+    """S4, then S1/S2/S3/S6/S7: yearly CSV files with quotes, commas and
+    padded headers, read back by header."""
+    f = fact_table(spark, sf_dir).select(
+        "k", F.concat(F.col("product_name"), F.lit(' 15.6"", "'), F.col("brand"), F.lit('", x')).alias("product_name"),
+        F.when(F.col("k") % 7 == 0, "NA").when(F.col("k") % 11 == 0, " n ").otherwise(F.col("customer_state")).alias("customer_state"),
+        F.year("order_date").alias("y"))
+    paths = []
+    for i, cols in enumerate((["k", "product_name", "customer_state"], ["customer_state", "k", "product_name"])):
+        path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+        part = f.where((F.col("y") < 1998) if i == 0 else (F.col("y") >= 1998) | F.col("y").isNull())
+        part = part.select(*cols)
+        sinks.write_csv(part.toDF(*[f" {c} " for c in cols]), path)
+        paths.append(path)
+    read = csv_io.read_yearly_csv(spark, paths)
+    return read.select(F.col("k").cast("long").alias("k"), "product_name", "customer_state",
+                       F.col("_corrupt_row").isNotNull().alias("malformed"))
+
+
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""

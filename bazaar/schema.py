@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+# ---------------------------------------------------------------------------
+# These must equal the reference behaviour for equal results.
+# ---------------------------------------------------------------------------
 
 # Bronze: every column of the order-line file, read as text.
 BRONZE_COLUMNS = [
@@ -15,8 +17,6 @@ BRONZE_COLUMNS = [
     "is_prime_eligible", "is_festival_sale", "return_status",
 ]
 
-BRONZE_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in BRONZE_COLUMNS])
-
 # Columns coerced to numbers when a file is loaded for reporting (L3).
 NUMERIC_COLUMNS = [
     "original_price_inr", "discount_percent", "discounted_price_inr", "quantity",
@@ -27,10 +27,6 @@ NUMERIC_COLUMNS = [
 # Columns coerced to nullable booleans when a file is loaded for reporting (L4).
 BOOLEAN_COLUMNS = ["is_prime_member", "is_festival_sale", "is_prime_eligible"]
 
-# ---------------------------------------------------------------------------
-# These must equal the reference behaviour for equal results.
-# ---------------------------------------------------------------------------
-
 # Text the pandas CSV reader treats as missing by default (public pandas docs).
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -90,8 +86,12 @@ DELIVERY_TEXT_DAYS = {
 DELIVERY_CHARGES_FILL = 0.0
 FESTIVAL_FILL = "Normal Day"
 
-# Whitespace removed by a Python str.strip() on ASCII text.
-STRIP_CHARS = " \t\n\r\x0b\x0c"
+# Whitespace removed by a Python str.strip().
+STRIP_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Columns the cleaning step keeps as audit copies and removes at the end.
 AUDIT_COPIES = {
@@ -103,3 +103,26 @@ AUDIT_COPIES = {
 
 # Keys of keep-first deduplication (C11).
 DEDUP_KEYS = ["customer_id", "product_name", "order_date"]
+
+# ---------------------------------------------------------------------------
+# Defaults of our own, for wider readings that the callers can replace.
+# ---------------------------------------------------------------------------
+
+# Boolean words of the wider reading (X6), compared after trim and lower-case.
+WIDE_TRUE_TOKENS = ["true", "1", "1.0", "yes", "y", "t"]
+WIDE_FALSE_TOKENS = ["false", "0", "0.0", "no", "n", "f"]
+
+# Payment-method spellings mapped to one name (X3), compared after trim,
+# lower-case and with runs of other characters as one space.
+PAYMENT_MAP = {
+    "UPI": ["upi", "phonepe", "phone pe", "google pay", "googlepay", "gpay", "g pay", "paytm upi", "bhim"],
+    "Credit Card": ["credit card", "creditcard", "cc", "credit"],
+    "Debit Card": ["debit card", "debitcard", "dc", "debit"],
+    "Cash on Delivery": ["cash on delivery", "cod", "c o d", "cash"],
+    "Net Banking": ["net banking", "netbanking", "internet banking"],
+    "Wallet": ["wallet", "e wallet", "ewallet", "paytm", "paytm wallet"],
+    "EMI": ["emi", "bajaj emi", "bnpl", "pay later"],
+}
+
+# Three-letter month names of dates such as '5 Jan 2020' (L1).
+MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

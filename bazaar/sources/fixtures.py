@@ -51,7 +51,7 @@ FROM {sales}
 PRICED_SQL = """
 SELECT k, quantity, original_price_inr * quantity AS final_amount_inr,
   original_price_inr * (CASE WHEN k % 97 = 0 THEN 100 WHEN k % 89 = 0 THEN 10
-    WHEN k % 83 = 0 THEN 7 ELSE 1 END) AS original_price_inr
+    WHEN k % 83 = 0 THEN 7 WHEN k % 101 = 0 THEN 1000 ELSE 1 END) AS original_price_inr
 FROM {sales}
 """
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV, no index column; one file per task (no single-file funnel).
 
+    Quotes inside text are doubled, as ``csv_io`` and other tools read them.
     Text is written as is: Spark's CSV writer trims spaces by default, which
     would turn 'Kolkata ' into 'Kolkata' before the cleaning rules see it.
     """
-    (df.write.mode(mode).option("header", "true")
+    (df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
        .csv(path))
 
@@ -22,13 +24,16 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     """S4, native form: Parquet, by default partitioned by ``order_year`` when present.
 
     Year partitions let month and last-12-month filters skip whole folders.
-    Each task sorts its own rows by the partition columns (no shuffle), so it
-    keeps one file open at a time and writes one file per year it holds. A
-    ``repartition`` by year instead would send a whole year to one task.
+    A rebalance on those columns lets Spark bring the rows of a year together
+    and then size the writing tasks by bytes: large years are split over many
+    tasks, small ones share one, and the number of files follows the data and
+    not tasks x years.
     """
     if partition_by is None:
         partition_by = ["order_year"] if "order_year" in df.columns else []
-    out = df.sortWithinPartitions(*partition_by) if partition_by else df
+    out = df
+    if partition_by:
+        out = df.hint("rebalance", *[F.col(c) for c in partition_by]).sortWithinPartitions(*partition_by)
     w = out.write.mode(mode)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", str(int(max_records_per_file)))

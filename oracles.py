@@ -147,7 +147,7 @@ def _analytics() -> dict[str, str]:
         "WHERE is_festival_sale = TRUE AND festival_name IS NOT NULL GROUP BY 1")
     q["discount_response"] = with_sales(
         f"SELECT discount_percent, {nsum('quantity')} AS quantity, {REV} AS revenue FROM sales "
-        "WHERE discount_percent IS NOT NULL GROUP BY 1 ORDER BY discount_percent LIMIT 50")
+        "WHERE discount_percent IS NOT NULL GROUP BY 1")
     q["median_delivery_by_state"] = with_sales(
         "SELECT customer_state, round(quantile_cont(CAST(delivery_days AS DOUBLE), 0.5), 6) "
         "AS median_delivery_days FROM sales WHERE customer_state IS NOT NULL GROUP BY 1 "
@@ -279,6 +279,7 @@ def d_map(c: str, mapping: dict[str, list[str]]) -> str:
     return f"CASE {arms} ELSE {c} END"
 
 
+# ---- Fixed values: these must equal the reference behaviour for equal results. ----
 CITY = {"Delhi": ["DELHI", "Delhi NCR", "delhi", "New Delhi"],
         "Kolkata": ["Kolkata ", "KOLKATA", "Calcutta", "kolkata"],
         "Chennai": ["Madras", "Chennai ", "chenai", "CHENNAI"],
@@ -473,8 +474,63 @@ def _segments() -> dict[str, str]:
     return q
 
 
+def _case(pairs: list[tuple[int, str]], n: int) -> str:
+    """CASE over k % n; other remainders are NULL."""
+    return f"CASE k % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in pairs) + " END"
+
+
+def _round_two() -> dict[str, str]:
+    q: dict[str, str] = {}
+    paid = ["UPI"] * 3 + ["Credit Card"] * 2 + ["Debit Card"] + ["Cash on Delivery"] * 2 + [
+        "Net Banking", "Wallet", "EMI", "Barter", "123", "Gift Voucher"]
+    q["clean_payments"] = with_sales(
+        f"SELECT k, {_case([(i, repr(p)) for i, p in enumerate(paid)], len(paid))} AS payment_method, "
+        "payment_method AS unknown_method FROM sales")
+    own = [(0, "4.0"), (1, "3.0"), (2, "2.5"), (3, "4.0"), (4, "4.25"), (5, "5.0")]
+    other = [(0, "4.0"), (1, "5.0"), (2, "3.0"), (3, "4.0"), (4, "3.0"), (5, "4.5"), (6, "5.0"), (7, "4.0"), (13, "2.5")]
+    prime = "CASE WHEN k % 10 < 4 THEN FALSE WHEN k % 10 < 9 THEN TRUE END"
+    q["clean_ratings_wide"] = with_dirty(
+        f"SELECT k, CAST({_case(own, 8)} AS DOUBLE) AS customer_rating, "
+        f"CAST({_case(other, 14)} AS DOUBLE) AS other_rating, {prime} AS is_prime_member FROM dirty")
+    q["prime_value_text"] = with_dirty(
+        "SELECT is_prime, customers, orders, revenue, round(revenue / NULLIF(orders, 0), 6) AS aov "
+        f"FROM (SELECT {prime} AS is_prime, count(DISTINCT customer_id) AS customers, "
+        f"count(DISTINCT transaction_id) AS orders, {msum('CAST(final_amount_inr AS DOUBLE)')} AS revenue "
+        "FROM dirty WHERE k % 10 < 9 GROUP BY 1) t")
+    q["star_transactions"] = with_sales(
+        "SELECT transaction_id, customer_id, product_id, order_date, quantity, discount_percent, "
+        "final_amount_inr, payment_method, delivery_days, return_status FROM sales")
+    q["first_sale"] = with_sales(
+        "SELECT product_id, k, transaction_id, line_no, order_date, "
+        "min(order_date) OVER (PARTITION BY product_id) AS first_sale_date FROM sales")
+    swapped = "CASE WHEN day(order_date) <= 12 THEN make_date(year(order_date), day(order_date), month(order_date)) ELSE order_date END"
+    q["coerce_dates"] = with_sales(
+        f"SELECT k, CASE WHEN k % 11 > 8 THEN NULL WHEN k % 11 IN (1, 4, 7) THEN {swapped} ELSE order_date END AS order_date, "
+        "CAST(DATE '1999-11-25' + CAST(k % 700 AS INTEGER) AS DATE) AS named_date FROM sales")
+    order = "transaction_id, line_no, product_id, supplier_id, line_price"
+    q["head_rows"] = with_sales(f"SELECT {order}, product_name FROM sales ORDER BY {order} LIMIT 25")
+    q["discount_levels"] = with_sales(
+        f"SELECT discount_percent + (k % 13) / 16.0::DOUBLE AS discount_percent, {nsum('quantity')} AS quantity, "
+        f"{REV} AS revenue FROM sales WHERE discount_percent IS NOT NULL GROUP BY 1")
+    q["large_amounts"] = with_sales(
+        f"SELECT CAST(year(order_date) AS INTEGER) AS order_year, "
+        f"{msum('CASE WHEN k % 5000 <> 0 THEN round(quantity, 0) END')} "
+        "+ COALESCE(sum(CASE WHEN k % 5000 = 0 THEN 2e14::DOUBLE END), 0.0) AS revenue "
+        "FROM sales WHERE order_date IS NOT NULL GROUP BY 1")
+    q["edge_text"] = with_sales(
+        "SELECT k, CAST(DATE '2003-01-31' + CAST(k % 900 AS INTEGER) AS DATE) AS order_date, "
+        "CAST(k % 100000 AS DOUBLE) AS number, CAST(k % 100000 AS DOUBLE) AS original_price_inr FROM sales")
+    q["top_states_20"] = top_by("customer_state", 20)
+    q["csv_ingest"] = with_sales(
+        "SELECT k, product_name || ' 15.6\"\", \"' || brand || '\", x' AS product_name, "
+        "CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN ' n ' ELSE customer_state END AS customer_state, "
+        "FALSE AS malformed FROM sales")
+    return q
+
+
 def oracle_queries() -> dict[str, str]:
     q = _analytics()
     q.update(_cleaning())
     q.update(_segments())
+    q.update(_round_two())
     return q

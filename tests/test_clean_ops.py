@@ -37,14 +37,27 @@ def test_iqr_bounds_literal_case(spark):
     assert Q.quantiles(df, "original_price_inr", [0.5]) == [pytest.approx(2.5)]
 
 
-@pytest.mark.parametrize("single_max,ranges", [(10**9, 64), (5, 16), (1, 3)])
-def test_exact_quantiles_match_numpy(spark, single_max, ranges):
+def _with_partitions(spark, n, run):
+    """``run()`` with ``n`` shuffle partitions, left apart: so many ranges."""
+    keys = {"spark.sql.shuffle.partitions": n, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("ranges", ["1", "3", "16"])
+def test_exact_quantiles_match_numpy(spark, ranges):
     rnd = random.Random(7)
     vals = [float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000])) for _ in range(3000)]
     vals += [42.0] * 1000  # one value holds a quarter of the rows
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = Q.quantiles(df, "x", probs, ranges=ranges, single_max=single_max)
+    got = _with_partitions(spark, ranges, lambda: Q.quantiles(df, "x", probs))
     want = np.quantile(np.array(vals), probs, method="linear")
     assert got == pytest.approx(list(want), rel=1e-12, abs=1e-9)
 
@@ -102,14 +115,14 @@ def test_pipeline_properties(spark):
     out.unpersist()
 
 
-@pytest.mark.parametrize("single_max", [10**9, 3])
-def test_quantiles_multi_columns(spark, single_max):
+@pytest.mark.parametrize("ranges", ["1", "8"])
+def test_quantiles_multi_columns(spark, ranges):
     rnd = random.Random(11)
     rows = [(float(rnd.randint(0, 30)), rnd.random() * 50 if i % 3 else None, None)
             for i in range(2000)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
     probs = [0.2, 0.4, 0.6, 0.8]
-    got = Q.quantiles_multi(df, ["a", "b", "c"], probs, ranges=8, single_max=single_max)
+    got = _with_partitions(spark, ranges, lambda: Q.quantiles_multi(df, ["a", "b", "c"], probs))
     for i, name in enumerate(["a", "b"]):
         vals = np.array([r[i] for r in rows if r[i] is not None])
         assert got[name] == pytest.approx(list(np.quantile(vals, probs)), rel=1e-12, abs=1e-9)
