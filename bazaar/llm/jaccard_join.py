@@ -104,9 +104,7 @@ def _signatures(batches):
                 bits.append(bitmap(s))
                 held.append(s)
         rows = len(n)
-        tokens, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        many = count >= max(2, rows * COMMON_SHARE)
-        tokens, count = tokens[many].view(np.int64), count[many]
+        tokens, count = _frequent(held, max(2, rows * COMMON_SHARE))
         m = len(tokens)
         pair = pa.struct([("part", pa.int32()), ("hash", pa.int64())])
         flat = pa.array([{"part": p, "hash": h} for ps in parts for p, h in ps], pair)
@@ -125,6 +123,26 @@ def _signatures(batches):
             names=["id", "key", "n", "sig1", "sig2", "parts", "bits", "token", "held"])
 
 
+def _frequent(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that at least so many of the sorted sets hold, and their counts;
+    an eighth of the hash space at a time, which bounds the copies made."""
+    tokens, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    edges = [np.searchsorted(s, np.arange(1, 8, dtype=np.uint64) << np.uint64(61)) for s in sets]
+    for k in range(8):
+        part = [s[(e[k - 1] if k else 0):(e[k] if k < 7 else len(s))] for s, e in zip(sets, edges, strict=True)]
+        token, count = np.unique(np.concatenate([tokens[0], *part]), return_counts=True)
+        many = count >= least
+        tokens.append(token[many])
+        counts.append(count[many])
+    return np.concatenate(tokens).view(np.int64), np.concatenate(counts)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int64), *arrays])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("key"))
@@ -259,7 +277,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, tokens: np.ndarray, cl
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(row, pa.int64())),
                  pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()),
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))],
+                 _lists(rare), _lists(common)],
                 names=["id", "sig1", "sig2", "rare", "common"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
