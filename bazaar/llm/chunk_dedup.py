@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.scratch import stage
+from bazaar.llm.scratch import small_batches, stage
 from bazaar.llm.words import words_of
 
 DIVISOR = 6
@@ -106,6 +106,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text), n_repeated (chunks), passages (array of start, end, bytes; code
     points), dropped (array of start, end: chunks that occur earlier) and
     first_ids (the texts where those occur first)."""
+    small_batches(docs)
     all_chunks = stage(chunks(docs, id_col, text_col), "chunks")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "no")
     owner = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.llm.scratch import small_batches
 from bazaar.llm.words import ngrams, words_of
 
 N = 3
@@ -237,6 +238,7 @@ def contamination_column(docs: DataFrame, items: DataFrame, text_col: str, item_
                          min_score: float) -> Column:
     """The results over all blocks of items, as one array column. The blocks
     are a stated query set run against all rows in turn."""
+    small_batches(docs)
     blocks = blocks_of(items, item_id, item_text)
     kind = items.schema[item_id].dataType.simpleString()
     parts = []
@@ -253,7 +255,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """One row per text and test item found in it: ``id_col``, ``item_id``,
     score (1 for a perfect copy), start_word, end_word (exclusive)."""
     found = contamination_column(docs, items, text_col, item_id, item_text, min_score)
-    rows = docs.select(F.col(id_col), found.alias("_found")).select(id_col, F.explode("_found").alias("_f"))
+    # explode_outer: a plain explode would run the search a second time, to
+    # filter empty results first.
+    rows = docs.select(F.col(id_col), found.alias("_found")).select(
+        id_col, F.explode_outer("_found").alias("_f")).where("_f is not null")
     return rows.select(id_col, F.col("_f.item_id").alias(item_id), "_f.score", "_f.start_word", "_f.end_word")
 
 

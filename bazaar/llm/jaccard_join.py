@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bazaar.llm.components import connected_components
-from bazaar.llm.scratch import stage
+from bazaar.llm.scratch import small_batches, stage
 from bazaar.llm.words import mix, shingle_rows, words_of
 
 SHINGLE = 5
@@ -87,40 +87,53 @@ def overlap_bound(x: bytes, y: bytes, a: int, b: int) -> int:
 
 # -- step 1 ---------------------------------------------------------------
 
+SIGNATURE_FIELDS = [
+    ("id", None), ("key", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()),
+    ("parts", pa.list_(pa.struct([("part", pa.int32()), ("hash", pa.int64())]))), ("bits", pa.binary()),
+    ("token", pa.int64()), ("held", pa.int64())]
+#: Shingle hashes gathered before their counts are taken (16 MB of them).
+GATHERED = 1 << 21
+
+
+def _record(id_type: pa.DataType, **columns) -> pa.RecordBatch:
+    """A batch with the given columns, the others null."""
+    rows = len(next(iter(columns.values())))
+    arrays = []
+    for name, kind in SIGNATURE_FIELDS:
+        kind = kind or id_type
+        a = columns.get(name)
+        arrays.append(pa.nulls(rows, kind) if a is None else a if isinstance(a, pa.Array) else pa.array(a, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in SIGNATURE_FIELDS])
+
+
 def _signatures(batches):
     """A row for each text (n, sig1, sig2, parts, bits), and rows (token,
-    held) for shingles that many texts of the batch hold."""
+    held) for shingles that many of the texts gathered so far hold."""
+    held, size, id_type = [], 0, None
     for batch in batches:
-        ids, texts = batch.column("id"), batch.column("text")
-        n, sig1, sig2, parts, bits, held = [], [], [], [], [], []
-        for w in words_of(texts):
+        id_type = batch.column("id").type
+        n, sig1, sig2, parts, bits = [], [], [], [], []
+        for w in words_of(batch.column("text")):
             for _, s in shingle_rows(w, SHINGLE):
                 n.append(len(s))
                 sig1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig2.append(int(mix(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 part = (s & np.uint64(PARTS - 1)).astype(np.int64)
-                least = np.unique(part, return_index=True)
-                parts.append([(int(p), int(h)) for p, h in zip(least[0], s[least[1]].view(np.int64), strict=True)])
+                numbers, at = np.unique(part, return_index=True)
+                parts.append([{"part": p, "hash": h} for p, h in
+                              zip(numbers.tolist(), s[at].view(np.int64).tolist(), strict=True)])
                 bits.append(bitmap(s))
                 held.append(s)
-        rows = len(n)
-        tokens, count = _frequent(held, max(2, rows * COMMON_SHARE))
-        m = len(tokens)
-        pair = pa.struct([("part", pa.int32()), ("hash", pa.int64())])
-        flat = pa.array([{"part": p, "hash": h} for ps in parts for p, h in ps], pair)
-        offsets = np.concatenate([np.cumsum([0, *[len(p) for p in parts]]), np.full(m, len(flat))]).astype(np.int32)
-        none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
-             pa.concat_arrays([batch.column("key"), none]),
-             pa.concat_arrays([pa.array(n, pa.int64()), none]),
-             pa.concat_arrays([pa.array(sig1, pa.int64()), none]),
-             pa.concat_arrays([pa.array(sig2, pa.int64()), none]),
-             pa.ListArray.from_arrays(offsets, flat),
-             pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(m, pa.binary())]),
-             pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(tokens, pa.int64())]),
-             pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(count, pa.int64())])],
-            names=["id", "key", "n", "sig1", "sig2", "parts", "bits", "token", "held"])
+                size += len(s)
+        yield _record(id_type, id=batch.column("id"), key=batch.column("key"), n=n, sig1=sig1, sig2=sig2,
+                      parts=parts, bits=bits)
+        if size >= GATHERED:
+            tokens, count = _frequent(held, max(2, len(held) * COMMON_SHARE))
+            yield _record(id_type, token=tokens, held=count)
+            held, size = [], 0
+    if held:
+        tokens, count = _frequent(held, max(2, len(held) * COMMON_SHARE))
+        yield _record(id_type, token=tokens, held=count)
 
 
 def _frequent(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +166,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def common_shingles(table: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted common shingles and their classes (log2 of their counts). Every
-    text is counted; a shingle that is common over all texts is so in some
-    batch. At most mean set size / COMMON_SHARE of them."""
+    text is counted; a shingle that is common over all texts is so among the
+    texts gathered somewhere. At most mean set size / COMMON_SHARE of them."""
     rows = (table.where("token is not null").groupBy("token").agg(F.sum("held").alias("n"))
             .where(F.col("n") >= max(COMMON_LEAST, texts * COMMON_SHARE)).toArrow())
     tokens = np.asarray(rows.column("token")).astype(np.int64).view(np.uint64)
@@ -397,6 +410,7 @@ def _pairs(batches):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id (smallest
     id reachable by links), text_key (a hash of the text)."""
+    small_batches(docs)
     table = stage(signatures(docs, id_col, text_col), "jaccard-signatures")
     texts = table.where("token is null")
     # Equal sets are one node; numbered when written, so the numbers stay.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.features import bounded_sample, bucket_counts, indicators, sample_matrix
-from bazaar.llm.scratch import stage
+from bazaar.llm.scratch import small_batches, stage
 
 #: Bounds: labelled texts of each class to learn from, n-grams in the model.
 PER_CLASS = 3000
@@ -92,6 +92,7 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 
 def fit(docs: DataFrame, labels: DataFrame, label: Column, id_col: str = "doc_id",
         text_col: str = "text", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
+    small_batches(docs)
     labelled = labels.select(F.col(id_col).alias("id"), label.alias("label")).where("label is not null") \
         .groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("cls"))
     rates = labelled.agg(F.avg("cls").alias("rate")).first()["rate"]

@@ -1,4 +1,4 @@
-"""Tables staged in the shared checkpoint folder, to cut lineage."""
+"""Tables staged in the shared checkpoint folder, to cut lineage; batch sizes."""
 
 from __future__ import annotations
 
@@ -17,3 +17,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one Arrow batch: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound the Arrow batches of texts on their way to Python workers, unless
+    the session has set fewer rows already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.features import bounded_sample, bucket_counts, indicators, sample_matrix
-from bazaar.llm.scratch import stage
+from bazaar.llm.scratch import small_batches, stage
 
 #: Bounds: texts to learn from (toxic, and as many others), features.
 PER_CLASS = 2000
@@ -113,6 +113,7 @@ def predict_chain(x: np.ndarray, links: tuple[Link, ...]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         per_class: int = PER_CLASS, features: int = FEATURES) -> Chain:
+    small_batches(docs)
     lab = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.round(F.avg("toxic")).cast("int").alias("toxic"),
         F.coalesce(F.round(F.avg("quality")), F.lit(1)).cast("int").alias("quality"))
