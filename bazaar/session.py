@@ -65,9 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A path for an intermediate table inside the shared checkpoint folder, in
+    this application's own part of it."""
+    return os.path.join(_scratch_base(spark), name)
+
+
+def _scratch_base(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -78,7 +82,7 @@ def clear_scratch(spark: SparkSession) -> None:
     shared stores as well as local paths. DataFrames built on the staged
     tables must not be used afterwards.
     """
-    base = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    base = _scratch_base(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
