@@ -1,5 +1,6 @@
 """Hashed text features for the classifiers: presence of plain words, of byte
-trigrams and of runs of one word, in a fixed number of buckets.
+trigrams and of runs of one word, and word beginnings that come at least twice
+(inflected forms of one stem), in a fixed number of buckets.
 
 Everything is vectorised over Arrow columns, in slices of bounded size, and
 covers whole texts. Learning reads a bounded sample of labelled rows (its
@@ -17,16 +18,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.words import mix, words_of
+from bazaar.llm.words import LOWER, Words, mix, words_of
 
 BITS = 18
 BUCKETS = 1 << BITS
 #: Lengths of runs of one and the same word that count as features.
 RUNS = (3, 5, 8)
+#: Lengths in bytes of word beginnings, and how often one must come.
+STEMS = (4, 5, 6, 7)
+STEM_TIMES = 2
+
+
+def stems_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each word's beginning, its bucket) for all lengths of ``STEMS``."""
+    row_of_word = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
+    length = w.ends - w.starts
+    at = np.flatnonzero(length >= STEMS[0])
+    h = np.zeros(len(at), np.uint64)
+    rows, buckets = [], []
+    for k in range(1, STEMS[-1] + 1):
+        keep = length[at] >= k
+        at, h = at[keep], h[keep]
+        h = h * np.uint64(0x100000001B3) + LOWER[w.data[w.starts[at] + k - 1]]
+        if k in STEMS:
+            rows.append(row_of_word[at])
+            buckets.append((mix(h) >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
-def buckets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each feature from 0, its bucket), not distinct."""
+def buckets_of(column: pa.Array) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray]]:
+    """(words of a slice, rows, row of each feature from 0, its bucket), not distinct."""
     shift = np.uint64(64 - BITS)
     for w in words_of(column, plain=True):
         n = len(w.ptr) - 1
@@ -48,19 +69,27 @@ def buckets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
             rows.append(row[:-2][at])
             # 32-bit multiplicative hashing: the upper bits, as for the words.
             codes.append((tri[at] * np.uint32(2654435761)).astype(np.uint64) << np.uint64(32))
-        yield w.first, n, np.concatenate(rows), (np.concatenate(codes) >> shift).astype(np.int64)
+        yield w, n, np.concatenate(rows), (np.concatenate(codes) >> shift).astype(np.int64)
 
 
 def indicators(column: pa.Array, selected: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, 0/1 matrix of the selected buckets) for slices of rows."""
-    table = np.full(BUCKETS, -1, np.int32)
+    """(first row, 0/1 matrix of the selected features) for slices of rows.
+    Features from ``BUCKETS`` on are those of repeated stems."""
+    table = np.full(2 * BUCKETS, -1, np.int32)
     table[selected] = np.arange(len(selected))
-    for first, n, rows, buckets in buckets_of(column):
+    stems = (selected >= BUCKETS).any()
+    for w, n, rows, buckets in buckets_of(column):
         found = table[buckets]
         at = found >= 0
         m = np.zeros((n, len(selected)), bool)
         m[rows[at], found[at]] = True
-        yield first, m
+        if stems:
+            rows, buckets = stems_of(w)
+            found = table[BUCKETS + buckets]
+            at = found >= 0
+            cells, times = np.unique(rows[at] * len(selected) + found[at], return_counts=True)
+            m.reshape(-1)[cells[times >= STEM_TIMES]] = True
+        yield w.first, m
 
 
 def bounded_sample(docs: DataFrame, labelled: DataFrame, cls: str, classes: tuple[int, ...], per_class: int,
@@ -78,16 +107,21 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, cls: str, classes: tupl
     return texts.join(F.broadcast(chosen), "id").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
 
 
-def bucket_counts(sample: DataFrame, classes: int) -> DataFrame:
+def bucket_counts(sample: DataFrame, classes: int, stems: bool = False) -> DataFrame:
     """(bucket, n0, n1, ...): how many sample rows of each class (column
-    ``cls``, from 0) hold the bucket."""
+    ``cls``, from 0) hold the feature; ``stems``: those of stems too."""
     def count(batches):
-        total = np.zeros((classes, BUCKETS), np.int32)
+        total = np.zeros((classes, 2 * BUCKETS), np.int32)
         for batch in batches:
             cls = np.asarray(batch.column("cls"))
-            for first, n, rows, buckets in buckets_of(batch.column("text")):
+            for w, _, rows, buckets in buckets_of(batch.column("text")):
                 pairs = np.unique(rows * BUCKETS + buckets)
-                np.add.at(total, (cls[first + pairs // BUCKETS], pairs % BUCKETS), 1)
+                np.add.at(total, (cls[w.first + pairs // BUCKETS], pairs % BUCKETS), 1)
+                if stems:
+                    rows, buckets = stems_of(w)
+                    pairs, times = np.unique(rows * BUCKETS + buckets, return_counts=True)
+                    pairs = pairs[times >= STEM_TIMES]
+                    np.add.at(total, (cls[w.first + pairs // BUCKETS], BUCKETS + pairs % BUCKETS), 1)
         held = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(held, pa.int64()), *[pa.array(total[c, held].astype(np.int64)) for c in range(classes)]],

@@ -21,11 +21,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII other than letters and digits: separators of plain words.
 _OTHER = np.zeros(256, bool)
 _OTHER[:128] = [not chr(i).isalnum() for i in range(128)]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE[_LOWER]
+_BYTE_LOWER = _BYTE[LOWER]
 _ODD = _rng.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
