@@ -2,16 +2,19 @@
 
 The test items are taken in blocks of a bounded number of words. For a block
 the corpus is read twice. The first pass counts in how many texts each of the
-items' word n-grams occurs; those that are rare for their item are its seeds. The second pass looks up the seeds in every text, aligns the item with
-the passage around each cluster of seeds (local alignment of words), and keeps
+items' word n-grams occurs; those that are rare for their item are its seeds.
+The second pass looks up the seeds in every text, aligns the item with the
+passage around each cluster of seeds (local alignment of words), and keeps
 places whose score is at least ``min_score`` of a perfect copy's, so edited
 and paraphrased copies count too. Both are maps over the texts; only counts of
 the block's n-grams are shuffled.
 
-Defined cases: words compare with A-Z lower-cased; null and empty texts match
-nothing; items of fewer words than an n-gram match as a whole, items without
-words never; each text and item has one result, its best place (the first of
-equal ones); equal items each have their own; repeated rows give repeated
+Words are runs of letters and digits (any script), lower-cased, so copies in
+capitals or with other punctuation are copies.
+
+Defined cases: null and empty texts match nothing; items of fewer words than
+an n-gram match as a whole, items without words never; each text and item has
+one result, its best place (the first of equal ones; places count words); equal items each have their own; repeated rows give repeated
 results; empty tables give empty results; extra columns are kept by
 ``drop_contaminated`` and not read.
 """
@@ -19,15 +22,17 @@ results; empty tables give empty results; extra columns are kept by
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.scratch import small_batches
-from bazaar.llm.words import ngrams, words_of
+from bazaar.llm.words import Words, ngrams, words_of
 
 N = 3
 MIN_SCORE = 0.5
@@ -51,6 +56,10 @@ class Seeds(NamedTuple):
     place: np.ndarray
 
 
+def normal_words(texts: pa.Array) -> Iterator[Words]:
+    return words_of(pc.utf8_lower(texts), plain=True)
+
+
 def _item_grams(words: np.ndarray) -> np.ndarray:
     return ngrams(words, min(N, len(words)))
 
@@ -63,7 +72,7 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str) -> int:
 def load_block(items: DataFrame, id_col: str, text_col: str) -> Block:
     got = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).toArrow()
     ids, words = got.column("id").to_pylist(), []
-    for w in words_of(got.column("text")):
+    for w in normal_words(got.column("text").combine_chunks()):
         words += [w.hashes[w.ptr[i]:w.ptr[i + 1]] for i in range(len(w.ptr) - 1)]
     order = sorted((i for i in range(len(ids)) if len(words[i])), key=lambda i: (str(ids[i]), words[i].tobytes()))
     ids, words = [ids[i] for i in order], [words[i] for i in order]
@@ -87,7 +96,7 @@ class Lookup:
         return at[hit], k[hit]
 
 
-def _text_grams(w) -> list[tuple[int, np.ndarray]]:
+def _text_grams(w: Words) -> list[tuple[int, np.ndarray]]:
     """n-gram hashes of a slice as (n, hashes) for every n that items need;
     shorter ones than N serve items of so few words."""
     return [(n, ngrams(w.hashes, n)) for n in range(1, N + 1)]
@@ -100,7 +109,7 @@ def gram_counts(docs: DataFrame, text_col: str, block: Block) -> np.ndarray:
     def count(batches):
         total = np.zeros(len(find.keys), np.int64)
         for batch in batches:
-            for w in words_of(batch.column(0)):
+            for w in normal_words(batch.column(0)):
                 row = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
                 for n, grams in _text_grams(w):
                     if n in short and len(grams):
@@ -204,7 +213,7 @@ def contaminations(text: Column, block: Block, seeds: Seeds, min_score: float, i
     @F.arrow_udf(HIT.format(id=id_type))
     def search(texts: pa.Array) -> pa.Array:
         out: list[list] = [[] for _ in range(len(texts))]
-        for w in words_of(texts):
+        for w in normal_words(texts):
             row = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
             at, key = [], []
             for n, grams in _text_grams(w):

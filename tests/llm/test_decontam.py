@@ -96,3 +96,12 @@ def test_a_slice_of_texts_without_any_seed(spark, rng):
     items = spark.createDataFrame([(1, item)], ITEMS)
     assert decontam.find_contamination(docs, items).collect() == []
     assert decontam.drop_contaminated(docs, items).count() == 1
+
+
+def test_capitals_and_punctuation_do_not_hide_a_copy(spark):
+    item = "Élan ñandú, öffnet die Tür: los más altos. Una vez más!"
+    loud = " ".join(w.upper() + "!!" for w in item.split())
+    listed = " | ".join(item.split())
+    docs = spark.createDataFrame([(1, "x y " + loud, "en", "a", 1), (2, listed + " | z", "en", "a", 1)], SCHEMA)
+    got = decontam.find_contamination(docs, spark.createDataFrame([(5, item)], ITEMS)).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(1, 1.0), (2, 1.0)]
