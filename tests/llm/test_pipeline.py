@@ -22,7 +22,7 @@ def folder(spark):
         if i % 10 == 0:
             text += " vilewort scornbag gritfool"
         if i % 10 == 1:
-            text += " " + item
+            text += "\n" + prose(rng, 6) + " " + item
         if i % 10 == 2:
             text = base + f" end{i}"
         rows.append((i, text, "en", "ab"[i % 2], len(text)))
