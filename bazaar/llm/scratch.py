@@ -20,7 +20,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of one Arrow batch: texts are long, and a batch is held whole on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(df: DataFrame) -> None:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -108,6 +108,8 @@ def words_of(column: pa.Array | pa.ChunkedArray, plain: bool = False) -> Iterato
         value *= _power(int(lens.max()) if len(lens) else 1)[place]
         hashes = mix(np.add.reduceat(value, at)) if len(at) else np.zeros(0, np.uint64)
         yield Words(first, np.searchsorted(starts, base), hashes, starts, ends, base, data)
+    # Workers live on for other tasks: give back what this column took.
+    pa.default_memory_pool().release_unused()
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
