@@ -1,18 +1,22 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash (h = 2h + G[byte], kept to 16 bits, so it depends on the
-last 16 bytes alone) is taken at the end of every word, and a chunk ends where
-it is divisible by ``DIVISOR``. Where text is cut thus depends on the text
-around the cut only, and an insertion shifts nothing beyond the next cut.
-Chunks of at least ``MIN_BYTES`` are compared by digest over all texts. A run
-of consecutive chunks that each occur in another text too, of at least
+last 16 bytes alone) is taken at the end of every word and mixed, as its low
+bits depend on the last bytes alone. A chunk ends where the mixed hash is the
+smallest among the ``NEIGHBOURS`` word ends on either side (of equal ones the
+first). Where text is cut thus depends on the text around the cut only, and an
+insertion shifts nothing beyond the next cuts; a chunk has at least
+``NEIGHBOURS`` + 1 words and 2 x ``NEIGHBOURS`` + 1 on average, whatever the
+letters. All chunks are compared by digest over all texts. A run of
+consecutive chunks that each occur in another text too, of at least
 ``MIN_RUN`` bytes, is a repeated passage; all occurrences of its chunks go but
 the first (by id, then place).
 
 Defined cases: null and empty texts have no chunks; chunks compare byte for
 byte; repetition inside one text alone is none; rows that repeat an id and a
 text are one text (each row gets its results); null ids sort last; a text
-without word ends and cuts is one chunk; an empty table gives an empty result;
+without word ends and cuts is one chunk, and so is a stretch that repeats
+itself every ``NEIGHBOURS`` words or sooner; an empty table gives an empty result;
 extra columns are kept by ``dedup_substrings`` and not read.
 """
 
@@ -26,15 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.scratch import small_batches, stage
-from bazaar.llm.words import words_of
+from bazaar.llm.words import mix, words_of
 
-DIVISOR = 6
+#: Word ends on either side of a cut that have no smaller hash.
+NEIGHBOURS = 3
 WINDOW = 16
-MIN_BYTES = 30
+#: No chunk is too short to be compared.
+MIN_BYTES = 1
 MIN_RUN = 90
-#: Words longer than this (scripts without spaces) may be cut inside, at
-#: character ends.
-LONG_WORD, INNER_DIVISOR = 64, 32
+#: Words longer than this (scripts without spaces) may be cut inside: one in
+#: INNER_DIVISOR of their character ends counts as a word end.
+LONG_WORD, INNER_DIVISOR = 64, 4
 
 _GEAR = np.random.default_rng(1009).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -52,18 +58,27 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts_of(data: np.ndarray, base: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Byte positions of all chunk ends, those of the texts included. A hash
-    that would reach into the text before is not used."""
-    h = gear(data)
-    at = ends[h[ends - 1] % DIVISOR == 0] if len(ends) else ends
-    parts = [at]
+    that would reach into the text before is not used, and a word end with
+    fewer than ``NEIGHBOURS`` others on a side is no cut."""
+    h = mix(gear(data).astype(np.uint64))
+    parts = [ends]
     long = np.flatnonzero(ends - starts > LONG_WORD)
     for i in long.tolist():
         inner = np.arange(starts[i] + 1, ends[i])
         inner = inner[(h[inner - 1] % INNER_DIVISOR == 0) & (data[inner] & 0xC0 != 0x80)]
         parts.append(inner)
     at = np.unique(np.concatenate(parts))
-    in_text = at - base[np.searchsorted(base, at, "left") - 1]
-    return np.union1d(at[in_text >= WINDOW], base)
+    row = np.searchsorted(base, at, "left") - 1
+    whole = at - base[row] >= WINDOW
+    at, row = at[whole], row[whole]
+    value = h[at - 1]
+    least = np.ones(len(at), bool)
+    for s in range(1, NEIGHBOURS + 1):
+        least[:s] = least[-s:] = False
+        together = row[s:] == row[:-s]
+        least[s:] &= together & (value[s:] < value[:-s])
+        least[:-s] &= together & (value[:-s] <= value[s:])
+    return np.union1d(at[least], base)
 
 
 def chunk_rows(batches):

@@ -112,3 +112,33 @@ def test_edge_rows(edge_docs, clashing, no_docs):
         assert sorted(str((r.doc_id, r._n_repeated, r.text)) for r in got) == sorted(
             str((r[0], *(want[r[0], r[1]] if r[1] else (0, r[1])))) for r in rows)
     assert cd.dedup_substrings(no_docs).collect() == []
+
+
+LETTERS = {"en": "etaoinshrdlucmfwypvbgk", "fr": "esaitnrulodcmpéèàêçvqfbgh", "de": "enisratdhulcgmobwfkzpvüäöß",
+           "el": "αεητιοσρνκλπμυδθω", "ru": "оеаинтсрвлкмдпуяыьгзбчй"}
+
+
+def invented(rng, letters, n):
+    return ["".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 2, 3, 4, 5, 6, 7, 8, 11)))) for _ in range(n)]
+
+
+def test_every_planted_passage_of_51_words_is_found(spark, rng):
+    rows, planted = [], {}
+    for lang, letters in LETTERS.items():
+        words = invented(rng, letters, 2000)
+        for _ in range(60):
+            passage = " ".join(rng.choices(words, k=51)) + rng.choice(["", ".", "?", "9"])
+            for _ in range(2):
+                before, after = (" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(2))
+                planted[len(rows)] = passage
+                rows.append((len(rows), f"{before} {passage} {after}", lang, "a", 1))
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=120)), lang, "a", 1) for i in range(40)]
+    got = {r.doc_id: r for r in cd.dedup_substrings(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    missed = []
+    for i, passage in planted.items():
+        at = text[i].find(passage)
+        if not any(p.start < at + len(passage) and p.end > at for p in got[i]._passages or ()):
+            missed.append((i, rows[i][2]))
+    assert missed == []
+    assert {i for i, r in got.items() if r._n_repeated} == set(planted)
