@@ -1,16 +1,16 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
-lower-cased. The index holds, for each word of the license templates, its
-postings (template, position). For each text the present template words of
-the highest IDF (over all texts) are looked up; a word at place p with a
-posting at q votes for the template starting at p - q. Of each template the
-place with the most IDF is scored by all template words that stand where it
-says, and counts only if the template's mandatory key phrases stand there
-word for word.
+lower-cased. A template counts only where its mandatory key phrases stand word
+for word, so each of its places holds the rarest word (of the highest IDF over
+all texts) of its first key phrase. The index holds the postings (template,
+position) of those words; every such word of a text, at place p with a posting
+at q, is looked up and gives the place p - q. Each place at which the key
+phrases stand is scored by all template words that stand where it says, and
+the best score of a template counts.
 
 Defined cases: null text counts as empty; repeated rows give repeated results;
-equal votes go to the smallest place; an empty table gives an empty result;
+a template's labels and score depend on its own places alone; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -49,8 +49,6 @@ TEMPLATES = (
 )
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rarest present words that a text looks up.
-LOOKUPS = 8
 MIN_SCORE = 0.6
 
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
@@ -119,12 +117,20 @@ def template_table(weight: dict[str, float]) -> Column:
                        "keys:array<struct<at:int,w:string>>,words:array<struct<at:int,w:string,weight:double>>>>")
 
 
-def posting_table() -> Column:
-    """The index as a constant map: word to its postings (template, place)."""
+def anchor_of(phrase: str, weight: dict[str, float]) -> str:
+    """The rarest word of a phrase, of equally rare ones the longest."""
+    return max(phrase.split(), key=lambda w: (weight[w], len(w), w))
+
+
+def posting_table(weight: dict[str, float]) -> Column:
+    """The index as a constant map: the rarest word of each template's first
+    key phrase to its postings (template, place)."""
     postings: dict[str, list[dict[str, int]]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        for q, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append({"t": t, "q": q})
+    for t, (_, notice, keys) in enumerate(TEMPLATES):
+        parts, key = notice.split(), keys[0].split()
+        w = anchor_of(keys[0], weight)
+        at = next(i for i in range(len(parts)) if parts[i:i + len(key)] == key)
+        postings.setdefault(w, []).append({"t": t, "q": at + key.index(w)})
     return F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<t:int,q:int>>>")
 
 
@@ -132,13 +138,10 @@ def word_list(ws: list[str]) -> Column:
     return F.split(F.lit(" ".join(ws)), " ")
 
 
-def template_score(ws: Column, votes: Column, template: Column) -> Column:
+def template_score(ws: Column, places: Column, template: Column) -> Column:
     """Score (0 to 1) of the best place of a template: the weight of its words
     that stand there, 0 where a key phrase is missing."""
-    starts = F.array_sort(F.transform(F.filter(votes, lambda v: v["t"] == template["t"]), lambda v: v["start"]))
-    # Places that two looked-up words or more agree on, each scored once.
-    agreed = let(starts, lambda ss: F.array_distinct(F.array_compact(F.transform(
-        ss, lambda s, i: F.when((i > 0) & (F.get(ss, F.greatest(i - 1, F.lit(0))) == s), s)))))
+    starts = F.transform(F.filter(places, lambda v: v["t"] == template["t"]), lambda v: v["start"])
 
     def score(start: Column) -> Column:
         got = F.aggregate(template["words"], F.lit(0.0), lambda acc, x: acc + F.when(
@@ -146,7 +149,7 @@ def template_score(ws: Column, votes: Column, template: Column) -> Column:
         keyed = F.forall(template["keys"], lambda x: _stands(ws, start + x["at"], x["w"]))
         return F.when(keyed, F.least(got / template["total"], F.lit(1.0))).otherwise(F.lit(0.0))
 
-    return F.coalesce(F.array_max(F.transform(agreed, score)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(starts, score)), F.lit(0.0))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,15 +157,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     last_word, base_labels, labels, score. Two passes over the texts, the
     first for the word counts behind the IDF; no row is shuffled."""
     weight = idf(docs.count(), vocabulary_counts(docs, text_col))
-    rarest = sorted(VOCABULARY, key=lambda w: (-weight[w], w))
-    index, vocabulary = posting_table(), word_list(VOCABULARY)
+    index, vocabulary = posting_table(weight), word_list(VOCABULARY)
 
     low = F.coalesce(ascii_lower(F.col(text_col)), F.lit(""))
     df = docs.select(F.col(id_col), low.alias("_low"))
-    # Every base phrase and every template's key phrases need one of these: the
-    # rarest word of each, of equally rare ones the longest.
-    anchors = sorted({max(k[0].split(), key=lambda w: (weight[w], len(w), w)) for _, _, k in TEMPLATES}
-                     | {p.split()[-1] for p in PHRASES})
+    # Every base phrase and every template's key phrases need one of these.
+    rarest = sorted({anchor_of(k[0], weight) for _, _, k in TEMPLATES})
+    anchors = sorted({*rarest, *(p.split()[-1] for p in PHRASES)})
     ws = F.col("_ws")
     marked = functools.reduce(operator.or_, [
         F.contains(F.col("_low"), F.lit(a)) if len(a) > 3 else F.array_contains(ws, a) for a in anchors])
@@ -173,14 +174,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda h: F.array_contains(vocabulary, h["w"]))).alias("_hits"))
     hits = F.col("_hits")
     some = hits.isNotNull() & (F.size(hits) > 0)
-    looked_up = let(F.array_distinct(F.transform(hits, lambda h: h["w"])), lambda present: F.slice(
-        F.filter(word_list(rarest), lambda w: F.array_contains(present, w)), 1, LOOKUPS))
-    votes = let(looked_up, lambda chosen: F.flatten(F.transform(
-        F.filter(hits, lambda h: F.array_contains(chosen, h["w"])),
+    places = F.flatten(F.transform(
+        F.filter(hits, lambda h: F.array_contains(word_list(rarest), h["w"])),
         lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(
-            p["t"].alias("t"), (h["at"] - p["q"]).alias("start"))))))
+            p["t"].alias("t"), (h["at"] - p["q"]).alias("start")))))
     # Templates of any score, and the places of the base phrases.
-    found = F.filter(let(votes, lambda vs: F.transform(template_table(weight), lambda t: F.struct(
+    found = F.filter(let(places, lambda vs: F.transform(template_table(weight), lambda t: F.struct(
         t["label"].alias("label"), template_score(ws, vs, t).alias("score")))), lambda f: f["score"] > 0)
     base = F.flatten(F.array(*[phrase_places(ws, hits, *p) for p in PHRASES.items()]))
     df = df.select(id_col, "n_words",

@@ -67,3 +67,33 @@ def test_edge_rows(edge_docs, clashing, no_docs):
 def test_no_python_in_the_plan(edge_docs):
     plan = licenses.scan_licenses(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def scores(text, weight):
+    """Best score of each template by trying every place of the text."""
+    ws, out = WORD.findall((text or "").translate(LOWER)), {}
+    for label, notice, keys in licenses.TEMPLATES:
+        parts = notice.split()
+        key_at = [(next(i for i in range(len(parts)) if parts[i:i + len(k)] == k), k) for k in map(str.split, keys)]
+        for start in range(-len(parts), len(ws)):
+            at = [ws[start + i] if 0 <= start + i < len(ws) else None for i in range(len(parts))]
+            if all(at[i:i + len(k)] == k for i, k in key_at):
+                got = sum(weight[w] for w, x in zip(parts, at, strict=True) if w == x) / sum(weight[w] for w in parts)
+                out[label] = max(out.get(label, 0), got)
+    return out
+
+
+def test_every_place_of_every_template_counts(spark):
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    rare = "redistribution mozilla documentation unencumbered affero lesser attribution commons foundation"
+    texts = [*TEXTS, " and then ".join(notices), f"{rare} x " * 300 + "All rights reserved. " + f"{rare} y " * 300,
+             f"{rare} licensed under CC BY 4.0 {rare}", "mit license " * 50 + notices[12], *notices]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = licenses.idf(docs.count(), licenses.vocabulary_counts(docs, "text"))
+    got = run(docs)
+    for i, text in enumerate(texts):
+        want = scores(text, weight)
+        labels = {x for x, y in want.items() if y >= licenses.MIN_SCORE} | set(filter(None, base(text)[4].split(",")))
+        assert got[i].labels == ",".join(sorted(labels)), text and text[:50]
+        assert abs(got[i].score - max(want.values(), default=0)) < 1e-9, text and text[:50]
+    assert got[len(TEXTS)].labels == ",".join(sorted({x for x, _, _ in licenses.TEMPLATES}))
