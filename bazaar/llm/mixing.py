@@ -7,13 +7,16 @@ of copies, in proportion to its importance and at most ``max_repeat``, so that
 the expected words meet the target. The whole part of it is certain; the rest
 is an inclusion probability p, and the sample is the Pareto order sample:
 documents rank by random odds over inclusion odds, (u / (1-u)) / (p / (1-p)),
-and the first ones are taken as long as the target's words are not exceeded (a
-sample of fixed size in words). What stays open, less than one document, is
-filled by the largest documents that fit, at most two a source.
+and go down the rank: each one that still fits into the target's words is
+taken (a sample of fixed size in words), until none of the others fits. With
+``fills`` the rank is cut at the first one that does not fit, and at most so
+many documents a source, the largest that fit, are taken besides.
 
 The random u is a hash of the id, so reruns agree. No source is ever sorted
 as a whole: a histogram of the ranks, then one of the ranks inside the bin
-that holds the cut, narrow the sorting down to a small share of a source.
+that holds the cut, narrow the sorting down to a small share of a source. What
+follows a document that does not fit is cut in the same way again, without the
+documents larger than what is left, which is then less than that document.
 
 Defined cases: null text has size 0; a null source is a source of its own;
 equal ranks go by id; rows that repeat an id are documents of their own, in
@@ -31,8 +34,8 @@ from bazaar.llm.scratch import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of a rank histogram; two levels narrow a source to 1 / BINS**2.
 BINS = 4096
-#: Documents a source may draw besides, to fill what the cut leaves open.
-FILLS = 2
+#: Rows that one window over them, by source, is good enough for.
+FEW_ROWS = 2000
 
 
 def word_count(text: Column) -> Column:
@@ -105,13 +108,14 @@ def _cut(ranked: DataFrame, low: str, width: float) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_repeat: float = 2.0,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                importance: Column | None = None, seed: int = 7) -> DataFrame:
+                importance: Column | None = None, seed: int = 7, fills: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, size, source_size, target, copies,
     taken. ``weights`` has (source, weight); a source without a weight gets
     none of the budget. ``importance`` (a positive function of the column
     ``size``, of few distinct values) sets how copies differ within a source;
     default: 1 more for each doubling of the size, so longer documents are
-    likelier."""
+    likelier. ``fills``: None goes down the whole rank, a number is the
+    shorter rule of the module's docstring."""
     if importance is None:
         importance = 1.0 + (F.length(F.bin(F.col("size") + 1)) - 1) / F.lit(8.0)
     sized = stage(docs.select(
@@ -139,9 +143,18 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_re
     whole = whole.select(F.col("source").alias("_s"), "need")
     ranked = stage(docs_.join(whole, docs_.source.eqNullSafe(whole._s)).drop("_s"), "mix-ranks")
 
+    out = _draw_whole(ranked) if fills is None else _draw_cut(ranked, fills)
+    copies = F.col("whole") + F.col("drawn").cast("int")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target",
+                      copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def _cut_edges(drawn: DataFrame) -> DataFrame:
+    """Per source, where the cut lies: (_s, bin1, bin2, edge). A source that
+    fits as a whole has no row."""
     # First histogram: the bin that holds the cut. Second: the same inside it.
     width = 1.0 / BINS
-    drawn = ranked.where("rank < 2 and need > 0").withColumn("_zero", F.lit(0.0))
+    drawn = drawn.withColumn("_zero", F.lit(0.0))
     cut1 = stage(_cut(drawn, "_zero", width).select(
         F.col("source").alias("_s"), F.col("bin").alias("bin1"), F.col("left").alias("left1")), "mix-cut1")
     inside = drawn.drop("need").join(cut1, drawn.source.eqNullSafe(cut1._s)
@@ -153,26 +166,70 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_re
                                     & (F.floor((inside["rank"] - inside.low) / (width / BINS)) == cut2.bin2))
     # The few rows of the last bin, in order: taken while they fit.
     order = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "tie")
-    last = edge.withColumn("_words", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))) \
+    last = edge.withColumn("_words", F.sum("size").over(order.rangeBetween(
+        Window.unboundedPreceding, Window.currentRow))) \
         .where("_words <= left2")
     cut = (last.groupBy("source").agg(F.max(_key()).alias("edge")).select(F.col("source").alias("_s3"), "edge"))
     lowest = cut1.join(cut2, cut1._s.eqNullSafe(cut2._s2)).drop("_s2")
     lowest = lowest.join(cut, lowest._s.eqNullSafe(cut._s3), "left").drop("_s3")
-    lowest = stage(lowest.select("_s", "bin1", "bin2", "edge"), "mix-edge")
+    return stage(lowest.select("_s", "bin1", "bin2", "edge"), "mix-edge")
 
-    out = ranked.join(lowest, ranked.source.eqNullSafe(lowest._s), "left")
+
+def _before_cut() -> Column:
+    """Whether a row, joined with its source's cut, is before it."""
+    width = 1.0 / BINS
     bin1 = F.floor(F.col("rank") / width)
     bin2 = F.floor((F.col("rank") - F.col("bin1") * F.lit(width)) / (width / BINS))
-    taken = (F.col("rank") < 2) & (
-        (bin1 < F.col("bin1"))
-        | ((bin1 == F.col("bin1")) & ((bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & (_key() <= F.col("edge"))))))
-    out = stage(out.withColumn("drawn", F.coalesce(taken, F.lit(False)))
+    return F.coalesce((bin1 < F.col("bin1")) | ((bin1 == F.col("bin1")) & (
+        (bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & (_key() <= F.col("edge"))))), F.lit(False))
+
+
+def _draw_cut(ranked: DataFrame, fills: int) -> DataFrame:
+    """Add ``drawn``: the documents before the cut and ``fills`` more."""
+    lowest = _cut_edges(ranked.where("rank < 2 and need > 0"))
+    out = ranked.join(lowest, ranked.source.eqNullSafe(lowest._s), "left")
+    out = stage(out.withColumn("drawn", (F.col("rank") < 2) & _before_cut())
                 .drop("_s", "bin1", "bin2", "edge"), "mix-drawn")
-    for _ in range(FILLS):
+    for _ in range(fills):
         out = _fill(out)
-    copies = F.col("whole") + F.col("drawn").cast("int")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                      copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out
+
+
+def _draw_whole(ranked: DataFrame) -> DataFrame:
+    """Add ``drawn``: down the rank, each document that still fits. Rounds of
+    cuts, each over the documents that fit into what the one before has left;
+    of a round only its bounds are kept, one row a source."""
+    # Rows that repeat an id and a text are taken together, so their sum fits.
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source", "id", "tie")]
+    repeated = stage(ranked.groupBy("source", "id", "tie").agg(F.sum("size").alias("_unit"), F.count(F.lit(1)).alias("n"))
+                     .where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ("source", "id", "tie")], "_unit"), "mix-repeated")
+    ranked = (ranked.join(repeated, same[0] & same[1] & same[2], "left")
+              .withColumn("unit", F.coalesce("_unit", "size")).drop("_source", "_id", "_tie", "_unit"))
+    ranked = stage(ranked, "mix-units")
+    open_ = ranked.where("rank < 2 and unit > 0 and unit <= need").select(
+        "source", "rank", "id", "tie", "size", "unit", "need")
+    rounds = None
+    while n := (open_ := stage(open_, "mix-open")).count():
+        if n <= FEW_ROWS:
+            down = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "tie") \
+                .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            marked = open_.withColumn("taken", F.sum("size").over(down) <= F.col("need"))
+        else:
+            lowest = _cut_edges(open_)
+            marked = (open_.join(lowest, open_.source.eqNullSafe(lowest._s), "left")
+                      .withColumn("taken", F.col("bin1").isNull() | _before_cut()).drop("_s", "bin1", "bin2", "edge"))
+        bounds = stage(marked.where("taken").groupBy(F.col("source").alias("_s")).agg(
+            F.first("need").alias("fits"), F.sum("size").alias("used"), F.max(_key()).alias("edge")), "mix-round")
+        rounds = bounds if rounds is None else rounds.unionByName(bounds)
+        open_ = (open_.join(bounds, open_.source.eqNullSafe(bounds._s))
+                 .where((_key() > F.col("edge")) & (F.col("unit") <= F.col("fits") - F.col("used")))
+                 .withColumn("need", F.col("fits") - F.col("used")).drop("_s", "fits", "used", "edge"))
+    if rounds is None:
+        return ranked.withColumn("drawn", F.lit(False))
+    rounds = stage(rounds.groupBy("_s").agg(F.collect_list(F.struct("fits", "edge")).alias("rounds")), "mix-rounds")
+    taken = F.exists("rounds", lambda r: (F.col("unit") <= r["fits"]) & (_key() <= r["edge"]))
+    return (ranked.join(rounds, ranked.source.eqNullSafe(rounds._s), "left")
+            .withColumn("drawn", (F.col("rank") < 2) & (F.col("unit") > 0) & F.coalesce(taken, F.lit(False))))
 
 
 def _key() -> Column:
