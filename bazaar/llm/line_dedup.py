@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions.
 
 A line is boilerplate of a host if the share of the host's pages that hold it
-exceeds ``max_ratio``, and at least ``min_pages`` pages hold it. Pages of a
-host with one and the same text count once, on both sides of the ratio, so a
+exceeds ``max_ratio``, and at least ``min_pages`` pages hold it: so few that
+hosts of a handful of pages are cleaned too. Pages of a host with one and the same text count once, on both sides of the ratio, so a
 mirrored page does not turn its own content into boilerplate. Boilerplate
 lines go from every page of the host.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from bazaar.llm.scratch import stage
 
 MAX_RATIO = 0.05
-MIN_PAGES = 10
+MIN_PAGES = 3
 
 
 def host_of(url: Column) -> Column:

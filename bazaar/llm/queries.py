@@ -53,7 +53,8 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_boilerplate(_documents(spark, sf_dir))
+    # At least 10 pages are the rule of this query's SQL.
+    out = line_dedup.drop_boilerplate(_documents(spark, sf_dir), min_pages=10)
     return out.select("doc_id", "source", F.col("_lines_in").alias("n_lines"),
                       F.col("_lines_dropped").alias("n_dropped"), "text")
 

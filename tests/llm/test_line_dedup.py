@@ -56,3 +56,13 @@ def test_host_of(spark):
     urls = ["https://User@WWW.Example.org:80/a?b", "ftp://x/y", "no address", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u")).alias("h"))
     assert [r.h for r in df.collect()] == ["www.example.org", "x", "", None]
+
+
+def test_small_hosts_are_cleaned(spark, rng):
+    rows = [(n * 1000 + i, "\n".join([prose(rng, 9), "all over"] + ["on some"] * (i < 3) + ["on nine"] * (i < 9)),
+             "en", f"host{n}", 1) for n in (1, 2, 3, 5, 9, 40, 70, 100) for i in range(n)]
+    for r in drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect():
+        pages, i, lines = int(r.source[4:]), r.doc_id % 1000, r.text.split("\n")
+        assert ("all over" in lines) == (pages < 3), r
+        assert ("on some" in lines) == (i < 3 and (pages < 3 or pages > 60)), r
+        assert ("on nine" in lines) == (i < 9 and pages < 3), r
