@@ -17,10 +17,14 @@ from bazaar.llm import (
     mixing,
     nbsvm,
     secrets,
+    token_align,
     toxicity,
 )
 from bazaar.llm.oracles import ORACLE_SQL  # noqa: F401 - read by the driver contract
 
+#: Folder of the public vocabulary files on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,6 +88,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = token_align.read_vocabularies(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_align.digest_columns(token_align.token_agreement(_documents(spark, sf_dir), v))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -95,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontam": op9_decontam,
     "op10_licenses": op10_licenses,
+    "op13_token_align": op13_token_align,
 }
