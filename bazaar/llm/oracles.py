@@ -96,4 +96,25 @@ pick2 AS (
 SELECT doc_id, size, source_size, target, (size * (whole + (taken OR picked2)::INT))::BIGINT AS taken FROM pick2
 """
 
-ORACLE_SQL = {"op1_mixing": OP1, "op5_line_dedup": OP5, "op7_exact_dedup": OP7}
+OP12 = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, list_inner_product(a.vec, r.vec)::BIGINT AS score
+  FROM v a JOIN v r ON a.id <> r.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op12_hard_negatives": OP12, "op1_mixing": OP1, "op5_line_dedup": OP5, "op7_exact_dedup": OP7}

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm import (
     chunk_dedup,
     decontam,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     licenses,
     line_dedup,
@@ -88,6 +89,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def query_label() -> Column:
+    """The label of a row of ``embeddings``: the next one for every seventh."""
+    return F.expr("CASE WHEN vec_id % 7 = 0 THEN (bigint(label) + 1) % 10 ELSE label END")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = hard_negatives.integer_vectors(rows, "vec_id", "embedding", query_label())
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_align.read_vocabularies(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
     return token_align.digest_columns(token_align.token_agreement(_documents(spark, sf_dir), v))
@@ -104,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontam": op9_decontam,
     "op10_licenses": op10_licenses,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_align": op13_token_align,
 }
