@@ -33,7 +33,8 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,10 +48,10 @@ from bazaar.llm.scratch import stage
 PIECE = 1 << 16
 #: Bytes of a fragment's range in longer texts, and fragments composed at once.
 RANGE, FAN = 1 << 15, 16
-#: Units that a task remembers, and characters up to which it does.
-MEMO, MEMO_CHARS = 150_000, 64
-#: Pair counts that a task holds before it passes them on.
-PAIRS_HELD = 300_000
+#: Units that a task remembers.
+MEMO = 400_000
+#: Pair counts that a task holds before it adds them up and passes them on.
+PAIRS_HELD = 1_000_000
 #: Rows of the pair table up to which all tasks get it (20 bytes a row).
 PAIRS_LIMIT = 1_500_000
 #: Characters of units joined for one call of the tokenizers.
@@ -197,17 +198,28 @@ class Encoder:
                       np.cumsum(sizes), bad)
 
 
+def _merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two rising arrays in one, and whether the next value is the same."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both, np.append(both[1:] == both[:-1], False)
+
+
 def links_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(id pair packed in 64 bits, byte end of the overlap) of all links: two
     tokens overlap in one stretch between neighbouring token ends."""
-    ends = np.union1d(t.ends_a, t.ends_b)
+    both, twice = _merged(t.ends_a, t.ends_b)
+    ends = both[~twice]
     pair = t.a[np.searchsorted(t.ends_a, ends)] << 32 | t.b[np.searchsorted(t.ends_b, ends)]
     return pair, ends
 
 
-def groups_of(t: Tokens) -> tuple[list[str], np.ndarray]:
-    """Groups as ``a1,a2|b1`` and their byte ends."""
-    common = np.intersect1d(t.ends_a, t.ends_b)
+def groups_of(t: Tokens, texts: bool = True) -> tuple[list[str], np.ndarray]:
+    """Groups as ``a1,a2|b1`` (if wanted) and their byte ends."""
+    both, twice = _merged(t.ends_a, t.ends_b)
+    common = both[twice]
+    if not texts:
+        return [], common
     stop_a = (np.searchsorted(t.ends_a, common) + 1).tolist()
     stop_b = (np.searchsorted(t.ends_b, common) + 1).tolist()
     a, b = list(map(str, t.a.tolist())), list(map(str, t.b.tolist()))
@@ -220,48 +232,64 @@ def groups_of(t: Tokens) -> tuple[list[str], np.ndarray]:
     return out, common
 
 
-class Unit(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: tuple[int, ...]
-
-
-def learn_units(encoder: Encoder, units: list[str]) -> list[Unit | None]:
-    """Alignment of each unit; None if its bytes are not given back."""
-    t = encoder.tokens(units)
-    pair, ends = links_of(t)
-    groups, common = groups_of(t)
-    edges = [0, *t.unit_ends.tolist()]
-    at_a = np.searchsorted(t.ends_a, edges, "right").tolist()
-    at_b = np.searchsorted(t.ends_b, edges, "right").tolist()
-    at_g = np.searchsorted(common, edges, "right").tolist()
-    at_p = np.searchsorted(ends, edges, "right").tolist()
-    pairs, bad = pair.tolist(), set(t.bad)
-    return [None if i in bad else Unit(
-        at_a[i + 1] - at_a[i], at_b[i + 1] - at_b[i], at_g[i + 1] - at_g[i],
-        ";".join(groups[at_g[i]:at_g[i + 1]]), tuple(pairs[at_p[i]:at_p[i + 1]])) for i in range(len(units))]
-
-
-class Known:
-    """Units seen by a task, with what ``learn`` made of them."""
-
-    def __init__(self, learn: Callable[[list[str]], list]):
-        self.learn, self.memo = learn, {}
-
-    def of(self, texts: list[list[str]]) -> dict:
-        """A table of all units of some texts. What is remembered is bounded;
-        the table itself is bounded by the texts."""
-        memo, new = self.memo, {u for units in texts for u in units}
-        new.difference_update(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {u for units in texts for u in units}
-        fresh = list(new)
-        learnt = dict(zip(fresh, self.learn(fresh), strict=True)) if fresh else {}
-        memo.update((u, x) for u, x in learnt.items() if len(u) <= MEMO_CHARS)
-        return memo if len(memo) and all(len(u) <= MEMO_CHARS for u in fresh) else {**memo, **learnt}
+class Lexicon:
+    """What a task remembers of units, by number: tokens and groups (``n_a``,
+    ``n_b``, ``n_groups``), the groups' texts if wanted, and the packed pairs
+    of its links from ``start`` on. Bounded by ``MEMO`` units, beyond which it
+    begins anew, and by the texts at hand."""
+
+    def __init__(self, encoder: Encoder, texts: bool, table=None):
+        self.encoder, self.texts, self.table = encoder, texts, table
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.numbers = np.zeros((0, 7), np.int64)
+        self.start = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+
+    def add(self, units: list[str]) -> None:
+        t = self.encoder.tokens(units)
+        pair, ends = links_of(t)
+        groups, common = groups_of(t, self.texts)
+        edges = np.concatenate([[0], t.unit_ends])
+        spans = [np.searchsorted(x, edges, "right") for x in (t.ends_a, t.ends_b, common, ends)]
+        numbers = np.zeros((len(units), 7), np.int64)
+        numbers[:, :4] = np.diff(spans, axis=1).T
+        if self.table is None:
+            self.start = np.concatenate([self.start, self.start[-1] + spans[3][1:]])
+            self.pairs = np.concatenate([self.pairs, pair])
+        else:
+            pairs, docs, best = self.table
+            at = np.searchsorted(pairs, pair)
+            for k, x in ((4, best), (5, docs)):
+                numbers[:, k] = np.diff(np.concatenate([[0], np.cumsum(x[at])])[spans[3]])
+        numbers[t.bad, 6] = 1
+        self.numbers = np.concatenate([self.numbers, numbers])
+        if self.texts:
+            at = spans[2].tolist()
+            self.groups += [";".join(groups[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all units of some texts, where each text starts)."""
+        wanted = set().union(*texts)
+        new = wanted.difference(self.number)
+        if len(self.number) + len(new) > MEMO:
+            self.forget()
+            new = wanted
+        if new:
+            self.add(list(new))
+        get = self.number.__getitem__
+        flat = np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        return flat, np.concatenate([[0], np.cumsum([len(u) for u in texts])])
+
+
+def totals(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of rows between starts, also where there are none."""
+    run = np.concatenate([np.zeros((1, numbers.shape[1]), np.int64), np.cumsum(numbers, axis=0)])
+    return run[starts[1:]] - run[starts[:-1]]
 
 
 # --- the fragment monoid ---------------------------------------------------
@@ -469,45 +497,31 @@ def align_short(v: Vocabularies, table=None):
     groups, then n_links, n_best and count_sum by the pair table (sorted pairs,
     their counts, whether best; a broadcast variable), or links without one."""
     def run(batches):
-        encoder = Encoder(v)
-
-        def learn(units):
-            out = learn_units(encoder, units)
-            if table is None:
-                return [x and (*x[:4], x.pairs) for x in out]
-            pairs, docs, best = table.value
-            at = np.searchsorted(pairs, np.array([p for x in out if x for p in x.pairs], np.int64))
-            sums = np.concatenate([[0], np.cumsum(docs[at])]).tolist()
-            hits = np.concatenate([[0], np.cumsum(best[at])]).tolist()
-            scored, lo = [], 0
-            for x in out:
-                hi = lo + (len(x.pairs) if x else 0)
-                scored.append(x and (*x[:4], hi - lo, hits[hi] - hits[lo], sums[hi] - sums[lo]))
-                lo = hi
-            return scored
-
-        known = Known(learn)
-        numbers = [0, 1, 2] if table is None else [0, 1, 2, 4, 5, 6]
+        known = Lexicon(Encoder(v), True, table and table.value)
         for batch in few_rows(batches):
             texts = [units_of(t) if t else [] for t in batch.column("text").to_pylist()]
-            memo = known.of(texts)
-            sums, groups, pairs, times, stops = [], [], [], [], [0]
-            for units in texts:
-                found = [memo[u] for u in units]
-                if None in found:
-                    found = []
-                sums.append([sum([x[k] for x in found]) for k in numbers])
-                groups.append(";".join([x[3] for x in found]))
-                if table is None:
-                    count = Counter(p for x in found for p in x[4])
-                    pairs += count
-                    times += count.values()
-                    stops.append(len(pairs))
-            columns = [pa.array(c, pa.int64()) for c in zip(*sums, strict=True)]
-            columns = [batch.column("id"), *columns[:3], pa.array(groups, pa.string()), *columns[3:]]
-            if table is None:
-                both = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(times, pa.int64())],
-                                                  ["pair", "n"])
+            flat, starts = known.of(texts)
+            sums = totals(known.numbers[flat], starts)
+            bad = sums[:, 6] > 0
+            sums[bad] = 0
+            get, edges = known.groups.__getitem__, starts.tolist()
+            order = flat.tolist()
+            groups = ["" if no else ";".join(map(get, order[a:b]))
+                      for a, b, no in zip(edges, edges[1:], bad.tolist(), strict=False)]
+            column = lambda k: pa.array(sums[:, k])  # noqa: E731, B023
+            columns = [batch.column("id"), column(0), column(1), column(2), pa.array(groups, pa.string())]
+            if table is not None:
+                columns += [column(3), column(4), column(5)]
+            else:
+                pairs, times, stops = [], [], [0]
+                for a, b, no in zip(edges, edges[1:], bad.tolist(), strict=False):
+                    of = [] if no else order[a:b]
+                    found = np.concatenate([known.pairs[:0], *(known.pairs[known.start[n]:known.start[n + 1]] for n in of)])
+                    pair, n = np.unique(found, return_counts=True)
+                    pairs.append(pair)
+                    times.append(n)
+                    stops.append(stops[-1] + len(pair))
+                both = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (pairs, times)], ["pair", "n"])
                 columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), both))
             yield pa.RecordBatch.from_arrays(columns, names=["id", *_NUMBERS, "groups", *(
                 _SCORES if table is not None else ["links"])])
@@ -521,25 +535,43 @@ _BASE = "id {}, n_a long, n_b long, n_groups long, groups string, "
 def count_short(v: Vocabularies):
     """Task over texts: in how many of them each pair is linked, in parts."""
     def run(batches):
-        encoder = Encoder(v)
-        known = Known(lambda units: [x and x.pairs for x in learn_units(encoder, units)])
-        count: Counter = Counter()
+        known = Lexicon(Encoder(v), False)
+        size_b = len(v.bytes_b)
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def added():
+            pair, at = np.unique(np.concatenate(held), return_inverse=True)
+            held[:], counts[:] = [pair], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
 
         def out():
-            keys, values = pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())
-            return pa.RecordBatch.from_arrays([keys, values], names=["pair", "docs"])
+            packed = held[0] // size_b << 32 | held[0] % size_b
+            return pa.RecordBatch.from_arrays([pa.array(packed), pa.array(counts[0])], names=["pair", "docs"])
 
         for batch in few_rows(batches):
-            texts = [set(units_of(t)) if t else set() for t in batch.column("text").to_pylist()]
-            memo = known.of(texts)
-            for units in texts:
-                found = [memo[u] for u in units]
-                if None not in found:
-                    count.update(set().union(*found))
-            if len(count) > PAIRS_HELD:
-                yield out()
-                count.clear()
-        if count:
+            texts = [units_of(t) if t else [] for t in batch.column("text").to_pylist()]
+            flat, starts = known.of(texts)
+            bad = totals(known.numbers[flat], starts)[:, 6] > 0
+            text = np.repeat(np.arange(len(texts)), np.diff(starts))
+            both = np.unique(text[~bad[text]] << 32 | flat[~bad[text]])
+            text, unit = both >> 32, both & 0xFFFFFFFF
+            n = known.start[unit + 1] - known.start[unit]
+            at = np.arange(n.sum()) + np.repeat(known.start[unit] - np.cumsum(n) + n, n)
+            pair = known.pairs[at]
+            # Each pair once a text: packed closer, so that the text fits in.
+            pair = (pair >> 32) * size_b + (pair & 0xFFFFFFFF)
+            every = len(v.bytes_a) * size_b
+            once = np.unique(np.repeat(text, n) * every + pair) % every
+            pair, n = np.unique(once, return_counts=True)
+            held.append(pair)
+            counts.append(n)
+            if sum(map(len, held)) > PAIRS_HELD:
+                added()
+                if len(held[0]) > PAIRS_HELD // 2:
+                    yield out()
+                    held, counts = [], []
+        if held:
+            added()
             yield out()
     return run
 
