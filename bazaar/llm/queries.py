@@ -17,6 +17,7 @@ from bazaar.llm import (
     line_dedup,
     mixing,
     nbsvm,
+    prefix_parse,
     secrets,
     token_align,
     toxicity,
@@ -89,6 +90,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op11_prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_parse.remove_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def query_label() -> Column:
     """The label of a row of ``embeddings``: the next one for every seventh."""
     return F.expr("CASE WHEN vec_id % 7 = 0 THEN (bigint(label) + 1) % 10 ELSE label END")
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_decontam": op9_decontam,
     "op10_licenses": op10_licenses,
+    "op11_prefix_parse": op11_prefix_parse,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_token_align": op13_token_align,
 }
