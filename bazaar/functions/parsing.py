@@ -278,10 +278,18 @@ LOAD_DATE_FORMATS = ["Y-m-d", "Y/m/d", "Y.m.d", "m/d/Y", "m-d-Y", "m.d.Y",
                      "d/m/Y", "d-m-Y", "d.m.Y"]
 
 
+#: The same with day before month.
+DAY_FIRST_LOAD_FORMATS = [*LOAD_DATE_FORMATS[:3], *LOAD_DATE_FORMATS[6:], *LOAD_DATE_FORMATS[3:6]]
+
+# Three numbers, the year of four digits first or last, perhaps with a time of day.
+PLAIN_DATE_RE = (r"^(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
+                 r"(?:\s+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$")
+
+
 def coerce_date(c: str | Column) -> Column:
-    """L1: text (optionally with a time part) -> date, ISO then month-first,
-    then with the month's name. On large data prefer the DataFrame step
-    ``typing.load_dates``, which stages the parts once."""
+    """L1 as one expression: text (optionally with a time part) -> date, ISO
+    then month-first, then with the month's name. The DataFrame step
+    ``typing.load_dates`` reads dates in free form, and stages their parts."""
     s = py_strip(c)
     return F.coalesce(parse_date_formats(day_part(s), LOAD_DATE_FORMATS), in_date_range(named_month_date(s)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions import parsing as P
+from bazaar.functions.dates import free_prefix, inferred_order, parse_free_dates
 from bazaar.operators.clean import stage_dates
 from bazaar.schema import BOOLEAN_COLUMNS, NUMERIC_COLUMNS
 
@@ -26,13 +27,30 @@ def derive_calendar(df: DataFrame, date_col: str = "order_date", keep: bool = Fa
     return df.withColumns({k: v for k, v in derived.items() if not (keep and k in df.columns)})
 
 
-def load_dates(df: DataFrame, col: str) -> DataFrame:
-    """L1 as a DataFrame step: text ``col`` becomes its date. The trimmed text
-    and its parts are helper columns, each computed once per row."""
-    staged = df.withColumn("_text", P.py_strip(col))
-    staged = staged.withColumn("_named", P.in_date_range(P.named_month_date(F.col("_text"))))
-    staged = stage_dates(staged.withColumn(col, P.day_part(F.col("_text"))), col, P.LOAD_DATE_FORMATS)
-    return staged.withColumn(col, F.coalesce(col, "_named")).drop("_text", "_named")
+def load_dates(df: DataFrame, col: str, order: str = "month_first") -> DataFrame:
+    """L1 as a DataFrame step: text ``col`` becomes its date.
+
+    Dates of three numbers with a four-digit year, with or without a time of
+    day, are cut apart as in C1 (ISO first, then month before day, then the
+    other order). All other text goes through the free-form grammar of
+    ``functions.dates``: names of months and weekdays, ISO 'T' and zones,
+    compact digits, two-digit years, missing days. ``order='day_first'`` reads
+    ambiguous numbers the other way; ``order='infer'`` asks the whole column
+    first (one aggregation, a job before the result).
+    """
+    if order == "infer":
+        order = inferred_order(df, col)
+    prefix = free_prefix(df)
+    text, free, plain = f"{prefix}load", f"{prefix}free", f"{prefix}plain"
+    formats = P.LOAD_DATE_FORMATS if order == "month_first" else P.DAY_FIRST_LOAD_FORMATS
+    staged = df.withColumn(text, P.py_strip(col))
+    staged = staged.withColumn(plain, F.col(text).rlike(P.PLAIN_DATE_RE))
+    # Each text takes one way; the other sees NULL and does nothing.
+    staged = staged.withColumn(col, F.when(F.col(plain), F.regexp_replace(text, r"\s.*$", "")))
+    staged = stage_dates(staged, col, formats)
+    staged = staged.withColumn(free, F.when(~F.col(plain), F.col(text)))
+    staged = parse_free_dates(staged, free, free, order)
+    return staged.withColumn(col, F.coalesce(col, free)).drop(text, free, plain)
 
 
 def load_view(df: DataFrame, date_col: str = "order_date") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.functions import parsing as P
+from bazaar.functions.dates import date_shapes as date_shapes_of
 from bazaar.operators import clean as C
 from bazaar.operators import profile as PR
 from bazaar.operators import segments as SG
@@ -27,6 +28,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 PAYMENT_TEXT = [" UPI", "PhonePe", "google-pay", "CREDIT  card", "Credit_Card", "debit card", "C.O.D", "cash on delivery ",
                 "Net-Banking", "PayTM", "emi", "Barter", "123", "Gift Voucher "]
 RATING_TEXT = ["4 stars", "5 star", "3/5", "8/10", "3 out of 5", "4.5", "Five", "good", "bad", "11/10", "***", "7", "", "2.5 Stars"]
+# Spellings of a date: patterns (True) and other text (False), joined.
+FREE_DATE_FORMS = [
+    [(True, "yyyy-MM-dd'T'HH:mm:ss")], [(True, "yyyy-MM-dd"), (False, "T10:00:00Z")], [(True, "yyyy-MM-dd"), (False, "T09:15:00.250+05:30")],
+    [(True, "yyyyMMdd")], [(True, "yyyyMMdd"), (False, "T101500")], [(True, "M/d/yy")], [(True, "MMM yyyy")], [(True, "yyyy MMM d")],
+    [(True, "EEEE, MMMM d, yyyy")], [(False, "10:00 AM")], [(True, "EEE d MMM yyyy"), (False, " 10:00 AM")], [(False, "23:59 "), (True, "MMMM d yyyy")],
+    [(True, "dMMMyyyy")], [(True, "d"), (False, "th of "), (True, "MMMM yyyy")], [(True, "yyyy/MM")], [(True, "MM.yyyy")], [(True, "yyyy")],
+    [(True, "d MMM yy")], [(True, "MM/dd/yyyy"), (False, " 7 pm")], [(True, "yyyy-MM-dd HH:mm"), (False, " UTC")],
+    [(False, "25:00 "), (True, "d MMM yyyy")], [(True, "d MMM")], [(False, " "), (True, "yyyy.M.d"), (False, " ")], [(False, "Order "), (True, "yyyy")],
+]
 EDGE_SPACES = ["\u00a0", "\u2003", "\u3000 ", "\u2028", "\x1f", "\x85", " \t", ""]
 EDGE_DIGITS = "".join(chr(0x0966 + i) for i in range(10))
 
@@ -252,6 +262,25 @@ def coerce_dates(spark, sf_dir):
     return load_dates(load_dates(d.withColumn("named_date", named), "order_date"), "named_date")
 
 
+@query
+def coerce_dates_free(spark, sf_dir):
+    """L1 in free form: the order date of every line, spelled in 24 ways (the
+    spelling is dealt out by ``k``), read value by value, and read in the order
+    that the whole column tells."""
+    f = fact_table(spark, sf_dir).select("k", "order_date")
+    n = F.col("k") % len(FREE_DATE_FORMS)
+    text = F.coalesce(*[F.when(n == i, F.concat(*[F.date_format("order_date", p) if fmt else F.lit(p) for fmt, p in form]))
+                        for i, form in enumerate(FREE_DATE_FORMS)])
+    f = f.select("k", text.alias("free_date"), F.date_format("order_date", "d/M/yy").alias("short_date"))
+    return load_dates(load_dates(f, "free_date"), "short_date", order="infer")
+
+
+@query
+def date_shapes(spark, sf_dir):
+    """L1: the shapes of the dirty view's date text, and what tells their order."""
+    return date_shapes_of(dirty_sales(spark, sf_dir), "order_date")
+
+
 @query
 def head_rows(spark, sf_dir):
     """The first rows in a stated order."""

@@ -507,6 +507,18 @@ def _round_two() -> dict[str, str]:
     q["coerce_dates"] = with_sales(
         f"SELECT k, CASE WHEN k % 11 > 8 THEN NULL WHEN k % 11 IN (1, 4, 7) THEN {swapped} ELSE order_date END AS order_date, "
         "CAST(DATE '1999-11-25' + CAST(k % 700 AS INTEGER) AS DATE) AS named_date FROM sales")
+    q["coerce_dates_free"] = with_sales(
+        "SELECT k, CASE WHEN k % 24 IN (9, 20, 21, 23) THEN NULL "
+        "WHEN k % 24 IN (6, 14, 15) THEN CAST(date_trunc('month', order_date) AS DATE) "
+        "WHEN k % 24 = 16 THEN CAST(date_trunc('year', order_date) AS DATE) ELSE order_date END AS free_date, "
+        "order_date AS short_date FROM sales")
+    field = r"TRY_CAST(regexp_extract(t, '^(\d{1,2})[-/.](\d{1,2})[-/.]\d{4}$', _n) AS INTEGER)"
+    q["date_shapes"] = with_dirty(
+        "SELECT shape, count(*) AS n, count(*) FILTER (a > 12 AND b <= 12) AS day_first, "
+        "count(*) FILTER (b > 12 AND a <= 12) AS month_first FROM ("
+        "  SELECT regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[a-z]+', 'a', 'g') AS shape, "
+        + field.replace("_n", "1") + " AS a, " + field.replace("_n", "2") + " AS b "
+        "FROM (SELECT order_date AS t FROM dirty) u) v WHERE shape IS NOT NULL GROUP BY 1")
     order = "transaction_id, line_no, product_id, supplier_id, line_price"
     q["head_rows"] = with_sales(f"SELECT {order}, product_name FROM sales ORDER BY {order} LIMIT 25")
     q["discount_levels"] = with_sales(
