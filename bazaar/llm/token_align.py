@@ -32,9 +32,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -67,7 +71,7 @@ _NAMED = {chr(b): b for b in _PRINTABLE} | {
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
-_WIDE = re.compile(r"\s |^ | $")
+_SPACES = {chr(i) for i in range(0x3001) if chr(i).isspace()}
 
 
 class Vocabularies(NamedTuple):
@@ -114,13 +118,18 @@ def read_vocabularies(path_a: str, path_b: str) -> Vocabularies:
 
 def units_of(text: str) -> list[str]:
     """The units of space + text, each without its leading space."""
-    if not _WIDE.search(text):
-        return text.split(" ")
+    units = text.split(" ")
+    if "" not in units and _SPACES.isdisjoint(map(itemgetter(-1), units[:-1])):
+        return units
     whole = " " + text
     cuts = [0, *(m.start() for m in _CUT.finditer(whole)), len(whole)]
     return [whole[a + 1:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def encoder_of(v: Vocabularies) -> Encoder:
+    return kept("encoder", (v.json_a, v.model_b), lambda: Encoder(v))
+
+
 class Tokens(NamedTuple):
     """Tokens of units in a row: ids and byte ends of A and B, and the ends of
     the units. ``bad`` units have none."""
@@ -232,22 +241,43 @@ def groups_of(t: Tokens, texts: bool = True) -> tuple[list[str], np.ndarray]:
     return out, common
 
 
+def kept(name: str, key, make):
+    """What ``make`` gives, kept by the Python worker for its next tasks of the
+    same ``key``; one thing a name."""
+    store = sys.modules.setdefault("bazaar_worker_cache", types.ModuleType("bazaar_worker_cache")).__dict__
+    if store.get(name, (None,))[0] != key:
+        store.pop(name, None)
+        store[name] = key, make()
+    return store[name][1]
+
+
 class Lexicon:
-    """What a task remembers of units, by number: tokens and groups (``n_a``,
-    ``n_b``, ``n_groups``), the groups' texts if wanted, and the packed pairs
-    of its links from ``start`` on. Bounded by ``MEMO`` units, beyond which it
-    begins anew, and by the texts at hand."""
+    """What a Python worker remembers of units, by number: tokens and groups
+    (``n_a``, ``n_b``, ``n_groups``, ``n_links``), the groups' texts if wanted,
+    and the packed pairs of its links from ``start`` on, or their scores.
+    Beyond ``MEMO`` units it forgets the half seen least often."""
 
     def __init__(self, encoder: Encoder, texts: bool, table=None):
         self.encoder, self.texts, self.table = encoder, texts, table
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.numbers = np.zeros((0, 7), np.int64)
         self.start = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        least = np.partition(self.seen, len(self.seen) // 2)[len(self.seen) // 2] if len(self.seen) else 0
+        stay = np.flatnonzero(self.seen > least)
+        self.number = {u: i for i, u in enumerate(u for u, s in zip(list(self.number), (self.seen > least).tolist(),
+                                                                     strict=True) if s)}
+        if self.texts:
+            self.groups = [self.groups[i] for i in stay.tolist()]
+        if self.table is None:
+            n = self.start[stay + 1] - self.start[stay]
+            self.pairs = self.pairs[spread(self.start[stay], n)]
+            self.start = np.concatenate([[0], np.cumsum(n)])
+        self.numbers, self.seen = self.numbers[stay], self.seen[stay] // 2
 
     def add(self, units: list[str]) -> None:
         t = self.encoder.tokens(units)
@@ -267,6 +297,7 @@ class Lexicon:
                 numbers[:, k] = np.diff(np.concatenate([[0], np.cumsum(x[at])])[spans[3]])
         numbers[t.bad, 6] = 1
         self.numbers = np.concatenate([self.numbers, numbers])
+        self.seen = np.concatenate([self.seen, np.zeros(len(units), np.int64)])
         if self.texts:
             at = spans[2].tolist()
             self.groups += [";".join(groups[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -278,14 +309,20 @@ class Lexicon:
         new = wanted.difference(self.number)
         if len(self.number) + len(new) > MEMO:
             self.forget()
-            new = wanted
+            new = wanted.difference(self.number)
         if new:
             self.add(list(new))
-        get = self.number.__getitem__
-        flat = np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        here = {u: self.number[u] for u in wanted}
+        flat = np.fromiter(map(here.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        self.seen += np.bincount(flat, minlength=len(self.seen))
         return flat, np.concatenate([[0], np.cumsum([len(u) for u in texts])])
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n numbers from each start on, end to end."""
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 def totals(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of rows between starts, also where there are none."""
     run = np.concatenate([np.zeros((1, numbers.shape[1]), np.int64), np.cumsum(numbers, axis=0)])
@@ -437,7 +474,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def piece_fragments(v: Vocabularies):
     def run(batches):
-        encoder = Encoder(v)
+        encoder = encoder_of(v)
         for batch in few_rows(batches, 1):
             for r in batch.to_pylist():
                 t = encoder.tokens(r["units"])
@@ -496,8 +533,10 @@ def align_short(v: Vocabularies, table=None):
     """Task over (id, text) of texts of one fragment: id, n_a, n_b, n_groups,
     groups, then n_links, n_best and count_sum by the pair table (sorted pairs,
     their counts, whether best; a broadcast variable), or links without one."""
+    key = uuid.uuid4().hex
+
     def run(batches):
-        known = Lexicon(Encoder(v), True, table and table.value)
+        known = kept("lexicon", key, lambda: Lexicon(encoder_of(v), True, table and table.value))
         for batch in few_rows(batches):
             texts = [units_of(t) if t else [] for t in batch.column("text").to_pylist()]
             flat, starts = known.of(texts)
@@ -534,8 +573,10 @@ _BASE = "id {}, n_a long, n_b long, n_groups long, groups string, "
 
 def count_short(v: Vocabularies):
     """Task over texts: in how many of them each pair is linked, in parts."""
+    key = uuid.uuid4().hex
+
     def run(batches):
-        known = Lexicon(Encoder(v), False)
+        known = kept("lexicon", key, lambda: Lexicon(encoder_of(v), False))
         size_b = len(v.bytes_b)
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -556,8 +597,7 @@ def count_short(v: Vocabularies):
             both = np.unique(text[~bad[text]] << 32 | flat[~bad[text]])
             text, unit = both >> 32, both & 0xFFFFFFFF
             n = known.start[unit + 1] - known.start[unit]
-            at = np.arange(n.sum()) + np.repeat(known.start[unit] - np.cumsum(n) + n, n)
-            pair = known.pairs[at]
+            pair = known.pairs[spread(known.start[unit], n)]
             # Each pair once a text: packed closer, so that the text fits in.
             pair = (pair >> 32) * size_b + (pair & 0xFFFFFFFF)
             every = len(v.bytes_a) * size_b
