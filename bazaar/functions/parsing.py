@@ -187,12 +187,14 @@ def standardise_payment(c: str | Column, mapping: dict[str, list[str]] | None =
     """Spellings of a payment method -> one name. Compared after trim,
     lower-case and with runs of anything but letters and digits as one space;
     a method that the mapping does not know keeps its trimmed text."""
+    spellings = {s: target for target, sources in (PAYMENT_MAP if mapping is None else mapping).items()
+                 for s in [target.lower(), *sources]}
     s = py_strip(c)
+    if not spellings:
+        return s
+    # The key is computed once, and looked up in one table.
     key = F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    out = s
-    for target, sources in (PAYMENT_MAP if mapping is None else mapping).items():
-        out = F.when(key.isin(target.lower(), *sources), F.lit(target)).otherwise(out)
-    return out
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair]), key), s)
 
 
 def map_values(c: str | Column, mapping: dict[str, list[str]]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bazaar.functions import parsing as P
 from bazaar.functions.dates import date_shapes as date_shapes_of
 from bazaar.operators import clean as C
+from bazaar.operators import fuzzy as FZ
 from bazaar.operators import profile as PR
 from bazaar.operators import segments as SG
 from bazaar.operators.cohort import with_first_sale
@@ -20,7 +21,7 @@ from bazaar.schema import WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
 from bazaar.sources import csv_io, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
-from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table
+from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -239,6 +240,34 @@ def clean_ratings_wide(spark, sf_dir):
         P.coerce_boolean("is_prime_member", WIDE_TRUE_TOKENS, WIDE_FALSE_TOKENS).alias("is_prime_member"))
 
 
+def _misspelt(c, n):
+    """Ways to misspell a text, one for each value of ``n`` up to 11."""
+    cut = lambda a, k=1: F.concat(F.substring(c, F.lit(1), F.lit(a - 1)), F.substring(c, F.lit(a + k), F.length(c)))
+    ways = [c, F.upper(c), F.lower(c), cut(3), F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1), F.substring(c, 2, 1), F.substring(c, F.lit(4), F.length(c))),
+            F.concat(F.substring(c, 1, 2), F.substring(c, F.lit(2), F.length(c))), F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.lit("x")),
+            F.concat(F.lit("  "), c, F.lit(".")), cut(2, 2), F.regexp_replace(c, "(?i)a", "e"), F.concat(c, F.lit(" st")), F.lit("Atlantis")]
+    return F.coalesce(*[F.when(n == i, w) for i, w in enumerate(ways)])
+
+
+@query
+def fuzzy_states(spark, sf_dir):
+    """State names misspelt in ways dealt out by ``k``, repaired by the
+    names of the nation table."""
+    names = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("spelling"))
+    f = fact_table(spark, sf_dir).select("k", "customer_state")
+    f = f.withColumn("customer_state", _misspelt(F.col("customer_state"), F.col("k") % 12)).withColumn("text", F.col("customer_state"))
+    return FZ.repair_names(f, "customer_state", names).select("k", "text", "customer_state")
+
+
+@query
+def fuzzy_products(spark, sf_dir):
+    """C7, X3 by the nearest name: misspelt product names, and how far they are."""
+    p = read_table(spark, sf_dir, "part").select("p_name", "p_partkey")
+    values = p.select(_misspelt(F.col("p_name"), F.col("p_partkey") % 12).alias("value"))
+    names = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("spelling"))
+    return FZ.match_names(values, names).select("value", "name", "edits", "score")
+
+
 @query
 def star_transactions(spark, sf_dir):
     """Transaction table."""

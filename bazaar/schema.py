@@ -124,5 +124,17 @@ PAYMENT_MAP = {
     "EMI": ["emi", "bajaj emi", "bnpl", "pay later"],
 }
 
+# States and union territories of India with former and short names.
+STATE_MAP = {
+    "Andhra Pradesh": ["AP"], "Arunachal Pradesh": [], "Assam": [], "Bihar": [], "Chhattisgarh": ["Chattisgarh"], "Goa": [],
+    "Gujarat": [], "Haryana": [], "Himachal Pradesh": ["HP"], "Jharkhand": [], "Karnataka": ["Mysore State"], "Kerala": [],
+    "Madhya Pradesh": ["MP"], "Maharashtra": ["MH"], "Manipur": [], "Meghalaya": [], "Mizoram": [], "Nagaland": [],
+    "Odisha": ["Orissa"], "Punjab": [], "Rajasthan": [], "Sikkim": [], "Tamil Nadu": ["TN", "Madras State"], "Telangana": ["TS"],
+    "Tripura": [], "Uttar Pradesh": ["UP"], "Uttarakhand": ["Uttaranchal"], "West Bengal": ["WB"],
+    "Andaman and Nicobar Islands": ["Andaman & Nicobar"], "Chandigarh": [],
+    "Dadra and Nagar Haveli and Daman and Diu": ["Dadra and Nagar Haveli", "Daman and Diu"], "Delhi": ["NCT of Delhi", "New Delhi"],
+    "Jammu and Kashmir": ["Jammu & Kashmir", "J and K"], "Ladakh": [], "Lakshadweep": [], "Puducherry": ["Pondicherry"],
+}
+
 # Three-letter month names of dates such as '5 Jan 2020' (L1).
 MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

@@ -519,6 +519,33 @@ def _round_two() -> dict[str, str]:
         "  SELECT regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[a-z]+', 'a', 'g') AS shape, "
         + field.replace("_n", "1") + " AS a, " + field.replace("_n", "2") + " AS b "
         "FROM (SELECT order_date AS t FROM dirty) u) v WHERE shape IS NOT NULL GROUP BY 1")
+    def misspelt(c: str, n: str) -> str:
+        ways = [c, f"upper({c})", f"lower({c})", f"{c}[1:2] || {c}[4:]", f"{c}[1] || {c}[3] || {c}[2] || {c}[4:]",
+                f"{c}[1:2] || {c}[2:]", f"{c}[1:-2] || 'x'", f"'  ' || {c} || '.'", f"{c}[1] || {c}[4:]",
+                f"regexp_replace({c}, '[aA]', 'e', 'g')", f"{c} || ' st'", "'Atlantis'"]
+        return f"CASE {n} " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
+
+    def key(c: str) -> str:
+        return f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    # Every distinct value against every spelling, by the engine's edit distance.
+    near = ("pairs AS (SELECT value, name, key, known, levenshtein(key, known) AS edits FROM "
+            f"(SELECT DISTINCT value, {key('value')} AS key FROM texts WHERE value IS NOT NULL) v, "
+            f"(SELECT DISTINCT name, {key('spelling')} AS known FROM names) n WHERE key <> '' AND known <> ''),\n"
+            "scored AS (SELECT value, name, min(struct_pack(score := edits + 0.5::DOUBLE * levenshtein("
+            "regexp_replace(key, '[aeiou ]', '', 'g'), regexp_replace(known, '[aeiou ]', '', 'g')), edits := edits)) AS near FROM pairs "
+            "WHERE edits <= CASE WHEN length(known) < 4 THEN 0 WHEN length(known) < 7 THEN 1 ELSE 2 END GROUP BY 1, 2),\n"
+            "best AS (SELECT value, name, near.edits AS edits, near.score AS score FROM scored "
+            "QUALIFY rank() OVER (PARTITION BY value ORDER BY near.score) = 1),\n"
+            "nearest AS (SELECT * FROM best QUALIFY count(*) OVER (PARTITION BY value) = 1)")
+    q["fuzzy_states"] = with_sales(
+        f"SELECT k, text, coalesce(name, trim(text, {WS})) AS customer_state FROM spelt LEFT JOIN nearest ON text = value",
+        f"spelt AS (SELECT k, {misspelt('customer_state', 'k % 12')} AS text FROM sales)",
+        "texts AS (SELECT DISTINCT text AS value FROM spelt)", "names AS (SELECT n_name AS name, n_name AS spelling FROM nation)", near)
+    q["fuzzy_products"] = (
+        f"WITH texts AS (SELECT {misspelt('p_name', 'p_partkey % 12')} AS value FROM part), "
+        f"names AS (SELECT DISTINCT p_name AS name, p_name AS spelling FROM part), {near} "
+        "SELECT value, name, CAST(edits AS INTEGER) AS edits, score FROM nearest")
     order = "transaction_id, line_no, product_id, supplier_id, line_price"
     q["head_rows"] = with_sales(f"SELECT {order}, product_name FROM sales ORDER BY {order} LIMIT 25")
     q["discount_levels"] = with_sales(
