@@ -8,9 +8,7 @@ the expected words meet the target. The whole part of it is certain; the rest
 is an inclusion probability p, and the sample is the Pareto order sample:
 documents rank by random odds over inclusion odds, (u / (1-u)) / (p / (1-p)),
 and go down the rank: each one that still fits into the target's words is
-taken (a sample of fixed size in words), until none of the others fits. With
-``fills`` the rank is cut at the first one that does not fit, and at most so
-many documents a source, the largest that fit, are taken besides.
+taken (a sample of fixed size in words), until none of the others fits.
 
 The random u is a hash of the id, so reruns agree. No source is ever sorted
 as a whole: a histogram of the ranks, then one of the ranks inside the bin
@@ -108,14 +106,13 @@ def _cut(ranked: DataFrame, low: str, width: float) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_repeat: float = 2.0,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                importance: Column | None = None, seed: int = 7, fills: int | None = None) -> DataFrame:
+                importance: Column | None = None, seed: int = 7) -> DataFrame:
     """One row per input row: ``id_col``, size, source_size, target, copies,
     taken. ``weights`` has (source, weight); a source without a weight gets
     none of the budget. ``importance`` (a positive function of the column
     ``size``, of few distinct values) sets how copies differ within a source;
     default: 1 more for each doubling of the size, so longer documents are
-    likelier. ``fills``: None goes down the whole rank, a number is the
-    shorter rule of the module's docstring."""
+    likelier."""
     if importance is None:
         importance = 1.0 + (F.length(F.bin(F.col("size") + 1)) - 1) / F.lit(8.0)
     sized = stage(docs.select(
@@ -143,7 +140,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: float = 1.5, max_re
     whole = whole.select(F.col("source").alias("_s"), "need")
     ranked = stage(docs_.join(whole, docs_.source.eqNullSafe(whole._s)).drop("_s"), "mix-ranks")
 
-    out = _draw_whole(ranked) if fills is None else _draw_cut(ranked, fills)
+    out = _draw_whole(ranked)
     copies = F.col("whole") + F.col("drawn").cast("int")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target",
                       copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
@@ -184,17 +181,6 @@ def _before_cut() -> Column:
         (bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & (_key() <= F.col("edge"))))), F.lit(False))
 
 
-def _draw_cut(ranked: DataFrame, fills: int) -> DataFrame:
-    """Add ``drawn``: the documents before the cut and ``fills`` more."""
-    lowest = _cut_edges(ranked.where("rank < 2 and need > 0"))
-    out = ranked.join(lowest, ranked.source.eqNullSafe(lowest._s), "left")
-    out = stage(out.withColumn("drawn", (F.col("rank") < 2) & _before_cut())
-                .drop("_s", "bin1", "bin2", "edge"), "mix-drawn")
-    for _ in range(fills):
-        out = _fill(out)
-    return out
-
-
 def _draw_whole(ranked: DataFrame) -> DataFrame:
     """Add ``drawn``: down the rank, each document that still fits. Rounds of
     cuts, each over the documents that fit into what the one before has left;
@@ -236,21 +222,6 @@ def _key() -> Column:
     return F.struct("rank", F.col("id").isNull().alias("no_id"), "id", "tie")
 
 
-def _fill(out: DataFrame) -> DataFrame:
-    """Draw one more document a source: the largest that still fits into what
-    the cut has left open (of equal ones the first by rank)."""
-    left = out.groupBy("source").agg(
-        (F.first("need") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("left"))
-    left = left.select(F.col("source").alias("_s"), "left")
-    fits = (~F.col("drawn")) & (F.col("rank") < 2) & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
-    pick = (out.join(left, out.source.eqNullSafe(left._s)).where(fits).groupBy("source").agg(
-        F.max(F.struct("size", (-F.col("rank")).alias("first"), _key().alias("key"))).alias("pick"))
-        .select(F.col("source").alias("_s"), F.col("pick.key").alias("_pick")))
-    joined = out.join(stage(pick, "mix-fill"), out.source.eqNullSafe(F.col("_s")), "left")
-    return joined.withColumn("drawn", F.col("drawn") | F.coalesce(_key() == F.col("_pick"), F.lit(False))) \
-        .drop("_s", "_pick")
-
-
 def weights_by_position(docs: DataFrame, cycle: tuple[float, ...], source_col: str = "source") -> DataFrame:
     """(source, weight): sources by code point, null last, take the weights of
     ``cycle`` in turn. One row a source."""

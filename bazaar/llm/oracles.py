@@ -14,16 +14,16 @@ FROM d
 """
 
 OP5 = r"""
-WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+WITH pages AS (SELECT row_number() OVER () AS page, source, text FROM documents WHERE text IS NOT NULL),
 totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
 lines AS (
-  SELECT DISTINCT source, text, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
-  FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)),
+  SELECT DISTINCT page, source, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT page, source, unnest(string_split(text, chr(10))) AS line FROM pages)),
 boilerplate AS (
   SELECT l.source, list(l.line) AS lines
   FROM (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line) l
   JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE n >= 10 AND n > pages * 0.05::DOUBLE
+  WHERE n >= 3 AND n > pages * 0.05::DOUBLE
   GROUP BY l.source),
 cleaned AS (
   SELECT d.doc_id, d.source, d.text, string_split(d.text, chr(10)) AS ls,
@@ -36,7 +36,7 @@ FROM cleaned
 """
 
 OP1 = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 docs AS (SELECT *, 1.0::DOUBLE + (length(bin(size + 1)) - 1) / 8.0::DOUBLE AS imp FROM sized),
 sources AS (
@@ -79,21 +79,17 @@ drawn AS (
   JOIN needs n ON d.source IS NOT DISTINCT FROM n.source),
 ranked AS (
   SELECT *, CASE WHEN p <= 0 THEN 2 ELSE (u / (1 - u)) / (u / (1 - u) + p / (1 - p)) END AS rank FROM drawn),
-cut AS (
-  SELECT *, rank < 2 AND sum(CASE WHEN rank < 2 THEN size ELSE 0 END) OVER (
-           PARTITION BY source ORDER BY rank, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) <= need AS taken FROM ranked),
-left1 AS (SELECT *, need - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS open FROM cut),
-pick1 AS (
-  SELECT *, row_number() OVER (PARTITION BY source, NOT taken AND rank < 2 AND size > 0 AND size <= open
-                               ORDER BY size DESC, rank) = 1
-            AND NOT taken AND rank < 2 AND size > 0 AND size <= open AS picked FROM left1),
-left2 AS (SELECT * REPLACE (taken OR picked AS taken), open - sum(CASE WHEN picked THEN size ELSE 0 END)
-            OVER (PARTITION BY source) AS open2 FROM pick1),
-pick2 AS (
-  SELECT *, row_number() OVER (PARTITION BY source, NOT taken AND rank < 2 AND size > 0 AND size <= open2
-                               ORDER BY size DESC, rank) = 1
-            AND NOT taken AND rank < 2 AND size > 0 AND size <= open2 AS picked2 FROM left2)
-SELECT doc_id, size, source_size, target, (size * (whole + (taken OR picked2)::INT))::BIGINT AS taken FROM pick2
+line AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST) AS n
+  FROM ranked WHERE rank < 2 AND size > 0),
+walk AS (
+  SELECT source, need AS open, 0::BIGINT AS n, NULL::BIGINT AS doc_id, FALSE AS drawn FROM needs
+  UNION ALL
+  SELECT w.source, CASE WHEN l.size <= w.open THEN w.open - l.size ELSE w.open END, l.n, l.doc_id, l.size <= w.open
+  FROM walk w JOIN line l ON l.source IS NOT DISTINCT FROM w.source AND l.n = w.n + 1)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       (r.size * (r.whole + coalesce(w.drawn, FALSE)::INT))::BIGINT AS taken
+FROM ranked r LEFT JOIN walk w ON r.source IS NOT DISTINCT FROM w.source AND r.doc_id = w.doc_id
 """
 
 OP12 = r"""

@@ -8,8 +8,10 @@ from tests.llm.conftest import SCHEMA, prose
 ENDS = " \t\r\x0b\x0c"
 
 
-def brute(rows, ratio, least):
-    pages = {(r.source, r.text) for r in rows if r.text is not None}
+def brute(rows, ratio, least, copies=True):
+    pages = [(r.source, r.text) for r in rows if r.text is not None]
+    if not copies:
+        pages = set(pages)
     total, held = defaultdict(int), defaultdict(int)
     for host, text in pages:
         total[host] += 1
@@ -36,11 +38,15 @@ def test_matches_brute_force(spark, rng):
         lines += [rng.choice(["", " "]) + c for c in common if rng.random() < 0.15]
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), "en", rng.choice(["hot"] * 5 + ["b", None]), 1))
-    rows += [(1000 + i, rows[0][1], "en", "hot", 1) for i in range(60)]      # mirrored pages count once
+    rows += [(1000 + i, rows[0][1], "en", "hot", 1) for i in range(60)]      # mirrored pages
     df = spark.createDataFrame(rows, SCHEMA)
-    got = rows_of(drop_boilerplate(df, max_ratio=0.1, min_pages=3))
-    assert got == brute(df.collect(), 0.1, 3)
-    assert any(r[2] for r in got)
+    got = {}
+    for copies in (True, False):
+        got[copies] = rows_of(drop_boilerplate(df, max_ratio=0.1, min_pages=3, copies=copies))
+        assert got[copies] == brute(df.collect(), 0.1, 3, copies)
+        assert any(r[2] for r in got[copies])
+    # Where copies count once, a mirrored page keeps its own lines.
+    assert sum(r[2] for r in got[True]) > sum(r[2] for r in got[False])
 
 
 def test_edge_rows(edge_docs, clashing, no_docs):
@@ -50,6 +56,11 @@ def test_edge_rows(edge_docs, clashing, no_docs):
     assert rows_of(out) == want and {r.key for r in out.collect()} == {"clash"}
     assert drop_boilerplate(no_docs).collect() == []
     assert drop_boilerplate_lines(clashing).columns == clashing.columns
+    helpers = ("_host", "_boilerplate", "_stays", "_lines_in", "_lines_dropped", "host", "page", "pages", "line")
+    more = clashing.drop("host").withColumns({c: F.lit("mine") for c in helpers})
+    out = drop_boilerplate_lines(more)
+    assert out.columns == more.columns
+    assert {tuple(r[c] for c in helpers) for r in out.collect()} == {("mine",) * len(helpers)}
 
 
 def test_host_of(spark):

@@ -72,5 +72,8 @@ def test_stages_take_empty_tables(spark, folder):
 def test_every_query_runs(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     got = queries.QUERIES[name](spark, SF)
+    if name == "op12_hard_negatives":
+        assert got.columns[0] == "anchor_id" and got.count() > 0
+        return
     assert "doc_id" in got.columns
     assert got.count() == n or name == "op9_decontam"
