@@ -23,8 +23,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; documents stay, ``n_chars`` follows."""
-    return line_dedup.drop_boilerplate_lines(docs).select(*docs.columns)
+    """Boilerplate lines of a source go; documents stay, ``n_chars`` follows.
+    Copies count once: dropping them is the next stage's task, which needs
+    their lines."""
+    return line_dedup.drop_boilerplate_lines(docs, copies=False).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
