@@ -49,7 +49,11 @@ def yoy_growth(df: DataFrame) -> DataFrame:
     The window has no partition key on purpose: it runs on the per-year
     series (one row per year), after the aggregation.
     """
-    by_year = _by_year(df)
+    return growth_of(_by_year(df))
+
+
+def growth_of(by_year: DataFrame) -> DataFrame:
+    """A6 of a table with one row a year: order_year, revenue."""
     w = Window.orderBy("order_year")
     ranked = (by_year
               .withColumn("prev_year", F.lag("order_year").over(w))

@@ -46,6 +46,12 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
         distinct_count("customer_id", approx).alias("new_customers"),
         orders.alias("orders"),
         F.max(DATE).alias("latest_date"))
+    return with_targets(base, rev_target, cust_target)
+
+
+def with_targets(base: DataFrame, rev_target: int | None = None, cust_target: int = 1000) -> DataFrame:
+    """M2, M3: targets, distances to them and run-rate of a month's row
+    (revenue, new_customers, orders, latest_date)."""
     latest = F.col("latest_date")
     target = (F.lit(int(rev_target)).cast("bigint") if rev_target is not None
               else (F.col("revenue") * 1.1).cast("bigint"))
@@ -63,7 +69,11 @@ def month_monitor(df: DataFrame, rev_target: int | None = None,
 def month_alerts(df: DataFrame, rev_target: int | None = None,
                  cust_target: int = 1000, approx: bool = False) -> DataFrame:
     """M4: one row per KPI below a positive target: (kpi, target, actual, shortfall)."""
-    m = month_monitor(df, rev_target, cust_target, approx)
+    return alerts_of(month_monitor(df, rev_target, cust_target, approx))
+
+
+def alerts_of(m: DataFrame) -> DataFrame:
+    """M4 of a row of ``month_monitor``."""
     rev = F.when((F.col("rev_target") > 0) & (F.col("revenue") < F.col("rev_target")),
                  F.struct(F.lit("revenue").alias("kpi"),
                           F.col("rev_target").cast("double").alias("target"),
