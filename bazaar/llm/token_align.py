@@ -58,8 +58,9 @@ MEMO = 400_000
 PAIRS_HELD = 1_000_000
 #: Rows of the pair table up to which all tasks get it (20 bytes a row).
 PAIRS_LIMIT = 1_500_000
-#: Characters of units joined for one call of the tokenizers.
-CALL = 4096
+#: Units joined for one call of the tokenizers; characters up to which the
+#: fast form of A gets a text.
+CALL, FAST_CHARS = 500, 1 << 15
 #: Texts whose units a task holds at once.
 ROWS = 400
 
@@ -162,7 +163,7 @@ class Encoder:
         self.size_b = np.array([len(p) for p in v.bytes_b])
 
     def ids_a(self, text: str) -> list[int]:
-        if self.fast is not None and len(text) <= 2 * CALL:
+        if self.fast is not None and len(text) <= FAST_CHARS:
             return self.fast.encode_ordinary(text)
         if self.slow is None:
             self.slow = self.make()
@@ -174,21 +175,23 @@ class Encoder:
         text = " ".join(units)
         a, b = self.ids_a(" " + text), self.pieces.encode(text)
         raw = b" " + text.encode()
-        if b"".join([self.v.bytes_a[i] for i in a]) == raw == b"".join([self.v.bytes_b[i] for i in b]):
+        if b"".join(map(self.v.bytes_a.__getitem__, a)) == raw == b"".join(map(self.v.bytes_b.__getitem__, b)):
             return a, b
         return None
 
     def tokens(self, units: list[str]) -> Tokens:
-        """Tokenize units, joined by the thousand characters where they may be."""
+        """Tokenize units, some hundred joined for one call where they may be."""
         a: list[int] = []
         b: list[int] = []
         bad: list[int] = []
+        # A unit that is long, or ends in white space, is the last of its call.
+        alone = [i + 1 for i, u in enumerate(units) if len(u) > 256 or u[-1:].isspace()]
+        alone += range(CALL, len(units) + CALL, CALL)
         at = 0
-        while at < len(units):
-            to, size = at + 1, len(units[at])
-            while to < len(units) and size < CALL and not units[to - 1][-1:].isspace():
-                size += len(units[to]) + 1
-                to += 1
+        for to in sorted(set(alone)):
+            to = min(to, len(units))
+            if to == at:
+                continue
             got = self.call(units[at:to])
             if got is None and to - at > 1:
                 singles = [self.call([u]) for u in units[at:to]]
@@ -303,7 +306,7 @@ class Lexicon:
             self.groups += [";".join(groups[a:b]) for a, b in zip(at, at[1:], strict=False)]
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
 
-    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all units of some texts, where each text starts)."""
         wanted = set().union(*texts)
         new = wanted.difference(self.number)
@@ -312,8 +315,7 @@ class Lexicon:
             new = wanted.difference(self.number)
         if new:
             self.add(list(new))
-        here = {u: self.number[u] for u in wanted}
-        flat = np.fromiter(map(here.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         self.seen += np.bincount(flat, minlength=len(self.seen))
         return flat, np.concatenate([[0], np.cumsum([len(u) for u in texts])])
 
@@ -590,12 +592,11 @@ def count_short(v: Vocabularies):
             return pa.RecordBatch.from_arrays([pa.array(packed), pa.array(counts[0])], names=["pair", "docs"])
 
         for batch in few_rows(batches):
-            texts = [units_of(t) if t else [] for t in batch.column("text").to_pylist()]
+            texts = [set(units_of(t)) if t else set() for t in batch.column("text").to_pylist()]
             flat, starts = known.of(texts)
-            bad = totals(known.numbers[flat], starts)[:, 6] > 0
+            bad = totals(known.numbers[flat, 6:], starts)[:, 0] > 0
             text = np.repeat(np.arange(len(texts)), np.diff(starts))
-            both = np.unique(text[~bad[text]] << 32 | flat[~bad[text]])
-            text, unit = both >> 32, both & 0xFFFFFFFF
+            text, unit = text[~bad[text]], flat[~bad[text]]
             n = known.start[unit + 1] - known.start[unit]
             pair = known.pairs[spread(known.start[unit], n)]
             # Each pair once a text: packed closer, so that the text fits in.
