@@ -17,11 +17,12 @@ from bazaar.operators import segments as SG
 from bazaar.operators.cohort import with_first_sale
 from bazaar.operators.typing import load_dates
 from bazaar.plans.reports import REPORTS
-from bazaar.schema import WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
+from bazaar.schema import DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
-from bazaar.sources import csv_io, sinks
+from bazaar.sources import csv_io, gold, lake, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
+from bazaar.streaming import live_month as LM
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -373,6 +374,95 @@ def csv_ingest(spark, sf_dir):
                        F.col("_corrupt_row").isNotNull().alias("malformed"))
 
 
+_GOLD: dict[tuple[str, str], str] = {}
+
+
+def _gold(spark, sf_dir, grain="month"):
+    """A gold table of the fact view, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GOLD:
+        _GOLD[key] = scratch_path(spark, f"gold-{uuid.uuid4().hex}")
+        gold.write_gold(fact_table(spark, sf_dir), _GOLD[key])
+    return gold.read_gold(spark, _GOLD[key], grain)
+
+
+@query
+def gold_revenue_by_year(spark, sf_dir):
+    """S8, A5 from gold."""
+    return gold.revenue_by_year(_gold(spark, sf_dir))
+
+
+@query
+def gold_month_monitor(spark, sf_dir):
+    """S8, M1..M3 from gold."""
+    return gold.month_monitor(_gold(spark, sf_dir))
+
+
+@query
+def gold_monthly_customers(spark, sf_dir):
+    """S8, T3 from gold."""
+    return gold.monthly_customers(_gold(spark, sf_dir))
+
+
+@query
+def gold_top_states(spark, sf_dir):
+    """S8, K2 from gold, and whether each state's customers, estimated from
+    sketches, are within 5 % of the exact number."""
+    exact = fact_table(spark, sf_dir).groupBy("customer_state").agg(F.count_distinct("customer_id").alias("exact"))
+    near = gold.ranked(_gold(spark, sf_dir, "state"), "customer_state").join(exact, "customer_state")
+    ok = F.abs(F.col("customers_estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return near.select("customer_state", "revenue", ok.alias("customers_near"))
+
+
+@query
+def dedup_increments(spark, sf_dir):
+    """C11 over three loads (dealt by ``k``) through the key index: the rows
+    that all loads together keep, and the load that each came with."""
+    f = fact_table(spark, sf_dir).drop("order_year").withColumn("order_date", F.trunc("order_date", "MM")) \
+        .withColumn("customer_id", F.when(F.col("customer_id") % 50 > 0, F.col("customer_id")))
+    index = lake.KeyIndex(spark, scratch_path(spark, f"index-{uuid.uuid4().hex}"), DEDUP_KEYS)
+    for i in range(3):
+        index.append(f.where(F.col("k") % 3 == i), i, SALES_SOURCE_ORDER)
+    return index.rows().select("k", *SALES_SOURCE_ORDER, *DEDUP_KEYS, F.col("_load").alias("load"))
+
+
+@query
+def yearly_refresh(spark, sf_dir):
+    """Yearly CSV files taken in through the ledger, the last year's
+    after a first refresh; per year the silver rows (each key once), and
+    whether the second refresh rewrote it."""
+    f = fact_table(spark, sf_dir)
+    home = scratch_path(spark, f"lake-{uuid.uuid4().hex}")
+    lines = f.where("order_year is not null").select(
+        "k", "customer_id", "transaction_id", "product_name", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
+        F.col("final_amount_inr").cast("string").alias("final_amount_inr"), F.col("quantity").cast("string").alias("quantity"),
+        F.col("delivery_days").cast("string").alias("delivery_days"), "customer_state", F.col("order_year").alias("file_year"))
+    last = F.col("file_year") == f.agg(F.max("order_year")).scalar()
+    rewritten = []
+    for part in (lines.where(~last), lines.where(last)):
+        sinks.write_csv(part.drop("file_year"), f"{home}/in", mode="append")
+        lake.take_in(spark, f"{home}/in", f"{home}/lake")
+        rewritten = lake.refresh(spark, f"{home}/lake")
+    silver = spark.read.parquet(f"{home}/lake/silver")
+    return silver.groupBy("order_year").agg(F.count(F.lit(1)).alias("lines")).withColumn(
+        "rewritten", F.col("order_year").isin(*[y for y in rewritten if y is not None]))
+
+
+@query
+def live_month_stream(spark, sf_dir):
+    """M1..M3 of the live month from a stream of five files' worth of lines
+    in no order, one of them sent twice."""
+    home = scratch_path(spark, f"live-{uuid.uuid4().hex}")
+    # The line's number alone is not its key in these tables.
+    f = fact_table(spark, sf_dir).withColumn("line_no", F.xxhash64(*SALES_SOURCE_ORDER))
+    lines = f.select("k", *[F.col(c.name).cast(c.dataType).alias(c.name) for c in LM.LIVE_LINE_SCHEMA.fields])
+    for i in (3, 0, 4, 1, 3, 2):
+        lines.where(F.col("k") % 5 == i).drop("k").write.mode("append").parquet(f"{home}/in")
+    stream = LM.read_order_stream(spark, f"{home}/in", LM.LIVE_LINE_SCHEMA, max_files_per_trigger=16)
+    LM.start_live_lines(stream, f"{home}/out", f"{home}/checkpoint", until_done=True).awaitTermination()
+    return LM.live_monitor(spark, f"{home}/out")
+
+
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""

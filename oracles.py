@@ -567,9 +567,27 @@ def _round_two() -> dict[str, str]:
     return q
 
 
+def _lake(known: dict[str, str]) -> dict[str, str]:
+    """Gold, increments and the live month: the same rows as from the facts."""
+    q = {"gold_revenue_by_year": known["revenue_by_year"], "gold_month_monitor": known["month_monitor"],
+         "gold_monthly_customers": known["monthly_customers"], "live_month_stream": known["month_monitor"]}
+    q["gold_top_states"] = f"SELECT customer_state, revenue, TRUE AS customers_near FROM ({known['top_states']}) t"
+    order = "transaction_id, line_no, product_id, supplier_id, line_price"
+    q["dedup_increments"] = with_sales(
+        f"SELECT k, {order}, customer_id, product_name, order_date, CAST(load AS INTEGER) AS load FROM l "
+        f"QUALIFY row_number() OVER (PARTITION BY customer_id, product_name, order_date ORDER BY load, {order}) = 1",
+        "l AS (SELECT k, transaction_id, line_no, product_id, supplier_id, line_price, product_name, k % 3 AS load, "
+        "CASE WHEN customer_id % 50 > 0 THEN customer_id END AS customer_id, CAST(date_trunc('month', order_date) AS DATE) AS order_date FROM sales)")
+    q["yearly_refresh"] = with_sales(
+        "SELECT CAST(year(order_date) AS INTEGER) AS order_year, count(DISTINCT (customer_id, product_name, order_date)) AS lines, "
+        "year(order_date) = (SELECT max(year(order_date)) FROM sales) AS rewritten FROM sales WHERE order_date IS NOT NULL GROUP BY 1, 3")
+    return q
+
+
 def oracle_queries() -> dict[str, str]:
     q = _analytics()
     q.update(_cleaning())
     q.update(_segments())
     q.update(_round_two())
+    q.update(_lake(q))
     return q
