@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bazaar.functions import parsing as P
 from bazaar.functions.dates import date_shapes as date_shapes_of
 from bazaar.operators import clean as C
+from bazaar.operators import forecast as FC
 from bazaar.operators import fuzzy as FZ
 from bazaar.operators import profile as PR
 from bazaar.operators import segments as SG
@@ -19,7 +20,7 @@ from bazaar.operators.typing import load_dates
 from bazaar.plans.reports import REPORTS
 from bazaar.schema import DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
-from bazaar.sources import csv_io, gold, lake, sinks
+from bazaar.sources import buckets, csv_io, gold, lake, quality, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
 from bazaar.streaming import live_month as LM
@@ -463,6 +464,31 @@ def live_month_stream(spark, sf_dir):
     return LM.live_monitor(spark, f"{home}/out")
 
 
+@query
+def revenue_forecast(spark, sf_dir):
+    """Growth forecast of T1's series: six months of revenue a category."""
+    return FC.forecast(fact_table(spark, sf_dir), "category")
+
+
+@query
+def first_sale_bucketed(spark, sf_dir):
+    """J1 on the fact table bucketed by product: no exchange."""
+    name = f"b{uuid.uuid4().hex}"
+    facts = buckets.bucketed_facts(spark, sf_dir, scratch_path(spark, name), 8, name)
+    return with_first_sale(facts.select("k", "transaction_id", "line_no", "product_id", "order_date"))
+
+
+@query
+def silver_quality(spark, sf_dir):
+    """P3, P4, C2 without a pass: figures of the cleaned dirty view, gathered
+    while it is written."""
+    rows = C.clean_prices(C.clean_dates(dirty_sales(spark, sf_dir))).select(
+        "k", "order_date", "is_valid_date", "original_price_inr", "customer_city", "delivery_days")
+    base = scratch_path(spark, f"quality-{uuid.uuid4().hex}")
+    return quality.write_with_quality(rows, f"{base}/silver", f"{base}/quality", {
+        "invalid_dates": ~F.col("is_valid_date"), "prices_above_1000": F.col("original_price_inr") > 1000})
+
+
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""

@@ -42,7 +42,7 @@ def _festival(month: Column) -> Column:
             .otherwise(F.lit("Normal Day")))
 
 
-def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_view(spark: SparkSession, sf_dir: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """Clean order-line fact table (one row per line item), see FIXTURES.md §2.
 
     Plan shape: orders join customer (and nation) on the customer key; line
@@ -51,16 +51,18 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     planner (AQE turns a join into a broadcast only when the runtime size is
     under the threshold, and splits skewed partitions).
     ``nation`` is broadcast behind a size check. Only the referenced columns
-    are read from each scan.
+    are read from each scan. ``stored`` gives tables in another form, such as
+    bucketed by their keys.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    table = lambda name: (stored or {}).get(name) or read_table(spark, sf_dir, name)
+    li = table("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag")
-    od = read_table(spark, sf_dir, "orders").select(
+    od = table("orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    na = broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    pa = read_table(spark, sf_dir, "part").select(
+    cu = table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    na = broadcast_if_small(table("nation").select("n_nationkey", "n_name"))
+    pa = table("part").select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
 
     # Orders get their customer attributes first (an orders-sized join), so

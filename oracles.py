@@ -571,6 +571,15 @@ def _lake(known: dict[str, str]) -> dict[str, str]:
     """Gold, increments and the live month: the same rows as from the facts."""
     q = {"gold_revenue_by_year": known["revenue_by_year"], "gold_month_monitor": known["month_monitor"],
          "gold_monthly_customers": known["monthly_customers"], "live_month_stream": known["month_monitor"]}
+    q["first_sale_bucketed"] = known["first_sale"]
+    dates, prices = known["clean_dates"].strip(), known["clean_prices"].strip()
+    counts = " UNION ALL ".join(
+        [f"SELECT 'non_null' AS measure, '{c}' AS column_name, count({e}) AS value, count(*) AS total_rows FROM {t}"
+         for c, e, t in [("k", "k", "d"), ("order_date", "order_date", "d"), ("is_valid_date", "is_valid_date", "d"),
+                         ("original_price_inr", "original_price_inr", "p"), ("customer_city", "customer_city", "x"), ("delivery_days", "delivery_days", "x")]]
+        + ["SELECT 'invalid_dates', NULL, count(*) FILTER (NOT is_valid_date), count(*) FROM d",
+           "SELECT 'prices_above_1000', NULL, count(*) FILTER (original_price_inr > 1000), count(*) FROM p"])
+    q["silver_quality"] = f"WITH d AS ({dates}), p AS ({prices}), x AS ({with_dirty('SELECT * FROM dirty')}) {counts}"
     q["gold_top_states"] = f"SELECT customer_state, revenue, TRUE AS customers_near FROM ({known['top_states']}) t"
     order = "transaction_id, line_no, product_id, supplier_id, line_price"
     q["dedup_increments"] = with_sales(
@@ -584,10 +593,43 @@ def _lake(known: dict[str, str]) -> dict[str, str]:
     return q
 
 
+def _forecast() -> dict[str, str]:
+    """Triple exponential smoothing by a recursive query over months."""
+    def total(a: int) -> str:
+        return f"list_reduce(list_prepend(0.0::DOUBLE, v[{a}:{a + 11}]), lambda x, y: x + y) / 12"
+
+    return {"revenue_forecast": f"""
+WITH RECURSIVE sales AS ({SALES_SQL}),
+months AS (SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS m, {REV} AS revenue FROM sales
+  WHERE category IS NOT NULL AND order_date IS NOT NULL GROUP BY 1, 2),
+spine AS (SELECT category, CAST(unnest(generate_series(first, (SELECT max(m) FROM months), INTERVAL 1 MONTH)) AS DATE) AS m, first
+  FROM (SELECT category, min(m) AS first FROM months GROUP BY 1) f),
+series AS (SELECT s.category, s.first, list(coalesce(revenue, 0.0) ORDER BY s.m) AS v
+  FROM spine s LEFT JOIN months m ON s.category = m.category AND s.m = m.m GROUP BY 1, 2),
+starts AS (SELECT category, first, v, {total(1)} AS one, {total(13)} AS two FROM series WHERE len(v) >= 24),
+grid AS (SELECT a::DOUBLE AS alpha, b::DOUBLE AS beta, g::DOUBLE AS gamma FROM (VALUES (0.2), (0.5), (0.8)) x(a), (VALUES (0.0), (0.1), (0.3)) y(b), (VALUES (0.1), (0.4)) z(g)),
+walk AS (
+  SELECT category, first, v, alpha, beta, gamma, one AS level, (two - one) / 12 AS trend,
+         list_transform(v[1:12], lambda x: x - one) AS season, 0.0::DOUBLE AS error, 0 AS t FROM starts, grid
+  UNION ALL
+  SELECT category, first, v, alpha, beta, gamma, new_level, beta * (new_level - level) + (1 - beta) * trend,
+         season[:t % 12] || [gamma * (y - new_level) + (1 - gamma) * term] || season[t % 12 + 2:],
+         error + (y - (level + trend + term)) * (y - (level + trend + term)), t + 1
+  FROM (SELECT *, alpha * (y - term) + (1 - alpha) * (level + trend) AS new_level
+        FROM (SELECT *, v[t + 13] AS y, season[t % 12 + 1] AS term FROM walk WHERE t + 12 < len(v)) a) b),
+best AS (SELECT * FROM walk WHERE t + 12 = len(v)
+  QUALIFY row_number() OVER (PARTITION BY category ORDER BY error, alpha, beta, gamma) = 1)
+SELECT category, CAST(step AS INTEGER) AS step, CAST(last_day(first + to_months(CAST(len(v) + step - 1 AS INTEGER))) AS DATE) AS period_end,
+  round(greatest(level + step * trend + season[(len(v) + step - 1) % 12 + 1], 0.0), 2) AS forecast, alpha, beta, gamma
+FROM best, (SELECT unnest(generate_series(1, 6)) AS step) s
+"""}
+
+
 def oracle_queries() -> dict[str, str]:
     q = _analytics()
     q.update(_cleaning())
     q.update(_segments())
     q.update(_round_two())
     q.update(_lake(q))
+    q.update(_forecast())
     return q
