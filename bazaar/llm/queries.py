@@ -107,7 +107,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_align.read_vocabularies(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
-    return token_align.digest_columns(token_align.token_agreement(_documents(spark, sf_dir), v))
+    aligned = token_align.digest_columns(token_align.align(_documents(spark, sf_dir), v))
+    return token_align.agreement(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

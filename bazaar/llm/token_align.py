@@ -19,8 +19,10 @@ that is no white space and a space (checked when the vocabularies are read). Str
 alone; units met before are not tokenized again. A unit is never cut, however
 long.
 
-The table of pair counts goes to all tasks if it has at most ``pairs_limit``
-rows; a larger one is joined by a shuffle, with equal results.
+Texts are tokenized once: the alignments are staged with each text's distinct
+id pairs, which are counted over the corpus and joined with their counts. The
+table of counts is broadcast if it has at most ``pairs_limit`` rows; a larger
+one is joined by a shuffle, with equal results.
 
 Defined cases: null and empty texts, and texts that a tokenizer does not give
 back byte for byte, have no tokens; each row is a text of its own, also rows
@@ -34,7 +36,6 @@ import json
 import re
 import sys
 import types
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -52,12 +53,10 @@ from bazaar.llm.scratch import stage
 PIECE = 1 << 16
 #: Bytes of a fragment's range in longer texts, and fragments composed at once.
 RANGE, FAN = 1 << 15, 16
-#: Units that a task remembers.
-MEMO = 400_000
-#: Pair counts that a task holds before it adds them up and passes them on.
-PAIRS_HELD = 1_000_000
-#: Rows of the pair table up to which all tasks get it (20 bytes a row).
-PAIRS_LIMIT = 1_500_000
+#: Units that a Python worker remembers.
+MEMO = 250_000
+#: Rows of the table of pair counts up to which it is broadcast (17 bytes a row).
+PAIRS_LIMIT = 1_000_000
 #: Units joined for one call of the tokenizers; characters up to which the
 #: fast form of A gets a text.
 CALL, FAST_CHARS = 500, 1 << 15
@@ -226,12 +225,10 @@ def links_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return pair, ends
 
 
-def groups_of(t: Tokens, texts: bool = True) -> tuple[list[str], np.ndarray]:
-    """Groups as ``a1,a2|b1`` (if wanted) and their byte ends."""
+def groups_of(t: Tokens) -> tuple[list[str], np.ndarray]:
+    """Groups as ``a1,a2|b1`` and their byte ends."""
     both, twice = _merged(t.ends_a, t.ends_b)
     common = both[twice]
-    if not texts:
-        return [], common
     stop_a = (np.searchsorted(t.ends_a, common) + 1).tolist()
     stop_b = (np.searchsorted(t.ends_b, common) + 1).tolist()
     a, b = list(map(str, t.a.tolist())), list(map(str, t.b.tolist()))
@@ -255,55 +252,46 @@ def kept(name: str, key, make):
 
 
 class Lexicon:
-    """What a Python worker remembers of units, by number: tokens and groups
-    (``n_a``, ``n_b``, ``n_groups``, ``n_links``), the groups' texts if wanted,
-    and the packed pairs of its links from ``start`` on, or their scores.
+    """What a Python worker remembers of units, by number: tokens, groups and
+    links (``numbers``: n_a, n_b, n_groups, n_links, whether not given back),
+    the groups' texts, and the packed pairs of its links from ``start`` on.
     Beyond ``MEMO`` units it forgets the half seen least often."""
 
-    def __init__(self, encoder: Encoder, texts: bool, table=None):
-        self.encoder, self.texts, self.table = encoder, texts, table
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.numbers = np.zeros((0, 7), np.int64)
+        self.numbers = np.zeros((0, 5), np.int64)
         self.start = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
         self.seen = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         least = np.partition(self.seen, len(self.seen) // 2)[len(self.seen) // 2] if len(self.seen) else 0
-        stay = np.flatnonzero(self.seen > least)
-        self.number = {u: i for i, u in enumerate(u for u, s in zip(list(self.number), (self.seen > least).tolist(),
-                                                                     strict=True) if s)}
-        if self.texts:
-            self.groups = [self.groups[i] for i in stay.tolist()]
-        if self.table is None:
-            n = self.start[stay + 1] - self.start[stay]
-            self.pairs = self.pairs[spread(self.start[stay], n)]
-            self.start = np.concatenate([[0], np.cumsum(n)])
+        often = self.seen > least
+        stay = np.flatnonzero(often)
+        self.number = {u: i for i, u in enumerate(u for u, s in zip(list(self.number), often.tolist(), strict=True) if s)}
+        self.groups = [self.groups[i] for i in stay.tolist()]
+        n = self.start[stay + 1] - self.start[stay]
+        self.pairs = self.pairs[spread(self.start[stay], n)]
+        self.start = np.concatenate([[0], np.cumsum(n)])
         self.numbers, self.seen = self.numbers[stay], self.seen[stay] // 2
 
     def add(self, units: list[str]) -> None:
         t = self.encoder.tokens(units)
         pair, ends = links_of(t)
-        groups, common = groups_of(t, self.texts)
+        groups, common = groups_of(t)
         edges = np.concatenate([[0], t.unit_ends])
         spans = [np.searchsorted(x, edges, "right") for x in (t.ends_a, t.ends_b, common, ends)]
-        numbers = np.zeros((len(units), 7), np.int64)
+        numbers = np.zeros((len(units), 5), np.int64)
         numbers[:, :4] = np.diff(spans, axis=1).T
-        if self.table is None:
-            self.start = np.concatenate([self.start, self.start[-1] + spans[3][1:]])
-            self.pairs = np.concatenate([self.pairs, pair])
-        else:
-            pairs, docs, best = self.table
-            at = np.searchsorted(pairs, pair)
-            for k, x in ((4, best), (5, docs)):
-                numbers[:, k] = np.diff(np.concatenate([[0], np.cumsum(x[at])])[spans[3]])
-        numbers[t.bad, 6] = 1
+        numbers[t.bad, 4] = 1
         self.numbers = np.concatenate([self.numbers, numbers])
         self.seen = np.concatenate([self.seen, np.zeros(len(units), np.int64)])
-        if self.texts:
-            at = spans[2].tolist()
-            self.groups += [";".join(groups[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        self.start = np.concatenate([self.start, self.start[-1] + spans[3][1:]])
+        self.pairs = np.concatenate([self.pairs, pair])
+        at = spans[2].tolist()
+        self.groups += [";".join(groups[a:b]) for a, b in zip(at, at[1:], strict=False)]
         self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -531,92 +519,42 @@ def align_long(texts: DataFrame, v: Vocabularies) -> DataFrame:
         _finish, f"row long, n_a long, n_b long, n_groups long, groups string, links {_LINKS}"), "align-long")
 
 
-def align_short(v: Vocabularies, table=None):
+def align_short(v: Vocabularies):
     """Task over (id, text) of texts of one fragment: id, n_a, n_b, n_groups,
-    groups, then n_links, n_best and count_sum by the pair table (sorted pairs,
-    their counts, whether best; a broadcast variable), or links without one."""
-    key = uuid.uuid4().hex
-
+    groups and links."""
     def run(batches):
-        known = kept("lexicon", key, lambda: Lexicon(encoder_of(v), True, table and table.value))
+        known = kept("lexicon", (v.json_a, v.model_b), lambda: Lexicon(encoder_of(v)))
+        size_b = len(v.bytes_b)
+        every = len(v.bytes_a) * size_b
         for batch in few_rows(batches):
             texts = [units_of(t) if t else [] for t in batch.column("text").to_pylist()]
             flat, starts = known.of(texts)
             sums = totals(known.numbers[flat], starts)
-            bad = sums[:, 6] > 0
+            bad = sums[:, 4] > 0
             sums[bad] = 0
-            get, edges = known.groups.__getitem__, starts.tolist()
-            order = flat.tolist()
+            edges, order = starts.tolist(), flat.tolist()
+            get = known.groups.__getitem__
             groups = ["" if no else ";".join(map(get, order[a:b]))
                       for a, b, no in zip(edges, edges[1:], bad.tolist(), strict=False)]
-            column = lambda k: pa.array(sums[:, k])  # noqa: E731, B023
-            columns = [batch.column("id"), column(0), column(1), column(2), pa.array(groups, pa.string())]
-            if table is not None:
-                columns += [column(3), column(4), column(5)]
-            else:
-                pairs, times, stops = [], [], [0]
-                for a, b, no in zip(edges, edges[1:], bad.tolist(), strict=False):
-                    of = [] if no else order[a:b]
-                    found = np.concatenate([known.pairs[:0], *(known.pairs[known.start[n]:known.start[n + 1]] for n in of)])
-                    pair, n = np.unique(found, return_counts=True)
-                    pairs.append(pair)
-                    times.append(n)
-                    stops.append(stops[-1] + len(pair))
-                both = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (pairs, times)], ["pair", "n"])
-                columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), both))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", *_NUMBERS, "groups", *(
-                _SCORES if table is not None else ["links"])])
-    return run
-
-
-_NUMBERS, _SCORES = ["n_a", "n_b", "n_groups"], ["n_links", "n_best", "count_sum"]
-_BASE = "id {}, n_a long, n_b long, n_groups long, groups string, "
-
-
-def count_short(v: Vocabularies):
-    """Task over texts: in how many of them each pair is linked, in parts."""
-    key = uuid.uuid4().hex
-
-    def run(batches):
-        known = kept("lexicon", key, lambda: Lexicon(encoder_of(v), False))
-        size_b = len(v.bytes_b)
-        held: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def added():
-            pair, at = np.unique(np.concatenate(held), return_inverse=True)
-            held[:], counts[:] = [pair], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
-
-        def out():
-            packed = held[0] // size_b << 32 | held[0] % size_b
-            return pa.RecordBatch.from_arrays([pa.array(packed), pa.array(counts[0])], names=["pair", "docs"])
-
-        for batch in few_rows(batches):
-            texts = [set(units_of(t)) if t else set() for t in batch.column("text").to_pylist()]
-            flat, starts = known.of(texts)
-            bad = totals(known.numbers[flat, 6:], starts)[:, 0] > 0
+            # Pairs of all texts at once, packed closer, so that the text fits in.
             text = np.repeat(np.arange(len(texts)), np.diff(starts))
             text, unit = text[~bad[text]], flat[~bad[text]]
             n = known.start[unit + 1] - known.start[unit]
             pair = known.pairs[spread(known.start[unit], n)]
-            # Each pair once a text: packed closer, so that the text fits in.
             pair = (pair >> 32) * size_b + (pair & 0xFFFFFFFF)
-            every = len(v.bytes_a) * size_b
-            once = np.unique(np.repeat(text, n) * every + pair) % every
-            pair, n = np.unique(once, return_counts=True)
-            held.append(pair)
-            counts.append(n)
-            if sum(map(len, held)) > PAIRS_HELD:
-                added()
-                if len(held[0]) > PAIRS_HELD // 2:
-                    yield out()
-                    held, counts = [], []
-        if held:
-            added()
-            yield out()
+            pair, times = np.unique(np.repeat(text, n) * every + pair, return_counts=True)
+            stops = np.searchsorted(pair, np.arange(len(texts) + 1) * every).astype(np.int32)
+            pair %= every
+            links = pa.StructArray.from_arrays([pa.array(pair // size_b << 32 | pair % size_b), pa.array(times)], ["pair", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), *(pa.array(sums[:, k]) for k in range(3)), pa.array(groups, pa.string()),
+                 pa.ListArray.from_arrays(pa.array(stops), links)], names=["id", *_NUMBERS, "groups", "links"])
     return run
 
 
+_NUMBERS, _SCORES = ["n_a", "n_b", "n_groups"], ["n_links", "n_best", "count_sum"]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, text) of texts of one fragment; (row, id, text) of longer ones."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -630,50 +568,30 @@ def align(docs: DataFrame, v: Vocabularies, id_col: str = "doc_id", text_col: st
     and links (distinct id pairs ``a << 32 | b``, with their number)."""
     short, long = _texts(docs, id_col, text_col)
     done = align_long(long.select("row", "text"), v).join(long.select("row", "id"), "row")
-    near = short.mapInArrow(align_short(v), _BASE.format(short.schema["id"].dataType.simpleString()) + f"links {_LINKS}")
+    kind = short.schema["id"].dataType.simpleString()
+    near = short.mapInArrow(align_short(v), f"id {kind}, n_a long, n_b long, n_groups long, groups string, links {_LINKS}")
     return near.unionByName(done.drop("row")).withColumnRenamed("id", id_col)
 
 
-def pair_table(counts: DataFrame) -> DataFrame:
-    """(pair, docs, best) from partial counts: best if no pair of its A id is
-    linked in more texts."""
-    pairs = stage(counts.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-pairs")
-    top = pairs.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("top"))
-    return stage(pairs.join(top, F.shiftright("pair", 32) == F.col("a")).select(
-        "pair", "docs", (F.col("docs") == F.col("top")).alias("best")), "align-pairs-best")
-
-
-def score_links(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``aligned`` (with links) plus n_links, n_best and count_sum, by joins."""
+def agreement(aligned: DataFrame, pairs_limit: int = PAIRS_LIMIT) -> DataFrame:
+    """``aligned`` (its links, and any other columns; staged) plus n_links,
+    n_best (links whose pair no other pair of its A id beats in texts) and
+    count_sum (texts that hold the pair, over the links), without the links."""
     rows = stage(aligned.withColumn("row", F.monotonically_increasing_id()), "align-rows")
-    scores = rows.select("row", F.inline("links")).join(pairs, "pair").groupBy("row").agg(
+    # A text has a pair once, so rows are texts.
+    pairs = stage(rows.select(F.inline("links")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs")), "align-pairs")
+    top = pairs.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("top"))
+    counts = stage(pairs.join(top, F.shiftright("pair", 32) == F.col("a")).select(
+        "pair", "docs", (F.col("docs") == F.col("top")).alias("best")), "align-counts")
+    if counts.count() <= pairs_limit:
+        counts = F.broadcast(counts)
+    scores = rows.select("row", F.inline("links")).join(counts, "pair").groupBy("row").agg(
         F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"),
         F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    return rows.join(scores, "row", "left").drop("row", "links").fillna(0, _SCORES)
+    return rows.drop("links").join(scores, "row", "left").drop("row").fillna(0, _SCORES)
 
 
-def token_agreement(docs: DataFrame, v: Vocabularies, id_col: str = "doc_id", text_col: str = "text",
-                    pairs_limit: int = PAIRS_LIMIT) -> DataFrame:
-    """One row per row of ``docs``: id, n_a, n_b, n_groups, groups, n_links,
-    n_best (links whose pair is the most frequent of its A id) and count_sum
-    (texts that hold the pair, over the links)."""
-    spark = docs.sparkSession
-    short, long = _texts(docs, id_col, text_col)
-    done = align_long(long.select("row", "text"), v).join(long.select("row", "id"), "row").drop("row")
-    pairs = pair_table(short.select("text").mapInArrow(count_short(v), "pair long, docs long").unionByName(
-        done.select(F.inline("links")).select("pair", F.lit(1).cast("long").alias("docs"))))
-    base = _BASE.format(short.schema["id"].dataType.simpleString())
-    if pairs.count() <= pairs_limit:
-        got = pairs.orderBy("pair").toArrow()
-        table = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy().astype(np.int64) for c in got.column_names))
-        near = short.mapInArrow(align_short(v, table), base + ", ".join(f"{c} long" for c in _SCORES))
-        out = near.unionByName(score_links(done, pairs))
-    else:
-        out = score_links(short.mapInArrow(align_short(v), base + f"links {_LINKS}").unionByName(done), pairs)
-    return out.withColumnRenamed("id", id_col)
-
-
-def digest_columns(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``token_agreement`` with the groups as their SHA-256 (empty without tokens)."""
+def digest_columns(aligned: DataFrame) -> DataFrame:
+    """``align`` with the groups as their SHA-256 (empty without tokens)."""
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return scored.select(id_col, *_NUMBERS, *_SCORES, digest.alias("groups_sha256"))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")

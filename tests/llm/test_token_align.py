@@ -70,12 +70,10 @@ def brute(rows):
             for (i, _), (a, b, g, k) in zip(rows, texts, strict=True)]
 
 
-def result(df):
-    return sorted((tuple(r) for r in op13_of(df).collect()), key=str)
-
-
-def op13_of(df):
-    return T.digest_columns(df)
+def result(df, v, **kw):
+    out = T.agreement(T.digest_columns(T.align(df, v)), **kw).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return sorted((tuple(r) for r in out.collect()), key=str)
 
 
 def small_docs(spark):
@@ -85,7 +83,7 @@ def small_docs(spark):
 
 def test_edges_match_brute_force(spark, vocabularies):
     rows, df = small_docs(spark)
-    assert result(T.token_agreement(df, vocabularies)) == sorted(brute(rows), key=str)
+    assert result(df, vocabularies) == sorted(brute(rows), key=str)
 
 
 def test_long_texts_by_the_tree_and_pairs_by_a_join(spark, vocabularies, rng, monkeypatch):
@@ -93,12 +91,12 @@ def test_long_texts_by_the_tree_and_pairs_by_a_join(spark, vocabularies, rng, mo
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 200, 900])))) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(brute(rows), key=str)
-    assert result(T.token_agreement(df, vocabularies)) == want
-    assert result(T.token_agreement(df, vocabularies, pairs_limit=1)) == want
+    assert result(df, vocabularies) == want
+    assert result(df, vocabularies, pairs_limit=1) == want
     # Byte ranges of a few tokens and trees of many levels.
     for name, value in (("PIECE", 150), ("RANGE", 7), ("FAN", 3)):
         monkeypatch.setattr(T, name, value)
-    assert result(T.token_agreement(df, vocabularies)) == want
+    assert result(df, vocabularies) == want
 
 
 def test_fragments_compose_in_any_order(vocabularies, rng):
@@ -140,10 +138,10 @@ def test_alignment_gives_the_text_back(spark, vocabularies):
 
 
 def test_empty_clashing_and_more_edges(spark, vocabularies, no_docs, edge_docs, clashing):
-    assert T.token_agreement(no_docs, vocabularies).collect() == []
-    want = result(T.token_agreement(edge_docs, vocabularies))
+    assert result(no_docs, vocabularies) == []
+    want = result(edge_docs, vocabularies)
     assert len(want) == edge_docs.count()
-    assert result(T.token_agreement(clashing, vocabularies)) == want
+    assert result(clashing, vocabularies) == want
 
 
 def test_query(spark):
