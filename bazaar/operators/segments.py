@@ -72,7 +72,9 @@ def prime_value(df: DataFrame, approx: bool = False, true_tokens: list[str] | No
     a missing flag, is left out.
     """
     require_columns(df, ["is_prime_member", "customer_id", "transaction_id", REV], "prime_value")
-    flag = coerce_boolean("is_prime_member", true_tokens or WIDE_TRUE_TOKENS, false_tokens or WIDE_FALSE_TOKENS)
+    flag = F.col("is_prime_member")
+    if df.schema["is_prime_member"].dataType.simpleString() != "boolean":
+        flag = coerce_boolean(flag, true_tokens or WIDE_TRUE_TOKENS, false_tokens or WIDE_FALSE_TOKENS)
     out = group_agg(df.withColumn("is_prime", flag), ["is_prime"],
                     distinct_count("customer_id", approx).alias("customers"),
                     distinct_count("transaction_id", approx).alias("orders"),

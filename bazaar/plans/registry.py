@@ -17,8 +17,9 @@ from bazaar.operators import profile as PR
 from bazaar.operators import segments as SG
 from bazaar.operators.cohort import with_first_sale
 from bazaar.operators.typing import load_dates
+from bazaar.plans.joins import attach_scalars
 from bazaar.plans.reports import REPORTS
-from bazaar.schema import DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
+from bazaar.schema import AUDIT_COPIES, DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
 from bazaar.sources import buckets, csv_io, gold, lake, quality, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
@@ -225,7 +226,8 @@ def prime_value_text(spark, sf_dir):
 
 @query
 def clean_payments(spark, sf_dir):
-    """X3 on spellings derived from the priority text."""
+    """Spellings dealt out over the lines by ``k`` (a fixture of literals, as
+    the tables hold no payment names), and the priority text, which stays."""
     f = fact_table(spark, sf_dir)
     text = F.element_at(F.array(*[F.lit(x) for x in PAYMENT_TEXT]), (F.col("k") % len(PAYMENT_TEXT) + 1).cast("int"))
     return f.select("k", P.standardise_payment(text).alias("payment_method"),
@@ -285,7 +287,7 @@ def first_sale(spark, sf_dir):
 
 @query
 def coerce_dates(spark, sf_dir):
-    """L1 on the raw date text, and on dates with the month's name."""
+    """L1 on the raw date text, and on dates with the month's name (made from ``k``)."""
     d = dirty_sales(spark, sf_dir).select("k", "order_date")
     day = F.date_add(F.lit("1999-11-25").cast("date"), (F.col("k") % 700).cast("int"))
     named = F.when(F.col("k") % 3 == 0, F.date_format(day, "d MMM yyyy")).when(
@@ -329,7 +331,8 @@ def discount_levels(spark, sf_dir):
 
 @query
 def large_amounts(spark, sf_dir):
-    """Money sums with amounts beyond the exact decimal's range."""
+    """Money sums with amounts beyond the exact decimal's range (a literal
+    for every 5000th ``k``)."""
     f = fact_table(spark, sf_dir)
     return REPORTS["revenue_by_year"](f.withColumn("final_amount_inr", F.when(
         F.col("k") % 5000 == 0, F.lit(2e14)).otherwise(F.round("quantity", 0).cast("double"))))
@@ -337,7 +340,8 @@ def large_amounts(spark, sf_dir):
 
 @query
 def edge_text(spark, sf_dir):
-    """C1, C4, L3 on text with whitespace and digits beyond ASCII."""
+    """C1, C4, L3 on text with whitespace and digits beyond ASCII (literals dealt
+    out by ``k``)."""
     pad = F.element_at(F.array(*[F.lit(x) for x in EDGE_SPACES]), (F.col("k") % len(EDGE_SPACES) + 1).cast("int"))
     day = F.date_format(F.date_add(F.lit("2003-01-31").cast("date"), (F.col("k") % 900).cast("int")), "yyyy-MM-dd")
     whole = (F.col("k") % 100000).cast("string")
@@ -489,6 +493,33 @@ def silver_quality(spark, sf_dir):
         "invalid_dates": ~F.col("is_valid_date"), "prices_above_1000": F.col("original_price_inr") > 1000})
 
 
+@query
+def audit_copies(spark, sf_dir):
+    """The raw text kept beside what C1..C10 make of it, on the dirty view."""
+    out = C.standardise(dirty_sales(spark, sf_dir), audit=True)
+    return out.select("k", *AUDIT_COPIES.values(), "is_valid_date", "original_price_inr")
+
+
+@query
+def table_shape(spark, sf_dir):
+    """The dirty view's column names in order, with its rows and columns."""
+    d = dirty_sales(spark, sf_dir)
+    names = spark.createDataFrame(list(enumerate(PR.columns(d))), "position int, column_name string")
+    return attach_scalars(names, PR.shape(d))
+
+
+@query
+def gold_median_delivery(spark, sf_dir):
+    """A14 from merged sketches: per state, whether the share of lines below
+    and up to the estimated median leaves it within 3 % of the middle."""
+    near = gold.median_delivery(_gold(spark, sf_dir, "state"))
+    f = fact_table(spark, sf_dir).select("customer_state", "delivery_days")
+    rank = f.join(near, "customer_state").groupBy("customer_state").agg(
+        F.avg((F.col("delivery_days") < F.col("median_delivery_days")).cast("int")).alias("below"),
+        F.avg((F.col("delivery_days") <= F.col("median_delivery_days")).cast("int")).alias("up_to"))
+    return rank.select("customer_state", ((F.col("below") <= 0.53) & (F.col("up_to") >= 0.47)).alias("median_near"))
+
+
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""

@@ -580,6 +580,18 @@ def _lake(known: dict[str, str]) -> dict[str, str]:
         + ["SELECT 'invalid_dates', NULL, count(*) FILTER (NOT is_valid_date), count(*) FROM d",
            "SELECT 'prices_above_1000', NULL, count(*) FILTER (original_price_inr > 1000), count(*) FROM p"])
     q["silver_quality"] = f"WITH d AS ({dates}), p AS ({prices}), x AS ({with_dirty('SELECT * FROM dirty')}) {counts}"
+    q["gold_median_delivery"] = with_sales("SELECT DISTINCT customer_state, TRUE AS median_near FROM sales WHERE customer_state IS NOT NULL")
+    q["audit_copies"] = with_dirty(
+        "SELECT k, order_date AS original_order_date, original_price_inr AS before_parse_price, "
+        "customer_rating AS original_customer_rating, delivery_days AS original_delivery_days, "
+        f"({d_date('order_date')}) IS NOT NULL AS is_valid_date, {d_price('original_price_inr')} AS original_price_inr FROM dirty")
+    names = [n.strip() for n in """k, transaction_id, line_no, product_id, supplier_id, line_price, customer_id, product_name,
+        product_rating, final_amount_inr, quantity, order_date, original_price_inr, customer_rating, delivery_days,
+        delivery_type, is_prime_member, customer_city, category, customer_age_group, delivery_charges, festival_name""".split(",")]
+    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    q["table_shape"] = with_dirty(
+        "SELECT CAST(position AS INTEGER) AS position, column_name, (SELECT count(*) FROM dirty) AS rows, "
+        f"{len(names)} AS columns FROM (VALUES {values}) v(position, column_name)")
     q["gold_top_states"] = f"SELECT customer_state, revenue, TRUE AS customers_near FROM ({known['top_states']}) t"
     order = "transaction_id, line_no, product_id, supplier_id, line_price"
     q["dedup_increments"] = with_sales(
