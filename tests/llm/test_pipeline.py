@@ -1,4 +1,5 @@
 import random
+import re
 import tempfile
 
 import pytest
@@ -6,13 +7,13 @@ import pytest
 import corpus_pipeline
 from bazaar.llm import queries
 from tests.llm.conftest import SCHEMA, edge_rows, prose
+from tests.llm.test_mixing import down_the_rank, water_fill
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def folder(spark):
-    """A small corpus with planted cases, as tables in a folder."""
+def corpus(edges):
+    """Rows, labels and the benchmark item of a small corpus with planted cases."""
     rng = random.Random(12)
     rows, labels = [], []
     item = prose(rng, 30)
@@ -28,7 +29,12 @@ def folder(spark):
         rows.append((i, text, "en", "ab"[i % 2], len(text)))
         if i < 150:
             labels.append((i, 1, int(i % 10 == 0)))
-    rows += edge_rows(rng)
+    if edges:
+        rows += edge_rows(rng)
+    return rows, labels, item
+
+
+def written(spark, rows, labels, item):
     out = tempfile.mkdtemp(prefix="bazaar-test-")
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
@@ -36,6 +42,32 @@ def folder(spark):
     return out
 
 
+@pytest.fixture(scope="module")
+def folder(spark):
+    return written(spark, *corpus(True))
+
+
+def test_all_values_match_plain_python(spark):
+    """run()'s whole rows: what each stage should do with the planted cases is
+    known, and the mix follows from the texts that are left."""
+    rows, labels, item = corpus(False)
+    left = {}
+    for i, text, _, source, _ in rows:
+        if i % 10 in (0, 1) or i % 10 == 2 and i != 2:  # toxic, holding the item, copies of document 2
+            continue
+        lines = [x for x in text.split("\n") if not x.startswith("this line stands on every page")]
+        left[i] = source, "\n".join(lines)
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, (_, t) in left.items()}
+    of_source = {s: sum(n for i, n in sizes.items() if left[i][0] == s) for s in "ab"}
+    targets = water_fill(of_source, {"a": 3, "b": 1}, 1.5, 2)
+    taken = down_the_rank([(i, left[i][0], sizes[i]) for i in left], targets)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, written(spark, rows, labels, item)).collect()}
+    assert {i: (r.size, r.source_size, r.taken) for i, r in got.items()} == {
+        i: (sizes[i], of_source[left[i][0]], taken[i]) for i in left}
+    for i, r in got.items():
+        assert r.target == pytest.approx(targets[left[i][0]])
+
+
 def test_each_stage_takes_effect(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, seen = docs.columns, [docs]
