@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.scratch import small_batches, stage
+from bazaar.llm.scratch import small_batches, stage, unused
 from bazaar.llm.words import mix, words_of
 
 #: Word ends on either side of a cut that have no smaller hash.
@@ -169,12 +169,15 @@ def _runs(hits: Column, min_run: int) -> Column:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with ``text_col`` rid of repeated passages that occur earlier,
-    plus _n_repeated, _passages and _first_ids."""
+    plus _n_repeated, _passages and _first_ids (in place of any of those names)."""
     found = repeated_passages(docs, id_col, text_col, min_run)
+    docs = docs.drop("_n_repeated", "_passages", "_first_ids")
+    # Names that no column has.
+    at, key, gone = (unused(docs, c) for c in ("_id", "_key", "_dropped"))
     f = stage(found, "chunk-passages").select(
-        F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("n_repeated").alias("_n_repeated"),
-        F.col("passages").alias("_passages"), F.col("first_ids").alias("_first_ids"), F.col("dropped").alias("_dropped"))
-    out = docs.join(f, docs[id_col].eqNullSafe(f._id) & (F.xxhash64(docs[text_col]) == f._key), "left")
+        F.col("id").alias(at), F.col("key").alias(key), F.col("n_repeated").alias("_n_repeated"),
+        F.col("passages").alias("_passages"), F.col("first_ids").alias("_first_ids"), F.col("dropped").alias(gone))
+    out = docs.join(f, docs[id_col].eqNullSafe(f[at]) & (F.xxhash64(docs[text_col]) == f[key]), "left")
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -187,5 +190,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             kept.append("".join([*parts, text[at:]]) if drop else text)
         return pa.array(kept, pa.string())
 
-    return out.withColumn(text_col, without(F.col(text_col), F.col("_dropped"))).drop("_id", "_key", "_dropped") \
+    return out.withColumn(text_col, without(F.col(text_col), F.col(gone))).drop(at, key, gone) \
         .withColumn("_n_repeated", F.coalesce("_n_repeated", F.lit(0)))

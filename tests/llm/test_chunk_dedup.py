@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from bazaar.llm import chunk_dedup as cd
 from bazaar.llm.words import words_of
@@ -142,3 +143,12 @@ def test_every_planted_passage_of_51_words_is_found(spark, rng):
             missed.append((i, rows[i][2]))
     assert missed == []
     assert {i for i, r in got.items() if r._n_repeated} == set(planted)
+
+
+def test_columns_named_as_its_own_stay(clashing):
+    mine = ("_id", "_key", "_dropped")
+    df = clashing.withColumns({c: F.lit("mine") for c in (*mine, "_n_repeated", "_passages", "_first_ids")})
+    out = cd.dedup_substrings(df)
+    assert {c for c in df.columns} == {c for c in out.columns}
+    assert {tuple(r[c] for c in mine) for r in out.collect()} == {("mine",) * 3}
+    assert all(r._n_repeated != "mine" for r in out.collect())
