@@ -21,7 +21,7 @@ from bazaar.plans.joins import attach_scalars
 from bazaar.plans.reports import REPORTS
 from bazaar.schema import AUDIT_COPIES, DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
-from bazaar.sources import buckets, csv_io, gold, lake, quality, sinks
+from bazaar.sources import buckets, clusters, csv_io, gold, lake, quality, sinks
 from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
 from bazaar.streaming import live_month as LM
@@ -520,6 +520,14 @@ def gold_median_delivery(spark, sf_dir):
     return rank.select("customer_state", ((F.col("below") <= 0.53) & (F.col("up_to") >= 0.47)).alias("median_near"))
 
 
+@query
+def top_products_clustered(spark, sf_dir):
+    """F3, K3 over files clustered by subcategory and date."""
+    path = scratch_path(spark, f"clustered-{uuid.uuid4().hex}")
+    clusters.write_clustered(fact_table(spark, sf_dir), path, ["subcategory", "order_date"], files=8)
+    return REPORTS["top_products_in_subcategory"](spark.read.parquet(path))
+
+
 @query
 def star_products(spark, sf_dir):
     """Product dimension."""

@@ -572,6 +572,7 @@ def _lake(known: dict[str, str]) -> dict[str, str]:
     q = {"gold_revenue_by_year": known["revenue_by_year"], "gold_month_monitor": known["month_monitor"],
          "gold_monthly_customers": known["monthly_customers"], "live_month_stream": known["month_monitor"]}
     q["first_sale_bucketed"] = known["first_sale"]
+    q["top_products_clustered"] = known["top_products_in_subcategory"]
     dates, prices = known["clean_dates"].strip(), known["clean_prices"].strip()
     counts = " UNION ALL ".join(
         [f"SELECT 'non_null' AS measure, '{c}' AS column_name, count({e}) AS value, count(*) AS total_rows FROM {t}"

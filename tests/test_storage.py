@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaar.operators import profile
 from bazaar.operators.cohort import with_first_sale
-from bazaar.sources import buckets, quality
+from bazaar.sources import buckets, clusters, quality
 from bazaar.sources.tables import fact_table, sales_view
 from conftest import SF_SMALL
 
@@ -72,3 +72,46 @@ def test_quality_takes_no_job_of_its_own(spark, tmpdir_path):
     # One job writes the rows, one the quality table.
     assert len(sc.statusTracker().getJobIdsForGroup(group + "q")) == alone + 1
     assert quality.write_with_quality(df.limit(0), f"{tmpdir_path}/e", f"{tmpdir_path}/f").first().total_rows == 0
+
+
+def rows_scanned(df):
+    """(result rows, rows that the file scan gave after skipping row groups and pages)."""
+    n = len(df.collect())
+    todo, read = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan"):
+            read += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return n, read
+
+
+def test_filters_on_any_cluster_column_skip_most_rows(spark, tmpdir_path):
+    df = spark.range(200_000).select(
+        F.concat(F.lit("sub "), F.pmod(F.xxhash64("id"), F.lit(60)).cast("string")).alias("subcategory"),
+        F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3650)).cast("int")).alias("order_date"),
+        F.rand(3).alias("final_amount_inr"), F.lit("mine").alias("_cluster"))
+    clusters.write_clustered(df, f"{tmpdir_path}/z", ["subcategory", "order_date"], files=64, row_group_bytes=1 << 14)
+    df.repartition(64).write.parquet(f"{tmpdir_path}/plain")
+    z, plain = spark.read.parquet(f"{tmpdir_path}/z"), spark.read.parquet(f"{tmpdir_path}/plain")
+    assert z.columns == df.columns and z.count() == 200_000
+    for cond in (F.col("subcategory") == "sub 7", F.col("order_date") >= F.lit("2024-10-01").cast("date")):
+        n, read = rows_scanned(z.where(cond))
+        m, all_read = rows_scanned(plain.where(cond))
+        assert n == m > 1000
+        assert read < 0.3 * all_read, (read, all_read)
+    # A name that is not there, between the others: the Bloom filters know.
+    assert rows_scanned(z.where("subcategory = 'sub 7x'")) == (0, 0)
+
+
+def test_clustered_nulls_and_empty(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", 1.0), (None, None), ("b", None)], "s string, x double")
+    clusters.write_clustered(df, f"{tmpdir_path}/n", ["s", "x"], 2)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmpdir_path}/n").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    clusters.write_clustered(df.limit(0), f"{tmpdir_path}/e", ["s", "x"], 2)
+    assert spark.read.schema(df.schema).parquet(f"{tmpdir_path}/e").count() == 0
