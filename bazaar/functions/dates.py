@@ -57,11 +57,18 @@ def _text_stages(text: Column, col) -> list[dict[str, Column]]:
     """Stage 1. Only text that is likely a date is taken apart."""
     low = F.lower(text)
     likely = F.length(text).between(4, 60) & low.rlike(r"\d")
-    low = F.regexp_replace(F.when(likely, low), COMPACT_TIME_RE, "")
-    # Times and weekdays are looked for only where a colon or letters are.
-    timed = F.when(F.col(col("low")).rlike(r"[:apm]"), F.regexp_replace(col("low"), TIME_RE, " ")).otherwise(F.col(col("low")))
-    named = F.when(F.col(col("timed")).rlike("[a-z]"), F.regexp_replace(F.regexp_replace(
-        col("timed"), WEEKDAY_RE, " "), r"(?<=\d)(?:st|nd|rd|th)\b|\bof\b", " ")).otherwise(F.col(col("timed")))
+    low = F.when(likely, low)
+    low = F.when(low.rlike(r"^\d{8}t"), F.regexp_replace(low, COMPACT_TIME_RE, "")).otherwise(low)
+    # Each part is taken out only of text that may have it: a search costs less
+    # than a replacement.
+    def without(c: str, hint: str, *patterns: str) -> Column:
+        out = F.col(col(c))
+        for p in patterns:
+            out = F.regexp_replace(out, p, " ")
+        return F.when(F.col(col(c)).rlike(hint), out).otherwise(F.col(col(c)))
+
+    timed = without("low", r":|\d\s?[ap]\.?m", TIME_RE)
+    named = without("timed", r"mon|tue|wed|thu|fri|sat|sun|\d(?:st|nd|rd|th)|of", WEEKDAY_RE, r"(?<=\d)(?:st|nd|rd|th)\b|\bof\b")
     # Letters and digits that touch (5jan2020) are tokens of their own.
     split = F.btrim(F.regexp_replace(col("named"), r"[\s,./'-]+|(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " "))
     parts = F.when(F.col(col("rest")).rlike(TOKENS_RE), F.split(col("rest"), " "))
