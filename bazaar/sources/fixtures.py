@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaar.session import scratch_path
-from bazaar.sources.tables import sales_view
+from bazaar.sources.tables import sales_view, written_facts
 
 DIRTY_SQL = """
 SELECT k, transaction_id, line_no, product_id, supplier_id, line_price,
@@ -78,29 +78,29 @@ def priced_sql(engine: str) -> str:
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    """Write the fixture once per session as Parquet and scan it from then on.
-
-    The dirty view stands in for the raw order files, so the cleaning steps
-    should see a file scan (plain columns), not the generating expressions:
-    those would be inlined into every rule that reads a column.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    df = _STAGED.get(key)
-    if df is None or df.sparkSession is not spark:
-        path = scratch_path(spark, f"fixture-{name}-{uuid.uuid4().hex}")
-        # Several files, like the yearly raw files the reference starts from.
-        files = spark.sparkContext.defaultParallelism
-        (spark.sql(sql, sales=sales_view(spark, sf_dir)).repartition(files)
-         .write.mode("overwrite").parquet(path))
-        df = spark.read.parquet(path)
-        _STAGED[key] = df
-    return df
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact rows: from the fact table if this session has written it, else
+    from the joins, which then carry only the columns that are read."""
+    written = written_facts(spark, sf_dir)
+    return sales_view(spark, sf_dir) if written is None else written
 
 
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "dirty", dirty_sql("spark"))
+    """The dirty view, not written: a query makes the columns it reads, and its
+    joins shuffle no others. (All its columns as a file are several times the
+    input.) Catalyst keeps the projection that makes the text apart from rules
+    that read a column many times."""
+    return spark.sql(dirty_sql("spark"), sales=_sales(spark, sf_dir))
 
 
 def priced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "priced", priced_sql("spark"))
+    """The priced view, four columns: written once per session as Parquet by the
+    tasks that make it, as the quantiles read it in several passes."""
+    key = (spark.sparkContext.applicationId, sf_dir, "priced")
+    df = _STAGED.get(key)
+    if df is None or df.sparkSession is not spark:
+        path = scratch_path(spark, f"fixture-priced-{uuid.uuid4().hex}")
+        spark.sql(priced_sql("spark"), sales=_sales(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+        _STAGED[key] = df
+    return df
