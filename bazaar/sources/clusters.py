@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Bits a column has in the key: 2**BITS ranges of it.
 BITS = 6
 ROW_GROUP_BYTES = 32 << 20
+#: Rows of a file at most, about: what one task sorts and writes.
+ROWS_PER_FILE = 2_000_000
 
 
 def _range_of(df: DataFrame, c: str) -> Column:
@@ -46,10 +48,12 @@ def interleaved(df: DataFrame, columns: list[str]) -> Column:
 
 
 def write_clustered(df: DataFrame, path: str, columns: list[str], files: int, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
-    """Write ``df`` in ``files`` ranges of the interleaved key, in its order,
-    with Bloom filters on the text columns among ``columns``. Choose files so
-    that one holds a few row groups; a range is split by the columns themselves
-    where many rows share a key."""
+    """Write ``df`` in ranges of the interleaved key, in its order, with Bloom
+    filters on the text columns among ``columns``. There are ``files`` ranges,
+    or as many as keep one at ``ROWS_PER_FILE`` rows (a few row groups), so the
+    task that sorts a range does not grow with the table; a range is split by
+    the columns themselves where many rows share a key."""
+    files = max(files, -(-df.count() // ROWS_PER_FILE))
     key = "_cluster"
     while key in df.columns:
         key = f"_{key}"
