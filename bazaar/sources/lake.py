@@ -135,7 +135,8 @@ class KeyIndex:
         first = self._bucketed(C.dedup_keep_first(rows, self.keys, order))
         if _exists(self.spark, f"{self.path}/keys/_load=*"):
             known = self.spark.read.parquet(f"{self.path}/keys").where(F.col("_load") < load)
-            touched = [r[0] for r in first.select("_bucket").distinct().collect()]  # at most `buckets`
+            # At most `buckets`; all rows have the buckets of the first ones, which a shuffle would find.
+            touched = [r[0] for r in self._bucketed(rows).select("_bucket").distinct().collect()]
             if len(touched) < self.buckets:
                 known = known.where(F.col("_bucket").isin(*touched))
             known = known.select(*[F.col(k).alias(f"_known_{k}") for k in self.keys], F.col("_bucket").alias("_in"))

@@ -47,3 +47,18 @@ def test_the_dirty_view_reads_facts_that_are_written(spark):
     view = fixtures.dirty_sales(spark, SF_SMALL)
     assert "lineitem.parquet" not in view._jdf.queryExecution().executedPlan().toString()
     assert view.count() == facts.count()
+
+
+def test_increments_carry_few_columns_and_find_buckets_without_a_window(spark, writes, monkeypatch):
+    frame = type(spark.range(1))
+    collected, collect = [], frame.collect
+
+    def record(self):
+        collected.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(frame, "collect", record)
+    QUERIES["dedup_increments"](spark, SF_SMALL)
+    loads = [p for p in writes if "lineitem.parquet" not in p]
+    assert len(loads) == 6 and not [p for p in loads if "product_rating" in p or "brand" in p]
+    assert len(collected) == 2 and not [p for p in collected if "Window" in p]
