@@ -55,9 +55,9 @@ def free_prefix(df: DataFrame) -> str:
 
 def _text_stages(text: Column, col) -> list[dict[str, Column]]:
     """Stage 1. Only text that is likely a date is taken apart."""
-    low = F.lower(text)
-    likely = F.length(text).between(4, 60) & low.rlike(r"\d")
-    low = F.when(likely, low)
+    likely = F.length(text).between(4, 60) & text.rlike(r"\d")
+    # Text without capitals or letters beyond ASCII is in lower case as it is.
+    low = F.when(likely, F.when(text.rlike(r"[^ -@\[-~]"), F.lower(text)).otherwise(text))
     low = F.when(low.rlike(r"^\d{8}t"), F.regexp_replace(low, COMPACT_TIME_RE, "")).otherwise(low)
     # Each part is taken out only of text that may have it: a search costs less
     # than a replacement.

@@ -9,6 +9,7 @@ from bazaar.functions import parsing as P
 from bazaar.functions.dates import free_prefix, inferred_order, parse_free_dates
 from bazaar.operators.clean import stage_dates
 from bazaar.schema import BOOLEAN_COLUMNS, NUMERIC_COLUMNS
+from bazaar.session import compiled_methods
 
 
 def _is_string(df: DataFrame, c: str) -> bool:
@@ -38,6 +39,7 @@ def load_dates(df: DataFrame, col: str, order: str = "month_first") -> DataFrame
     ambiguous numbers the other way; ``order='infer'`` asks the whole column
     first (one aggregation, a job before the result).
     """
+    compiled_methods(df.sparkSession)
     if order == "infer":
         order = inferred_order(df, col)
     prefix = free_prefix(df)

@@ -22,7 +22,7 @@ from bazaar.plans.reports import REPORTS
 from bazaar.schema import AUDIT_COPIES, DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
 from bazaar.session import scratch_path
 from bazaar.sources import buckets, clusters, csv_io, gold, lake, quality, sinks
-from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales
+from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, order_dates, priced_sales
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
 from bazaar.streaming import live_month as LM
 
@@ -300,7 +300,7 @@ def coerce_dates_free(spark, sf_dir):
     """L1 in free form: the order date of every line, spelled in 24 ways (the
     spelling is dealt out by ``k``), read value by value, and read in the order
     that the whole column tells."""
-    f = fact_table(spark, sf_dir).select("k", "order_date")
+    f = order_dates(spark, sf_dir)
     n = F.col("k") % len(FREE_DATE_FORMS)
     text = F.coalesce(*[F.when(n == i, F.concat(*[F.date_format("order_date", p) if fmt else F.lit(p) for fmt, p in form]))
                         for i, form in enumerate(FREE_DATE_FORMS)])

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.session import scratch_path
+from bazaar.session import TABLE_CODEC, scratch_path
 from bazaar.sources.tables import sales_view, written_facts
 
 DIRTY_SQL = """
@@ -93,6 +93,22 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(dirty_sql("spark"), sales=_sales(spark, sf_dir))
 
 
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k`` and the order date of every line. The columns are written once per
+    session, as they are read in two passes; facts that are written are read."""
+    if written_facts(spark, sf_dir) is not None:
+        return written_facts(spark, sf_dir).select("k", "order_date")
+    key = (spark.sparkContext.applicationId, sf_dir, "order_dates")
+    df = _STAGED.get(key)
+    if df is None or df.sparkSession is not spark:
+        path = scratch_path(spark, f"fixture-order-dates-{uuid.uuid4().hex}")
+        rows = sales_view(spark, sf_dir).select("k", "order_date")
+        rows.write.mode("overwrite").option("compression", TABLE_CODEC).parquet(path)
+        df = spark.read.parquet(path)
+        _STAGED[key] = df
+    return df
+
+
 def priced_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The priced view, four columns: written once per session as Parquet by the
     tasks that make it, as the quantiles read it in several passes."""

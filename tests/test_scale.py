@@ -62,3 +62,11 @@ def test_increments_carry_few_columns_and_find_buckets_without_a_window(spark, w
     loads = [p for p in writes if "lineitem.parquet" not in p]
     assert len(loads) == 6 and not [p for p in loads if "product_rating" in p or "brand" in p]
     assert len(collected) == 2 and not [p for p in collected if "Window" in p]
+
+
+def test_free_dates_read_two_columns_in_methods_that_are_compiled(spark, writes):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    df = QUERIES["coerce_dates_free"](spark, SF_SMALL)
+    assert len(writes) == 1 and "p_name" not in writes[0] and "l_extendedprice" not in writes[0]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert df.count() == tables.read_table(spark, SF_SMALL, "lineitem").count()
