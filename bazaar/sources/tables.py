@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import uuid
 
 from bazaar.plans.joins import broadcast_if_small
-from bazaar.session import scratch_path
+from bazaar.session import TABLE_CODEC, scratch_path
 
 TABLE_NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -137,7 +137,7 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if df is None:
         path = scratch_path(spark, f"facts-{uuid.uuid4().hex}")
         view = sales_view(spark, sf_dir).withColumn("order_year", F.year("order_date"))
-        (view.write.mode("overwrite").option("maxRecordsPerFile", str(FACT_FILE_ROWS))
+        (view.write.mode("overwrite").option("compression", TABLE_CODEC).option("maxRecordsPerFile", str(FACT_FILE_ROWS))
          .partitionBy("order_year").parquet(path))
         df = spark.read.parquet(path)
         _FACTS[spark.sparkContext.applicationId, sf_dir] = df

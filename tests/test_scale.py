@@ -70,3 +70,18 @@ def test_free_dates_read_two_columns_in_methods_that_are_compiled(spark, writes)
     assert len(writes) == 1 and "p_name" not in writes[0] and "l_extendedprice" not in writes[0]
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
     assert df.count() == tables.read_table(spark, SF_SMALL, "lineitem").count()
+
+
+def test_live_lines_are_staged_in_few_columns(spark, writes):
+    QUERIES["live_month_stream"](spark, SF_SMALL)
+    assert "p_name" not in writes[0] and "l_returnflag" not in writes[0]
+
+
+def test_silver_is_deduplicated_without_the_file_path():
+    from bazaar.sources import lake
+    assert "_src_path" not in lake.ORDER and lake.ORDER == ["_load", "_src_file", "_src_block", "_src_row"]
+
+
+def test_facts_are_written_with_the_codec_of_tables(spark, writes):
+    df = tables.fact_table(spark, SF_SMALL)
+    assert all(".zstd." in f for f in df.inputFiles())
