@@ -20,9 +20,9 @@ from bazaar.operators.typing import load_dates
 from bazaar.plans.joins import attach_scalars
 from bazaar.plans.reports import REPORTS
 from bazaar.schema import AUDIT_COPIES, DEDUP_KEYS, WIDE_FALSE_TOKENS, WIDE_TRUE_TOKENS
-from bazaar.session import scratch_path
+from bazaar.session import TABLE_CODEC, scratch_path
 from bazaar.sources import buckets, clusters, csv_io, gold, lake, quality, sinks
-from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, order_dates, priced_sales
+from bazaar.sources.fixtures import DIRTY_ORDER, dirty_sales, priced_sales, sales_columns
 from bazaar.sources.tables import SALES_SOURCE_ORDER, fact_table, read_table
 from bazaar.streaming import live_month as LM
 
@@ -300,7 +300,7 @@ def coerce_dates_free(spark, sf_dir):
     """L1 in free form: the order date of every line, spelled in 24 ways (the
     spelling is dealt out by ``k``), read value by value, and read in the order
     that the whole column tells."""
-    f = order_dates(spark, sf_dir)
+    f = sales_columns(spark, sf_dir, "k", "order_date")
     n = F.col("k") % len(FREE_DATE_FORMS)
     text = F.coalesce(*[F.when(n == i, F.concat(*[F.date_format("order_date", p) if fmt else F.lit(p) for fmt, p in form]))
                         for i, form in enumerate(FREE_DATE_FORMS)])
@@ -436,7 +436,8 @@ def yearly_refresh(spark, sf_dir):
     """Yearly CSV files taken in through the ledger, the last year's
     after a first refresh; per year the silver rows (each key once), and
     whether the second refresh rewrote it."""
-    f = fact_table(spark, sf_dir)
+    f = sales_columns(spark, sf_dir, "k", "customer_id", "transaction_id", "product_name", "order_date", "final_amount_inr",
+                      "quantity", "delivery_days", "customer_state", "order_year")
     home = scratch_path(spark, f"lake-{uuid.uuid4().hex}")
     lines = f.where("order_year is not null").select(
         "k", "customer_id", "transaction_id", "product_name", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
@@ -459,10 +460,11 @@ def live_month_stream(spark, sf_dir):
     in no order, one of them sent twice."""
     home = scratch_path(spark, f"live-{uuid.uuid4().hex}")
     # The line's number alone is not its key in these tables.
-    f = fact_table(spark, sf_dir).withColumn("line_no", F.xxhash64(*SALES_SOURCE_ORDER))
+    f = sales_columns(spark, sf_dir, "k", *SALES_SOURCE_ORDER, "customer_id", "order_date", "final_amount_inr") \
+        .withColumn("line_no", F.xxhash64(*SALES_SOURCE_ORDER))
     lines = f.select("k", *[F.col(c.name).cast(c.dataType).alias(c.name) for c in LM.LIVE_LINE_SCHEMA.fields])
     for i in (3, 0, 4, 1, 3, 2):
-        lines.where(F.col("k") % 5 == i).drop("k").write.mode("append").parquet(f"{home}/in")
+        lines.where(F.col("k") % 5 == i).drop("k").write.mode("append").option("compression", TABLE_CODEC).parquet(f"{home}/in")
     stream = LM.read_order_stream(spark, f"{home}/in", LM.LIVE_LINE_SCHEMA, max_files_per_trigger=16)
     LM.start_live_lines(stream, f"{home}/out", f"{home}/checkpoint", until_done=True).awaitTermination()
     return LM.live_monitor(spark, f"{home}/out")

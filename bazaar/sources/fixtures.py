@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bazaar.session import TABLE_CODEC, scratch_path
 from bazaar.sources.tables import sales_view, written_facts
@@ -93,16 +94,17 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(dirty_sql("spark"), sales=_sales(spark, sf_dir))
 
 
-def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``k`` and the order date of every line. The columns are written once per
-    session, as they are read in two passes; facts that are written are read."""
+def sales_columns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of every line, for queries that read them in several passes:
+    written once per session, so the joins shuffle no other columns; facts that
+    are written are read."""
     if written_facts(spark, sf_dir) is not None:
-        return written_facts(spark, sf_dir).select("k", "order_date")
-    key = (spark.sparkContext.applicationId, sf_dir, "order_dates")
+        return written_facts(spark, sf_dir).select(*columns)
+    key = (spark.sparkContext.applicationId, sf_dir, ",".join(columns))
     df = _STAGED.get(key)
     if df is None or df.sparkSession is not spark:
-        path = scratch_path(spark, f"fixture-order-dates-{uuid.uuid4().hex}")
-        rows = sales_view(spark, sf_dir).select("k", "order_date")
+        path = scratch_path(spark, f"fixture-columns-{uuid.uuid4().hex}")
+        rows = sales_view(spark, sf_dir).withColumn("order_year", F.year("order_date")).select(*columns)
         rows.write.mode("overwrite").option("compression", TABLE_CODEC).parquet(path)
         df = spark.read.parquet(path)
         _STAGED[key] = df

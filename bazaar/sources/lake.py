@@ -26,10 +26,13 @@ from bazaar.operators import clean as C
 from bazaar.operators.typing import derive_calendar
 from bazaar.schema import DEDUP_KEYS
 from bazaar.sources.csv_io import CORRUPT, SOURCE_ORDER, read_yearly_csv
+from bazaar.session import TABLE_CODEC
 from bazaar.sources.gold import in_years, write_gold
 
-#: Order of rows over all loads: the load, then the place in its files.
-ORDER = ["_load", *SOURCE_ORDER]
+#: Order of rows over all loads: the load, then the place in its files. Each file
+#: of a load has a number of its own, so its path, a long text, is not compared
+#: or shuffled.
+ORDER = ["_load", *[c for c in SOURCE_ORDER if c != "_src_path"]]
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -73,8 +76,8 @@ def take_in(spark: SparkSession, source: str, lake: str, date_col: str = "order_
     rows = read_yearly_csv(spark, [r.path for r in new])
     parsed = C.stage_dates(rows.withColumn("_date", F.col(date_col)), "_date", P.DATE_FORMATS)
     parsed = parsed.withColumn("bronze_year", F.year("_date")).drop("_date").withColumn("_load", F.lit(load))
-    (parsed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bronze_year", "_load")
-     .parquet(f"{lake}/bronze"))
+    (parsed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", TABLE_CODEC)
+     .partitionBy("bronze_year", "_load").parquet(f"{lake}/bronze"))
     _mark(spark, log, (load, max(r.found for r in new)), "load int, up_to timestamp")
     return len(new)
 
@@ -82,7 +85,7 @@ def take_in(spark: SparkSession, source: str, lake: str, date_col: str = "order_
 def clean_rows(bronze: DataFrame) -> DataFrame:
     """Silver rows: C1..C10 and C11 within the years at hand: rows of one key have one date,
     so keep-first over whole years is keep-first over all."""
-    rows = C.standardise(bronze, audit=False)
+    rows = C.standardise(bronze.drop("_src_path"), audit=False)
     keys = [k for k in DEDUP_KEYS if k in rows.columns]
     return derive_calendar(C.dedup_keep_first(rows, keys, ORDER)).drop(*ORDER, CORRUPT, "bronze_year")
 
@@ -106,7 +109,7 @@ def refresh(spark: SparkSession, lake: str, prepare: Callable[[DataFrame], DataF
     if not years:
         return []
     silver = prepare(bronze.where(in_years("bronze_year", years) & (F.col("_load") <= loaded)))
-    write = silver.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    write = silver.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", TABLE_CODEC)
     write.partitionBy("order_year").parquet(f"{lake}/silver")
     if gold:
         write_gold(spark.read.parquet(f"{lake}/silver"), f"{lake}/gold", years)

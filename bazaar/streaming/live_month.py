@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from bazaar.operators import monitor
 from bazaar.operators.common import money
+from bazaar.session import TABLE_CODEC
 
 ORDER_LINE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.LongType()),
@@ -90,7 +91,7 @@ def start_live_lines(stream: DataFrame, path: str, checkpoint: str, lateness: st
     """Append the lines to the table at ``path``, partitioned by month.
     ``until_done`` stops when all files that are there have been read."""
     q = (live_lines(stream, lateness).writeStream.outputMode("append").format("parquet").partitionBy("month_no")
-         .option("path", path).option("checkpointLocation", checkpoint))
+         .option("path", path).option("compression", TABLE_CODEC).option("checkpointLocation", checkpoint))
     if until_done:
         q = q.trigger(availableNow=True)
     elif trigger_seconds:
