@@ -21,7 +21,7 @@ from bazaar.operators.quantiles import quantile_frame, quantiles
 from bazaar.schema import (
     AUDIT_COPIES, BOOLEAN_COLUMNS, DEDUP_KEYS, DELIVERY_CHARGES_FILL, FESTIVAL_FILL, NUMERIC_COLUMNS,
 )
-from bazaar.session import scratch_path
+from bazaar.session import TABLE_CODEC, scratch_path
 
 
 def _has(df: DataFrame, c: str) -> bool:
@@ -260,7 +260,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     once the results are written.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", TABLE_CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
