@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,40 @@ def test_cut_segments_and_many_reaches(small, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_blocks_of_a_common_passage(rng):
+    # Spans of a passage that 60 texts have in other surroundings, and of a longer one that two of them share.
+    passage, longer = prose(rng, 60)[:340], prose(rng, 70)[:140]
+    texts = [(prose(rng, 40) + " " + passage + (longer if k < 2 else prose(rng, 40))[:140]).encode() for k in range(60)]
+    rows = []
+    for k, t in enumerate(texts):
+        for kind, *found in P.pieces_of([(t, P.find_triggers(np.frombuffer(t, np.uint8))[0].tolist())]):
+            if kind == P.SPAN:
+                rows += [(bytes([k]) * 16, x, t[x:y + P.LENGTH], k1) for x, y, k1 in
+                         zip(*(f.tolist() for f in found[:2]), found[2].view(np.int64).tolist(), strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["md5", "lo", "bytes", "k1"])
+    blocks = [r for b in P.block_rows(iter([batch])) for r in b.to_pylist()]
+
+    def starts(some):
+        return [(r["md5"], r["lo"] + p, r["bytes"][p:p + P.LENGTH]) for r in some for p in range(len(r["bytes"]) - P.LENGTH + 1)]
+    spans = [(m, lo + p, x[p:p + P.LENGTH]) for m, lo, x, _ in rows for p in range(len(x) - P.LENGTH + 1)]
+    assert sorted(starts(blocks)) == sorted(spans)  # each start in one block
+    count = Counter((r["c1"], r["c2"]) for r in blocks)
+    left = starts(r for r in blocks if count[r["c1"], r["c2"]] > 1)
+    times = Counter(x for _, _, x in spans)
+    assert sum(n > 1 for n in times.values()) > 50
+    assert {x for x in spans if times[x[2]] > 1} <= set(left)
+    # Every start of the spans was dealt by string before.
+    assert len(blocks) + len(left) < len(spans) / 5
+
+
+@pytest.mark.parametrize("block", [1, 7, 300])
+def test_other_blocks(small, monkeypatch, block):
+    rows, df = small
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "TOGETHER", 1)
+    assert result(df) == brute(rows)
+
+
 def test_few_triggers(small, monkeypatch):
     rows, df = small
     monkeypatch.setattr(P, "EVERY", 500)
